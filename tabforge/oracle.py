@@ -283,4 +283,152 @@ def queries_sql() -> dict[str, str]:
         ),
     }
     del cat_cols
+    out.update(queries_sql_2())
     return out
+
+
+def _u(id_expr: str, salt: str) -> str:
+    from tabforge.sources.fixture import sql_uniform
+
+    return sql_uniform(id_expr, salt)
+
+
+STACKS6 = ["A", "B", "C", "D", "E", "F"]
+LABELLED_CTE = "lt AS (SELECT row_id, CAST(Personality = 'Introvert' AS INTEGER) AS label FROM survey WHERE origin = 'train')"
+
+
+def _rank_sql(rel: str, id_col: str, salt: str, part: str = "") -> str:
+    from tabforge.sources.fixture import sql_hash_hex
+
+    p = f"PARTITION BY {part} " if part else ""
+    return f"row_number() OVER ({p}ORDER BY {sql_hash_hex(id_col, salt)}, {id_col})"
+
+
+def _oof_cte() -> str:
+    from tabforge.sources.fixture import sql_scores
+
+    return f"{LABELLED_CTE},\noof AS (SELECT row_id, label, {sql_scores('row_id')} FROM lt)"
+
+
+def _trials_cte(n_trials: int = 200, seed: int = 42) -> str:
+    raw = ", ".join(f"{_u('t', f'w_{s}{seed}')} AS r{s}" for s in STACKS6)
+    tot = " + ".join(f"r{s}" for s in STACKS6)
+    norm = ", ".join(f"r{s} / ({tot}) AS w_{s}" for s in STACKS6)
+    blend = " + ".join(f"w_{s} * p_{s}" for s in STACKS6)
+    return f"""
+tr0 AS (SELECT t, {raw} FROM range({n_trials}) r(t)),
+tr AS (SELECT t AS trial, {norm} FROM tr0),
+acc AS (SELECT trial, avg(CAST(CAST(({blend}) >= 0.5 AS INTEGER) = label AS DOUBLE)) AS accuracy,
+               {', '.join(f'any_value(w_{s}) AS w_{s}' for s in STACKS6)}
+        FROM tr, oof GROUP BY trial)
+"""
+
+
+def _test_scores_cte() -> str:
+    from tabforge.sources.fixture import sql_scores
+
+    return f"ts AS (SELECT row_id, {sql_scores('row_id', confident=True)} FROM survey WHERE origin = 'test')"
+
+
+def _pseudo_cte() -> str:
+    return f"""{LABELLED_CTE},
+{_test_scores_cte()},
+cand AS (SELECT row_id, 1.0 * p_A AS p_blend, greatest(1.0 * p_A, 1 - 1.0 * p_A) AS confidence FROM ts
+         WHERE 1.0 * p_A >= 0.95 OR 1.0 * p_A <= 1 - 0.95),
+chosen AS (SELECT * FROM cand ORDER BY confidence DESC, row_id LIMIT (SELECT CAST(floor(count(*) * 0.05) AS BIGINT) FROM lt)),
+comb AS (SELECT row_id, label, 'train' AS source, CAST(NULL AS DOUBLE) AS confidence FROM lt
+         UNION ALL SELECT row_id, CAST(p_blend >= 0.5 AS INTEGER), 'pseudo', confidence FROM chosen)
+"""
+
+
+def _domains_cte() -> str:
+    return f"""
+segs AS (SELECT list_sort(list(DISTINCT c_mktsegment)) AS s FROM customer),
+cd AS (SELECT c_custkey, c_acctbal, CAST(list_position(segs.s, c_mktsegment) - 1 AS INTEGER) AS domain,
+              {_u('c_custkey', 'ref')} AS p_ref, {_u('c_custkey', 'own')} AS p_own FROM customer, segs),
+cw0 AS (SELECT *, CASE WHEN domain = 0 THEN 1.0 ELSE p_ref / (p_own + 1e-8) END AS w0 FROM cd),
+cw AS (SELECT *, w0 / (avg(w0) OVER (PARTITION BY domain) + 1e-8) AS weight FROM cw0)
+"""
+
+
+def queries_sql_2() -> dict[str, str]:
+    from tabforge.sources.fixture import sql_scores
+
+    blend_w = {"A": 1.0, "B": 3.0, "C": 0.5, "D": 2.0, "E": 1.0, "F": 1.5}
+    tot = sum(blend_w.values())
+    blend = " + ".join(f"{w / tot!r} * p_{s}" for s, w in blend_w.items())
+    fold_u = _u("CAST(row_id AS VARCHAR) || '/' || CAST(f AS VARCHAR)", "fold")
+    return {
+        "stratified_folds": with_survey(
+            f"SELECT row_id, label, CAST(({_rank_sql('lt', 'row_id', 'fold42', 'label')} - 1) % 5 AS INTEGER) AS fold FROM lt",
+            LABELLED_CTE,
+        ),
+        "sample_n": with_survey(
+            f"SELECT row_id, origin FROM (SELECT row_id, origin, {_rank_sql('survey', 'row_id', 'sample42')} AS r FROM survey) WHERE r <= 1000"
+        ),
+        "label_noise": with_survey(
+            f"SELECT row_id, label, CAST(CASE WHEN r <= (SELECT CAST(floor(count(*) * 0.02) AS BIGINT) FROM lt) THEN 1 - label ELSE label END AS INTEGER) AS noisy_label "
+            f"FROM (SELECT *, {_rank_sql('lt', 'row_id', 'noise42')} AS r FROM lt)",
+            LABELLED_CTE,
+        ),
+        "halve_low_diversity": with_survey(
+            f"SELECT row_id, quality FROM (SELECT row_id, round({_u('row_id', 'quality')}, 6) AS quality FROM survey WHERE origin = 'test') "
+            "ORDER BY quality DESC, row_id LIMIT (SELECT count(*) // 2 FROM survey WHERE origin = 'test')"
+        ),
+        "blend_scores": with_survey(
+            f"SELECT row_id, round(b, 6) AS blended, CAST(b >= 0.5 AS INTEGER) AS blended_class FROM "
+            f"(SELECT row_id, {blend} AS b FROM (SELECT row_id, {sql_scores('row_id')} FROM survey))"
+        ),
+        "blend_trials": with_survey("SELECT trial, round(accuracy, 6) AS accuracy FROM acc", _oof_cte() + ",\n" + _trials_cte()),
+        "blend_search": with_survey(
+            "SELECT trial, round(accuracy, 6) AS accuracy, "
+            + ", ".join(f"round(w_{s}, 6) AS w_{s}" for s in STACKS6)
+            + " FROM acc ORDER BY accuracy DESC, trial LIMIT 1",
+            _oof_cte() + ",\n" + _trials_cte(),
+        ),
+        "soft_vote_avg": with_survey(
+            "SELECT row_id, round(v, 6) AS vote, CAST(v >= 0.5 AS INTEGER) AS vote_class FROM "
+            f"(SELECT row_id, (p_A + p_B + p_C) / 3.0 AS v FROM (SELECT row_id, {sql_scores('row_id', ['A', 'B', 'C'])} FROM survey))"
+        ),
+        "cv_accuracy": with_survey(
+            "SELECT count(*) AS n_folds, round(avg(a), 6) AS cv_accuracy FROM ("
+            "SELECT fold, avg(CAST(label = CAST(p_A >= 0.5 AS INTEGER) AS DOUBLE)) AS a FROM ("
+            f"SELECT *, ({_rank_sql('oof', 'row_id', 'fold42', 'label')} - 1) % 5 AS fold FROM oof) GROUP BY fold)",
+            _oof_cte(),
+        ),
+        "fold_average": with_survey(
+            f"SELECT row_id, round(avg({fold_u}), 6) AS p_mean, count(*) AS n_folds "
+            "FROM survey, range(5) r(f) WHERE origin = 'test' GROUP BY row_id"
+        ),
+        "pseudo_candidates": with_survey(
+            "SELECT row_id, round(p_blend, 6) AS p_blend, round(confidence, 6) AS confidence FROM cand", _pseudo_cte()
+        ),
+        "pseudo_label": with_survey(
+            "SELECT row_id, label, source, round(confidence, 6) AS confidence FROM comb", _pseudo_cte()
+        ),
+        "pseudo_stats": with_survey(
+            """SELECT count(*) FILTER (WHERE source = 'pseudo') AS n_pseudo_added,
+                      count(*) FILTER (WHERE source = 'pseudo' AND label = 0) AS pseudo_class_0,
+                      count(*) FILTER (WHERE source = 'pseudo' AND label = 1) AS pseudo_class_1,
+                      round(avg(confidence) FILTER (WHERE source = 'pseudo'), 6) AS mean_confidence,
+                      count(*) FILTER (WHERE source <> 'pseudo') AS original_size,
+                      count(*) AS final_size FROM comb""",
+            _pseudo_cte(),
+        ),
+        "domain_union": "WITH " + _domains_cte().strip() + "\nSELECT c_custkey, c_acctbal, domain FROM cd",
+        "propensity_weights": "WITH " + _domains_cte().strip() + "\nSELECT c_custkey, domain, round(weight, 6) AS weight FROM cw",
+        "normalize_weights": "WITH "
+        + _domains_cte().strip()
+        + ",\nnw AS (SELECT c_custkey, domain, (c_acctbal + 1000.0) / (avg(c_acctbal + 1000.0) OVER (PARTITION BY domain) + 1e-8) AS weight FROM cd)"
+        + "\nSELECT c_custkey, domain, round(weight, 6) AS weight FROM nw",
+        "domain_filter": "WITH "
+        + _domains_cte().strip()
+        + "\nSELECT c_custkey, domain, round(weight, 6) AS weight FROM cw WHERE domain = 0 OR weight >= 0.2",
+        "domain_weight_summary": "WITH "
+        + _domains_cte().strip()
+        + """
+SELECT domain, count(*) AS n, round(min(weight), 6) AS w_min, round(max(weight), 6) AS w_max,
+       round(avg(weight), 6) AS w_mean, round(avg(CAST(weight < 0.5 AS DOUBLE)) * 100, 6) AS pct_below_0_5,
+       round(avg(CAST(weight > 2.0 AS DOUBLE)) * 100, 6) AS pct_above_2
+FROM cw GROUP BY domain""",
+    }

@@ -165,3 +165,182 @@ def q_robust_scale(spark, sf_dir):
 def q_balanced_weights(spark, sf_dir):
     out = encode.balanced_weights(_train(spark, sf_dir).select("row_id", TARGET), TARGET)
     return out.select("row_id", F.round("weight", 6).alias("weight"))
+
+
+# ------------------------------------------------------------ step 3: folds, sampling, noise
+
+
+def _labelled_train(spark, sf_dir, mat=False):
+    s = _survey(spark, sf_dir).filter(F.col("origin") == "train")
+    s = s.select("row_id", (F.col(TARGET) == "Introvert").cast("int").alias("label"))
+    return materialize(s, mat)
+
+
+def q_stratified_folds(spark, sf_dir):
+    from tabforge.operators.folds import stratified_folds
+
+    return stratified_folds(_labelled_train(spark, sf_dir), "label", k=5, seed=42)
+
+
+def q_sample_n(spark, sf_dir):
+    from tabforge.operators.folds import sample_n
+
+    return sample_n(_survey(spark, sf_dir).select("row_id", "origin"), 1000, seed=42)
+
+
+def q_label_noise(spark, sf_dir):
+    from tabforge.operators.folds import label_noise
+
+    return label_noise(_labelled_train(spark, sf_dir, mat=True), "label", 0.02, seed=42, out="noisy_label")
+
+
+def q_halve_low_diversity(spark, sf_dir):
+    from tabforge.functions.rng import hash_uniform
+    from tabforge.functions.topk import top_k
+
+    s = _survey(spark, sf_dir, mat=True).filter(F.col("origin") == "test")
+    s = s.select("row_id", F.round(hash_uniform("row_id", "quality"), 6).alias("quality"))
+    n = s.count()
+    return top_k(s, n // 2, [F.col("quality").desc(), F.col("row_id").asc()])
+
+
+# ------------------------------------------------------------ step 4: score arithmetic, pseudo labels, domains
+
+STACK_COLS = {s: f"p_{s}" for s in fixture.STACKS}
+BLEND_WEIGHTS = {"p_A": 1.0, "p_B": 3.0, "p_C": 0.5, "p_D": 2.0, "p_E": 1.0, "p_F": 1.5}
+
+
+def _oof(spark, sf_dir, mat=True):
+    return materialize(fixture.score_columns(_labelled_train(spark, sf_dir)), mat)
+
+
+def q_blend_scores(spark, sf_dir):
+    from tabforge.operators.blend import blend_scores
+
+    s = fixture.score_columns(_survey(spark, sf_dir).select("row_id"))
+    out = blend_scores(s, BLEND_WEIGHTS)
+    return out.select("row_id", F.round("blended", 6).alias("blended"), "blended_class")
+
+
+def q_blend_trials(spark, sf_dir):
+    from tabforge.operators.blend import blend_trials
+
+    t = blend_trials(_oof(spark, sf_dir), STACK_COLS, "label", n_trials=200, seed=42)
+    return t.select("trial", F.round("accuracy", 6).alias("accuracy"))
+
+
+def q_blend_search(spark, sf_dir):
+    from tabforge.operators.blend import blend_search
+
+    return blend_search(_oof(spark, sf_dir), STACK_COLS, "label", n_trials=200, seed=42)
+
+
+def q_soft_vote_avg(spark, sf_dir):
+    from tabforge.operators.blend import soft_vote
+
+    s = fixture.score_columns(_survey(spark, sf_dir).select("row_id"), stacks=["A", "B", "C"])
+    out = soft_vote(s, ["p_A", "p_B", "p_C"])
+    return out.select("row_id", F.round("vote", 6).alias("vote"), "vote_class")
+
+
+def q_cv_accuracy(spark, sf_dir):
+    from tabforge.operators.blend import cv_accuracy
+    from tabforge.operators.folds import stratified_folds
+
+    f = stratified_folds(_oof(spark, sf_dir), "label", k=5, seed=42)
+    f = f.withColumn("pred", (F.col("p_A") >= 0.5).cast("int"))
+    return cv_accuracy(f, "label", "pred")
+
+
+def q_fold_average(spark, sf_dir):
+    from tabforge.functions.rng import hash_uniform
+    from tabforge.operators.blend import fold_average
+
+    t = _survey(spark, sf_dir).filter(F.col("origin") == "test").select("row_id")
+    long = t.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
+    long = long.withColumn("p", hash_uniform(F.concat(F.col("row_id").cast("string"), F.lit("/"), F.col("fold").cast("string")), "fold"))
+    out = fold_average(long)
+    return out.select("row_id", F.round("p_mean", 6).alias("p_mean"), "n_folds")
+
+
+def _test_scores(spark, sf_dir):
+    t = _survey(spark, sf_dir).filter(F.col("origin") == "test").select("row_id")
+    return fixture.score_columns(t, confident=True)
+
+
+PSEUDO_WEIGHTS = {"p_A": 1.0}
+
+
+def q_pseudo_candidates(spark, sf_dir):
+    from tabforge.operators.pseudo import pseudo_candidates
+
+    c = pseudo_candidates(_test_scores(spark, sf_dir), PSEUDO_WEIGHTS, 0.95)
+    return c.select("row_id", F.round("p_blend", 6).alias("p_blend"), F.round("confidence", 6).alias("confidence"))
+
+
+def _pseudo(spark, sf_dir):
+    from tabforge.operators.pseudo import pseudo_label
+
+    train = _labelled_train(spark, sf_dir, mat=True)
+    return pseudo_label(train, _test_scores(spark, sf_dir), PSEUDO_WEIGHTS, threshold=0.95, max_ratio=0.05)
+
+
+def q_pseudo_label(spark, sf_dir):
+    p = _pseudo(spark, sf_dir)
+    return p.select("row_id", "label", "source", F.round("confidence", 6).alias("confidence"))
+
+
+def q_pseudo_stats(spark, sf_dir):
+    from tabforge.operators.pseudo import pseudo_stats
+
+    return pseudo_stats(_pseudo(spark, sf_dir))
+
+
+def _customer_domains(spark, sf_dir):
+    from tabforge.functions.rng import hash_uniform
+    from tabforge.operators.domain import domain_union
+    from tabforge.sources.tables import table
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    segments = encode.domains(c, ["c_mktsegment"], max_levels=1000)["c_mktsegment"]
+    u = domain_union([c.filter(F.col("c_mktsegment") == s) for s in segments])
+    return u.select(
+        "c_custkey",
+        "c_acctbal",
+        "domain",
+        hash_uniform("c_custkey", "ref").alias("p_ref"),
+        hash_uniform("c_custkey", "own").alias("p_own"),
+    )
+
+
+def q_domain_union(spark, sf_dir):
+    return _customer_domains(spark, sf_dir).select("c_custkey", "c_acctbal", "domain")
+
+
+def _weighted(spark, sf_dir):
+    from tabforge.operators.domain import propensity_weights
+
+    return propensity_weights(_customer_domains(spark, sf_dir), "p_ref", "p_own")
+
+
+def q_propensity_weights(spark, sf_dir):
+    return _weighted(spark, sf_dir).select("c_custkey", "domain", F.round("weight", 6).alias("weight"))
+
+
+def q_normalize_weights(spark, sf_dir):
+    from tabforge.operators.domain import normalize_weights
+
+    d = _customer_domains(spark, sf_dir).withColumn("weight", F.col("c_acctbal") + 1000.0)
+    return normalize_weights(d).select("c_custkey", "domain", F.round("weight", 6).alias("weight"))
+
+
+def q_domain_filter(spark, sf_dir):
+    from tabforge.operators.domain import domain_filter
+
+    return domain_filter(_weighted(spark, sf_dir), 0.2).select("c_custkey", "domain", F.round("weight", 6).alias("weight"))
+
+
+def q_domain_weight_summary(spark, sf_dir):
+    from tabforge.operators.domain import domain_weight_summary
+
+    return domain_weight_summary(_weighted(spark, sf_dir))
