@@ -284,6 +284,7 @@ def queries_sql() -> dict[str, str]:
     }
     del cat_cols
     out.update(queries_sql_2())
+    out.update(queries_sql_3())
     return out
 
 
@@ -432,3 +433,74 @@ SELECT domain, count(*) AS n, round(min(weight), 6) AS w_min, round(max(weight),
        round(avg(CAST(weight > 2.0 AS DOUBLE)) * 100, 6) AS pct_above_2
 FROM cw GROUP BY domain""",
     }
+
+
+def _jitter_cte(ratio: float = 0.05, seed: int = 42) -> str:
+    from tabforge.sources.fixture import sql_hash_hex, sql_normal
+
+    stats = ", ".join(f"stddev_samp({c}) AS s_{c}, min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in NUMERIC)
+    lv = ", ".join(f"list_sort(list(DISTINCT {c}) FILTER (WHERE {c} IS NOT NULL)) AS l_{c}" for c in CAT)
+    num = ", ".join(
+        f"CASE WHEN b.{c} IS NOT NULL THEN least(greatest(b.{c} + {sql_normal('p.syn_id', f'noise_{c}{seed}')} * (st.s_{c} * 0.05), st.lo_{c}), st.hi_{c}) END AS {c}"
+        for c in NUMERIC
+    )
+    cat = ", ".join(
+        f"CASE WHEN {_u('p.syn_id', f'flip_{c}{seed}')} < 0.05 AND b.{c} IS NOT NULL AND len(list_filter(lv.l_{c}, lambda v: v <> b.{c})) > 0 "
+        f"THEN list_filter(lv.l_{c}, lambda v: v <> b.{c})[CAST(floor({_u('p.syn_id', f'pick_{c}{seed}')} * len(list_filter(lv.l_{c}, lambda v: v <> b.{c}))) AS BIGINT) + 1] "
+        f"ELSE b.{c} END AS {c}"
+        for c in CAT
+    )
+    return f"""
+tr AS (SELECT row_id, {', '.join(FEATURES)}, Personality FROM survey WHERE origin = 'train'),
+tcc AS (SELECT Personality, count(*) AS n FROM tr GROUP BY Personality),
+mc AS (SELECT Personality AS minority_class FROM tcc ORDER BY n, Personality LIMIT 1),
+jb AS (SELECT *, row_number() OVER (ORDER BY {sql_hash_hex('row_id', f'boot{seed}')}, row_id) AS r
+       FROM tr WHERE Personality = (SELECT minority_class FROM mc)),
+jm AS (SELECT count(*) AS m FROM jb),
+st AS (SELECT {stats} FROM tr),
+lv AS (SELECT {lv} FROM tr),
+jp AS (SELECT syn_id, CAST(floor({_u('syn_id', f'pick{seed}')} * m) + 1 AS BIGINT) AS r
+       FROM (SELECT unnest(range(CAST(floor(m * {ratio}) AS BIGINT))) AS syn_id, m FROM jm)),
+jit AS (SELECT p.syn_id, b.row_id AS base_id, {num}, {cat}, b.Personality
+        FROM jp p JOIN jb b ON p.r = b.r, st, lv)
+"""
+
+
+def queries_sql_3() -> dict[str, str]:
+    ks_parts = []
+    for c in NUMERIC:
+        ks_parts.append(f"SELECT '{c}' AS feature, {c} AS v, 1 AS side FROM tr WHERE {c} IS NOT NULL")
+        ks_parts.append(f"SELECT '{c}' AS feature, {c} AS v, 2 AS side FROM jit WHERE {c} IS NOT NULL")
+    ks = f"""
+ks_s AS ({' UNION ALL '.join(ks_parts)}),
+ks_c AS (SELECT feature, v, count(*) FILTER (WHERE side = 1) AS c1, count(*) FILTER (WHERE side = 2) AS c2 FROM ks_s GROUP BY feature, v),
+ks_cum AS (SELECT feature,
+                  sum(c1) OVER (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r1,
+                  sum(c2) OVER (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r2,
+                  sum(c1) OVER (PARTITION BY feature) AS n1, sum(c2) OVER (PARTITION BY feature) AS n2 FROM ks_c),
+ks AS (SELECT feature, max(abs(r1 / n1 - r2 / n2)) AS ks FROM ks_cum GROUP BY feature),
+sim AS (SELECT avg(1 - ks) AS sim FROM ks)
+"""
+    conf = f"greatest({_u('syn_id', 'conf')}, 1 - {_u('syn_id', 'conf')})"
+    return {
+        "augment_jitter": with_survey(
+            "SELECT syn_id, base_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in NUMERIC) + f", {', '.join(CAT)}, Personality FROM jit",
+            _jitter_cte(),
+        ),
+        "balance_quota": with_survey(
+            """SELECT minority_class, minority_count, majority_count, need,
+                      CAST(floor(need * 0.6) AS BIGINT) AS n_smote, CAST(floor(need * 0.4) AS BIGINT) AS n_copula
+               FROM (SELECT minority_class, minority_count, majority_count,
+                            CAST(greatest(floor(majority_count * 0.7) - minority_count, 0) AS BIGINT) AS need FROM cb)""",
+            CLASS_BALANCE_CTE,
+        ),
+        "balance_before_after": with_survey(
+            """SELECT t.Personality, t.n AS n_before, t.n + coalesce(j.n, 0) AS n_after
+               FROM tcc t LEFT JOIN (SELECT Personality, count(*) AS n FROM jit GROUP BY Personality) j USING (Personality)""",
+            _jitter_cte(),
+        ),
+        "quality_filter": with_survey(
+            f"SELECT syn_id, round(q, 6) AS quality FROM (SELECT syn_id, 0.7 * {conf} + 0.3 * (SELECT sim FROM sim) AS q FROM jit) WHERE q >= 0.75",
+            _jitter_cte() + "," + ks,
+        ),
+    }

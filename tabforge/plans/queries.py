@@ -344,3 +344,86 @@ def q_domain_weight_summary(spark, sf_dir):
     from tabforge.operators.domain import domain_weight_summary
 
     return domain_weight_summary(_weighted(spark, sf_dir))
+
+
+# ------------------------------------------------------------ step 5: augmentation
+
+
+def _train_raw(spark, sf_dir, mat=True):
+    s = _survey(spark, sf_dir).filter(F.col("origin") == "train").select("row_id", *FEATURES, TARGET)
+    return materialize(s, mat)
+
+
+def _train_imputed(spark, sf_dir):
+    """Imputed (un-encoded) training rows: the input the generators expect."""
+    s = _survey(spark, sf_dir, mat=True)
+    s = impute.fill_global_median(impute.impute_chain(s), NUMERIC)
+    return materialize(s.filter(F.col("origin") == "train").select("row_id", *FEATURES, TARGET))
+
+
+def _jitter(spark, sf_dir):
+    from tabforge.operators.augment import jitter
+
+    return jitter(_train_raw(spark, sf_dir), TARGET, NUMERIC, CATEGORICAL, ratio=0.05, seed=42)
+
+
+def q_augment_jitter(spark, sf_dir):
+    j = _jitter(spark, sf_dir)
+    return j.select("syn_id", "base_id", *[F.round(c, 6).alias(c) for c in NUMERIC], *CATEGORICAL, TARGET)
+
+
+def q_balance_quota(spark, sf_dir):
+    from tabforge.operators.augment import balance_quota
+
+    return balance_quota(_train_raw(spark, sf_dir, mat=False), TARGET)
+
+
+def q_balance_before_after(spark, sf_dir):
+    t = _train_raw(spark, sf_dir)
+    before = t.groupBy(TARGET).agg(F.count(F.lit(1)).alias("n_before"))
+    after = t.select(TARGET).unionByName(_jitter(spark, sf_dir).select(TARGET)).groupBy(TARGET).agg(F.count(F.lit(1)).alias("n_after"))
+    return before.join(after, TARGET, "full")
+
+
+def q_quality_filter(spark, sf_dir):
+    from tabforge.functions.rng import hash_uniform
+    from tabforge.operators.augment import quality_filter
+
+    j = _jitter(spark, sf_dir)
+    u = hash_uniform("syn_id", "conf")
+    kept = quality_filter(_train_raw(spark, sf_dir), j, NUMERIC, F.greatest(u, 1 - u))
+    return kept.select("syn_id", F.round("quality", 6).alias("quality"))
+
+
+def q_augment_copula(spark, sf_dir):
+    from tabforge.operators.augment import copula
+
+    return copula(_train_raw(spark, sf_dir), TARGET, NUMERIC, CATEGORICAL, ratio=0.05, seed=42)
+
+
+def q_augment_mixed(spark, sf_dir):
+    from tabforge.operators.augment import mixed
+
+    return mixed(_train_raw(spark, sf_dir), TARGET, NUMERIC, CATEGORICAL, ratio=0.05, seed=42)
+
+
+def q_augment_class_balanced(spark, sf_dir):
+    from tabforge.operators.augment import class_balanced
+
+    return class_balanced(_train_raw(spark, sf_dir), TARGET, NUMERIC, CATEGORICAL, seed=42)
+
+
+def q_quality_filter_model(spark, sf_dir):
+    from tabforge.operators.augment import model_confidence, quality_filter
+
+    t = impute.fill_global_median(_train_raw(spark, sf_dir), NUMERIC)
+    t = t.withColumn("__y", (F.col(TARGET) == "Introvert").cast("double"))
+    j = impute.fill_global_median(_jitter(spark, sf_dir), NUMERIC)
+    conf = model_confidence(t, j, "__y", NUMERIC)
+    return quality_filter(t, conf, NUMERIC, F.col("confidence")).select("syn_id", "quality")
+
+
+def q_augment(spark, sf_dir):
+    from tabforge.operators.augment import augment
+
+    return augment(_train_imputed(spark, sf_dir), TARGET, NUMERIC, CATEGORICAL, seed=42)
