@@ -285,6 +285,7 @@ def queries_sql() -> dict[str, str]:
     del cat_cols
     out.update(queries_sql_2())
     out.update(queries_sql_3())
+    out.update(queries_sql_4())
     return out
 
 
@@ -504,3 +505,53 @@ sim AS (SELECT avg(1 - ks) AS sim FROM ks)
             _jitter_cte() + "," + ks,
         ),
     }
+
+
+def queries_sql_4() -> dict[str, str]:
+    defaults = {"Time_spent_Alone": 2.0, "Social_event_attendance": 4.0, "Going_outside": 3.0, "Friends_circle_size": 8.0, "Post_frequency": 3.0}
+    sf = ", ".join(f"coalesce(CAST({c} AS DOUBLE), {v}) AS {c}" for c, v in defaults.items())
+    oh = ", ".join(
+        f"coalesce(CAST({c} = '{v}' AS DOUBLE), 0.0) AS {c}_{v}" for c in CAT for v in ("No", "Unknown", "Yes")
+    )
+    serve = f"SELECT row_id, {sf}, {oh}, 0.0 AS match_p_Extrovert, 0.0 AS match_p_Introvert, 1.0 AS match_p_Unknown FROM survey"
+    u = _u("row_id", "A")
+    conf = f"round(greatest({u}, 1 - {u}), 6)"
+    contract = [
+        *NUMERIC,
+        "Stage_fear_No", "Stage_fear_Unknown", "Stage_fear_Yes",
+        "Drained_after_socializing_No", "Drained_after_socializing_Unknown", "Drained_after_socializing_Yes",
+        "match_p_Extrovert", "match_p_Introvert", "match_p_Unknown",
+    ]
+    present = set(NUMERIC) | {"Stage_fear_No", "Stage_fear_Yes"}
+    align = ", ".join(
+        (f"CAST({c} AS DOUBLE) AS {c}" if c in NUMERIC else f"CAST(coalesce(Stage_fear = '{c.split('_')[-1]}', false) AS DOUBLE) AS {c}")
+        if c in present
+        else f"0.0 AS {c}"
+        for c in contract
+    )
+    return {
+        "serve_features": with_survey(serve),
+        "confidence_tier": with_survey(
+            f"SELECT row_id, c AS confidence, CASE WHEN c > 0.7 THEN 'High' WHEN c > 0.5 THEN 'Medium' ELSE 'Low' END AS tier "
+            f"FROM (SELECT row_id, {conf} AS c FROM survey)"
+        ),
+        "profile_dimensions": with_survey(
+            """SELECT row_id, round(1 - coalesce(Time_spent_Alone, 12.0) / 24.0, 6) AS social_energy,
+                      round(1 - coalesce(Post_frequency, 10.0) / 20.0, 6) AS processing_style,
+                      round(CAST(CASE WHEN coalesce(Stage_fear_Yes, 0.0) <> 0 THEN 0.8 ELSE 0.3 END AS DOUBLE), 6) AS decision_making,
+                      round(1 - coalesce(Going_outside, 7.0) / 15.0, 6) AS lifestyle,
+                      round(1 - coalesce(Friends_circle_size, 25.0) / 50.0, 6) AS communication FROM sv""",
+            f"sv AS ({serve})",
+        ),
+        "label_decode": with_survey(
+            f"SELECT row_id, prediction, coalesce(CASE prediction WHEN 0 THEN 'Extrovert' WHEN 1 THEN 'Introvert' END, "
+            f"'Class_' || CAST(prediction AS VARCHAR)) AS predicted_label FROM "
+            f"(SELECT row_id, CAST(floor({_u('row_id', 'code')} * 3) AS INTEGER) AS prediction FROM survey)"
+        ),
+        "align_features": with_survey(f"SELECT row_id, {align} FROM survey"),
+        "model_metadata": with_survey(
+            "SELECT 'stack_C' AS name, 'stacking' AS model_type, count(*) AS n_training_rows, "
+            f"[{', '.join(repr(c) for c in contract)}] AS features, ['Extrovert', 'Introvert'] AS classes "
+            "FROM survey WHERE origin = 'train'"
+        ),
+    }

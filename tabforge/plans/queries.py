@@ -427,3 +427,185 @@ def q_augment(spark, sf_dir):
     from tabforge.operators.augment import augment
 
     return augment(_train_imputed(spark, sf_dir), TARGET, NUMERIC, CATEGORICAL, seed=42)
+
+
+# ------------------------------------------------------------ step 6: models (rows-only checks)
+
+CLASSES = ["Extrovert", "Introvert"]
+
+
+def _model_tables(spark, sf_dir):
+    from tabforge.operators.scoring import CONTRACT
+    from tabforge.plans.train import model_tables
+
+    return model_tables(prep_plan.prep_survey(spark, sf_dir), CONTRACT)
+
+
+def q_oof_scores(spark, sf_dir):
+    from tabforge.models.builders import logistic
+    from tabforge.models.stacking import oof_scores
+
+    train, test = _model_tables(spark, sf_dir)
+    oof, _ = oof_scores(train, lambda: logistic({"regParam": 0.0}), out="p", k=5, seed=42)
+    return oof.select("row_id", "label", "p")
+
+
+def q_oof_scores_noisy(spark, sf_dir):
+    from tabforge.models.builders import logistic
+    from tabforge.models.stacking import oof_scores
+
+    train, test = _model_tables(spark, sf_dir)
+    oof, test_mean = oof_scores(train, lambda: logistic({"regParam": 0.0}), out="p", k=5, seed=42, noise_rate=0.02, test=test)
+    return oof.select("row_id", "label", "p")
+
+
+def _stack(name):
+    def run(spark, sf_dir):
+        from tabforge.models.builders import stack_spec
+        from tabforge.models.stacking import build_stack, p1
+        from tabforge.operators.scoring import CONTRACT
+        from tabforge.plans.train import budget_for
+
+        train, test = _model_tables(spark, sf_dir)
+        b = budget_for(name, len(CONTRACT))
+        model = build_stack(stack_spec(name, b), b, k=2)().fit(train)
+        return p1(model.transform(test.select("row_id", "features")), "p").select("row_id", "p")
+
+    run.__name__ = f"q_stack_{name.lower()}"
+    return run
+
+
+q_stack_a = _stack("A")
+q_stack_b = _stack("B")
+q_stack_c = _stack("C")
+q_stack_d = _stack("D")
+q_stack_e = _stack("E")
+q_stack_f = _stack("F")
+for _f in (q_stack_a, q_stack_b, q_stack_c, q_stack_d, q_stack_e, q_stack_f):
+    _f.__module__ = __name__
+
+
+def q_param_search(spark, sf_dir):
+    from tabforge.models.builders import logistic
+    from tabforge.models.search import param_search
+
+    train, _ = _model_tables(spark, sf_dir)
+    n = train.count()
+    space = [("C", 0.1, 10.0, "log")]
+    return param_search(train, lambda d: logistic(d, n_rows=n), space, n_trials=3, k=3, seed=42)
+
+
+def q_soft_vote(spark, sf_dir):
+    from tabforge.plans.train import soft_vote_ensemble
+
+    train, test = _model_tables(spark, sf_dir)
+    return soft_vote_ensemble(train, test, trees=5)
+
+
+def q_refit_predict(spark, sf_dir):
+    from tabforge.operators.scoring import CONTRACT
+    from tabforge.plans.train import refit_predict
+
+    train, test = _model_tables(spark, sf_dir)
+    return refit_predict(train, test, ["C"], {"C": 1.0}, len(CONTRACT), CLASSES)
+
+
+def q_self_train(spark, sf_dir):
+    from tabforge.operators.scoring import CONTRACT
+    from tabforge.plans.train import self_train
+
+    train, test = _model_tables(spark, sf_dir)
+    return self_train(train, test, ["C"], {"C": 1.0}, len(CONTRACT), CLASSES)
+
+
+def q_domain_weights(spark, sf_dir):
+    from tabforge.plans.train import domain_weights
+
+    d = _customer_domains(spark, sf_dir).select("c_custkey", "c_acctbal", "domain")
+    from tabforge.sources.tables import table
+
+    nat = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("nation"))
+    d = d.join(nat, "c_custkey")
+    return domain_weights(d, ["c_acctbal"], ["nation"])
+
+
+# ------------------------------------------------------------ step 7: serving
+
+
+def _raw_answers(spark, sf_dir):
+    return _survey(spark, sf_dir).select("row_id", *FEATURES, "origin")
+
+
+def q_serve_features(spark, sf_dir):
+    from tabforge.operators.scoring import serve_features
+
+    return serve_features(_raw_answers(spark, sf_dir))
+
+
+def q_confidence_tier(spark, sf_dir):
+    from tabforge.functions.rng import hash_uniform
+    from tabforge.operators.scoring import confidence_tier
+
+    s = _survey(spark, sf_dir).select("row_id")
+    u = hash_uniform("row_id", "A")
+    conf = F.round(F.greatest(u, 1 - u), 6)
+    return s.select("row_id", conf.alias("confidence"), confidence_tier(conf).alias("tier"))
+
+
+def q_profile_dimensions(spark, sf_dir):
+    from tabforge.operators.scoring import profile_dimensions, serve_features
+
+    d = profile_dimensions(serve_features(_raw_answers(spark, sf_dir)))
+    return d.select("row_id", *[F.round(c, 6).alias(c) for c in d.columns if c != "row_id"])
+
+
+def q_label_decode(spark, sf_dir):
+    from tabforge.functions.rng import hash_index
+
+    s = _survey(spark, sf_dir).select("row_id", hash_index("row_id", "code", 3).cast("int").alias("prediction"))
+    return encode.label_decode(s, "prediction", CLASSES, out="predicted_label")
+
+
+def q_align_features(spark, sf_dir):
+    from tabforge.operators.scoring import CONTRACT
+
+    s = encode.one_hot(_survey(spark, sf_dir).select("row_id", *NUMERIC, "Stage_fear"), ["Stage_fear"])
+    return encode.align_features(s, CONTRACT, keep=["row_id"])
+
+
+def q_model_metadata(spark, sf_dir):
+    from tabforge.operators.scoring import CONTRACT
+    from tabforge.sources.io import model_metadata
+
+    n = _survey(spark, sf_dir).filter(F.col("origin") == "train").count()
+    return model_metadata(spark, "stack_C", "stacking", n, CONTRACT, CLASSES).drop("label_map")
+
+
+def _serving_model(spark, sf_dir):
+    from tabforge.plans.train import pipeline_model
+
+    train, _ = _model_tables(spark, sf_dir)
+    return pipeline_model().fit(train)
+
+
+def q_score_batch(spark, sf_dir):
+    from tabforge.operators.scoring import CONTRACT, score_batch, serve_features
+
+    model = _serving_model(spark, sf_dir)
+    raw = _raw_answers(spark, sf_dir).filter(F.col("origin") == "test")
+    return score_batch(model, serve_features(raw), CONTRACT, CLASSES)
+
+
+def q_stream_score(spark, sf_dir):
+    import os
+    import uuid
+
+    from tabforge.session import ensure_checkpoint_dir
+    from tabforge.streaming.scorer import stream_score
+
+    model = _serving_model(spark, sf_dir)
+    base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    raw = _raw_answers(spark, sf_dir).filter(F.col("origin") == "test").drop("origin")
+    raw.repartition(4).write.parquet(f"{base}/in")
+    stream_score(spark, model, f"{base}/in", raw.schema, f"{base}/out", f"{base}/ckpt", CLASSES)
+    return spark.read.parquet(f"{base}/out")
