@@ -49,6 +49,9 @@ def oof_scores(
     """
     if fold_col not in df.columns:
         df = stratified_folds(df, "label", k=k, seed=seed, id_col=id_col, out=fold_col)
+    # every fold reads the fold-tagged table twice; cache it once (a lost block
+    # is recomputed from lineage)
+    df = df.persist()
     oof_parts, test_parts = [], []
     for i in range(k):
         train = df.filter(F.col(fold_col) != i)
