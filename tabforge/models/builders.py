@@ -136,3 +136,21 @@ class _PlattModel:
         m = self.svc.transform(df).select(*keep, vector_to_array("rawPrediction")[1].alias("__m"))
         out = self.platt.setFeaturesCol("__mv").transform(self.va.transform(m))
         return out.drop("__m", "__mv")
+
+
+# The six stack configurations (name, display name, seed, startup draws, wide space, label noise).
+STACK_REGISTRY = [
+    ("A", "Traditional ML (narrow)", 42, 5, False, 0.0),
+    ("B", "Traditional ML (wide)", 2024, 5, True, 0.0),
+    ("C", "XGBoost + CatBoost", 1337, 10, False, 0.0),
+    ("D", "Sklearn models", 9999, 10, False, 0.0),
+    ("E", "Neural Networks", 7777, 10, False, 0.0),
+    ("F", "Noisy Labels", 5555, 10, False, 0.02),
+]
+
+
+def stack_registry(spark):
+    """The stack configurations as a small DataFrame (a configuration table)."""
+    return spark.createDataFrame(
+        STACK_REGISTRY, "name string, display_name string, seed int, startup_trials int, wide boolean, noise_rate double"
+    )

@@ -183,3 +183,16 @@ def diversity_score(orig: DataFrame, synth: DataFrame, cols: Sequence[str]) -> D
 def diversity_passes(orig: DataFrame, synth: DataFrame, cols: Sequence[str], threshold: float = 0.8) -> bool:
     row = diversity_score(orig, synth, cols).agg(F.avg("diversity").alias("m")).first()
     return row["m"] is None or row["m"] >= threshold
+
+
+def feature_complexity(df: DataFrame, label: str, features: Sequence[str], num_trees: int = 10, seed: int = 42) -> float:
+    """Population sd of a small forest's feature importances (the 'complexity'
+    characteristic); a model statistic, so it stays out of the SQL-checked row."""
+    import numpy as np
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    x = VectorAssembler(inputCols=list(features), outputCol="__fv", handleInvalid="keep").transform(df)
+    x = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(x).transform(x)
+    rf = RandomForestClassifier(featuresCol="__fv", labelCol="__y", numTrees=num_trees, seed=seed).fit(x)
+    return float(np.std(rf.featureImportances.toArray()))

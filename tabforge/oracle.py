@@ -549,6 +549,12 @@ def queries_sql_4() -> dict[str, str]:
             f"(SELECT row_id, CAST(floor({_u('row_id', 'code')} * 3) AS INTEGER) AS prediction FROM survey)"
         ),
         "align_features": with_survey(f"SELECT row_id, {align} FROM survey"),
+        "domain_removal": "WITH "
+        + _domains_cte().strip()
+        + """
+SELECT domain, count(*) AS n_before, count(*) FILTER (WHERE domain = 0 OR weight >= 0.2) AS n_after,
+       round((count(*) - count(*) FILTER (WHERE domain = 0 OR weight >= 0.2)) * 100.0 / count(*), 6) AS pct_removed
+FROM cw GROUP BY domain""",
         "model_metadata": with_survey(
             "SELECT 'stack_C' AS name, 'stacking' AS model_type, count(*) AS n_training_rows, "
             f"[{', '.join(repr(c) for c in contract)}] AS features, ['Extrovert', 'Introvert'] AS classes "

@@ -609,3 +609,21 @@ def q_stream_score(spark, sf_dir):
     raw.repartition(4).write.parquet(f"{base}/in")
     stream_score(spark, model, f"{base}/in", raw.schema, f"{base}/out", f"{base}/ckpt", CLASSES)
     return spark.read.parquet(f"{base}/out")
+
+
+# ------------------------------------------------------------ more profile / domain keys
+
+
+def q_data_complexity(spark, sf_dir):
+    from tabforge.operators.profile import data_characteristics, feature_complexity
+
+    t = impute.fill_global_median(_train_raw(spark, sf_dir), NUMERIC)
+    fc = feature_complexity(t, TARGET, NUMERIC)
+    return data_characteristics(t, TARGET, NUMERIC, CATEGORICAL).withColumn("feature_complexity", F.lit(fc))
+
+
+def q_domain_removal(spark, sf_dir):
+    from tabforge.operators.domain import domain_filter, removal_report
+
+    w = _weighted(spark, sf_dir)
+    return removal_report(w, domain_filter(w, 0.2))
