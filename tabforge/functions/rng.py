@@ -71,7 +71,9 @@ def rank_by_hash(
     keyed = df.withColumn(h, hash_hex(id_col, salt)).withColumn(b, F.substring(F.col(h), 1, digits))
     local_w = Window.partitionBy(*p, b).orderBy(F.col(h), F.col(id_col))
     keyed = keyed.withColumn("__local", F.row_number().over(local_w))
-    counts = keyed.groupBy(*p, b).agg(F.count(F.lit(1)).alias("__n"))
+    # bucket sizes from the numbered rows: the data is already partitioned by
+    # (P, bucket), so this needs no shuffle and both branches share one exchange
+    counts = keyed.groupBy(*p, b).agg(F.max("__local").alias("__n"))
     off_w = Window.partitionBy(*p).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*p, b, F.coalesce(F.sum("__n").over(off_w), F.lit(0)).alias("__off"))
     joined = join_small(keyed, offsets, on=[*p, b], how="inner", max_rows=broadcast_limit)

@@ -57,14 +57,16 @@ class BinSpec:
     method: str  # "quantile" | "equal_width" | "empty"
 
 
-def bin_spec(df: DataFrame, source: str, accuracy: int | None = None) -> BinSpec:
-    """Quartile edges, or 4 equal-width bins over [min, max] if any edge repeats."""
-    row = df.agg(
-        _pct(source, QUARTILES, accuracy).alias("q"),
-        F.min(source).alias("mn"),
-        F.max(source).alias("mx"),
-    ).first()
-    q, mn, mx = row["q"], row["mn"], row["mx"]
+def _edge_aggs(source: str, accuracy: int | None, prefix: str) -> list:
+    return [
+        _pct(source, QUARTILES, accuracy).alias(f"{prefix}q"),
+        F.min(source).alias(f"{prefix}mn"),
+        F.max(source).alias(f"{prefix}mx"),
+    ]
+
+
+def _spec_from(row, source: str, prefix: str) -> BinSpec:
+    q, mn, mx = row[f"{prefix}q"], row[f"{prefix}mn"], row[f"{prefix}mx"]
     if mn is None:
         return BinSpec(source, (), "empty")
     if len(set(q)) == len(q):
@@ -76,6 +78,11 @@ def bin_spec(df: DataFrame, source: str, accuracy: int | None = None) -> BinSpec
     return BinSpec(source, tuple(mn + i * (mx - mn) / 4 for i in range(5)), "equal_width")
 
 
+def bin_spec(df: DataFrame, source: str, accuracy: int | None = None) -> BinSpec:
+    """Quartile edges, or 4 equal-width bins over [min, max] if any edge repeats."""
+    return _spec_from(df.agg(*_edge_aggs(source, accuracy, "e_")).first(), source, "e_")
+
+
 def bin_expr(spec: BinSpec) -> Column:
     """Bin 1..4 (NULL for a NULL source) with a single reference to the source.
 
@@ -96,27 +103,47 @@ def bin_by_quantile(df: DataFrame, source: str, out: str | None = None, accuracy
     return df.withColumn(out or f"{source}_bin", bin_expr(spec))
 
 
+def _median_aggs(spec: BinSpec, target: str) -> list:
+    """Median of the target inside each bin, as global aggregates (a FILTER per
+    bin) so they can share a pass with other statistics."""
+    b = bin_expr(spec)
+    return [F.median(F.when(b == k, F.col(target))).alias(f"m{k}") for k in range(1, 5)]
+
+
+def _fill(df: DataFrame, spec: BinSpec, target: str, row) -> DataFrame:
+    medians = [row[f"m{k}"] for k in range(1, 5)]
+    if all(m is None for m in medians):
+        return df
+    table = F.array(*[F.lit(None if m is None else float(m)).cast("double") for m in medians])
+    return df.withColumn(target, F.coalesce(F.col(target), F.element_at(table, bin_expr(spec))))
+
+
 def impute_by_quantile_group(df: DataFrame, source: str, target: str, accuracy: int | None = None) -> DataFrame:
     spec = bin_spec(df, source, accuracy)
     if spec.method == "empty":
         return df
-    b = bin_expr(spec)
-    medians = {
-        r["__bin"]: r["m"]
-        for r in df.groupBy(b.alias("__bin")).agg(F.median(target).alias("m")).collect()
-        if r["__bin"] is not None
-    }
-    if all(medians.get(k) is None for k in range(1, 5)):
-        return df
-    table = F.array(*[F.lit(None if medians.get(k) is None else float(medians[k])).cast("double") for k in range(1, 5)])
-    return df.withColumn(target, F.coalesce(F.col(target), F.element_at(table, b)))
+    return _fill(df, spec, target, df.agg(*_median_aggs(spec, target)).first())
 
 
 def impute_chain(df: DataFrame, steps=SURVEY_STEPS, accuracy: int | None = None) -> DataFrame:
-    """Apply the (target, source) steps in order; each sees the previous fills."""
-    for target, source in steps:
-        if target in df.columns and source in df.columns:
-            df = impute_by_quantile_group(df, source, target, accuracy)
+    """Apply the (target, source) steps in order; each sees the previous fills.
+
+    One aggregation pass per step computes the step's bin medians and, when
+    the next step's source is not the column this step fills, the next
+    step's edges too (their input is then already final).
+    """
+    steps = [(t, s) for t, s in steps if t in df.columns and s in df.columns]
+    spec = None
+    for i, (target, source) in enumerate(steps):
+        if spec is None:
+            spec = bin_spec(df, source, accuracy)
+        nxt = steps[i + 1][1] if i + 1 < len(steps) else None
+        fuse = nxt is not None and nxt != target
+        aggs = ([] if spec.method == "empty" else _median_aggs(spec, target)) + (_edge_aggs(nxt, accuracy, "n_") if fuse else [])
+        row = df.agg(*aggs).first() if aggs else None
+        if spec.method != "empty":
+            df = _fill(df, spec, target, row)
+        spec = _spec_from(row, nxt, "n_") if fuse else None
     return df
 
 
