@@ -313,10 +313,11 @@ def model_confidence(orig: DataFrame, synth: DataFrame, label: str, features: Se
 
 
 def smote_like(df: DataFrame, label: str, numeric, categorical, n: int, seed: int = 42, id_col: str = "row_id") -> DataFrame:
-    """Neighbour interpolation is not built yet (exact k-NN without pairing all rows
-    is open); like the reference when its resampler is unavailable, fall back to
-    the jitter generator with the requested count."""
-    return jitter(df, label, numeric, categorical, n=n, seed=seed + 1, id_col=id_col)
+    """SMOTE-NC rows (exact k-NN, see :mod:`tabforge.operators.neighbors`);
+    numeric features must already be imputed."""
+    from tabforge.operators.neighbors import smote
+
+    return smote(df, label, numeric, categorical, n=n, seed=seed + 1, id_col=id_col)
 
 
 def class_balanced(df: DataFrame, label: str, numeric, categorical, seed: int = 42, id_col: str = "row_id") -> DataFrame:

@@ -286,6 +286,7 @@ def queries_sql() -> dict[str, str]:
     out.update(queries_sql_2())
     out.update(queries_sql_3())
     out.update(queries_sql_4())
+    out["augment_smote"] = smote_sql()
     return out
 
 
@@ -561,3 +562,57 @@ FROM cw GROUP BY domain""",
             "FROM survey WHERE origin = 'train'"
         ),
     }
+
+
+def _imputed_train_ctes() -> tuple[str, str]:
+    chain, last = impute_ctes("survey", prefix="im")
+    med = ", ".join(f"coalesce({c}, (SELECT median({c}) FROM {last})) AS {c}" for c in NUMERIC)
+    ctes = chain + f",\nimp AS (SELECT row_id, origin, Personality, {med}, {', '.join(CAT)} FROM {last}),\ntr AS (SELECT * FROM imp WHERE origin = 'train')"
+    return ctes, "tr"
+
+
+def smote_sql(k: int = 5, ratio: float = 0.05, seed: int = 42) -> str:
+    from tabforge.sources.fixture import sql_hash_hex
+
+    ctes, _ = _imputed_train_ctes()
+    feats = NUMERIC + CAT
+    dist = " + ".join(f"(b.{c} - y.{c}) * (b.{c} - y.{c})" for c in NUMERIC) + "".join(
+        f" + CASE WHEN b.{c} <> y.{c} THEN pen.p ELSE 0.0 END" for c in CAT
+    )
+    stds = " UNION ALL ".join(f"SELECT stddev_samp({c}) AS s FROM mrows" for c in NUMERIC)
+    gap = _u("b.syn_id", f"gap{seed}")
+    votes = []
+    for c in CAT:
+        votes.append(
+            f"v_{c} AS (SELECT syn_id, arg_max({c}, (n, -rank_v)) AS {c} FROM ("
+            f"SELECT syn_id, {c}, count(*) AS n, dense_rank() OVER (PARTITION BY syn_id ORDER BY {c} ASC) AS rank_v "
+            f"FROM knn GROUP BY syn_id, {c}) GROUP BY syn_id)"
+        )
+    extra = f"""{ctes},
+tcc AS (SELECT Personality, count(*) AS n FROM tr GROUP BY Personality),
+mc AS (SELECT Personality AS minority_class FROM tcc ORDER BY n, Personality LIMIT 1),
+mrows AS (SELECT row_id, {', '.join(NUMERIC)}, {', '.join(f"coalesce({c}, 'Unknown') AS {c}" for c in CAT)}
+          FROM tr WHERE Personality = (SELECT minority_class FROM mc)),
+vec AS (SELECT *, min(row_id) OVER (PARTITION BY {', '.join(feats)}) AS vid FROM mrows),
+jb AS (SELECT *, row_number() OVER (ORDER BY {sql_hash_hex('row_id', f'boot{seed}')}, row_id) AS r FROM vec),
+jm AS (SELECT count(*) AS m FROM jb),
+jp AS (SELECT syn_id, CAST(floor({_u('syn_id', f'pick{seed}')} * m) + 1 AS BIGINT) AS r
+       FROM (SELECT unnest(range(CAST(floor(m * {ratio}) AS BIGINT))) AS syn_id, m FROM jm)),
+base AS (SELECT p.syn_id, b.* EXCLUDE (r) FROM jp p JOIN jb b ON p.r = b.r),
+pen AS (SELECT median(s) * median(s) AS p FROM ({stds})),
+cand AS (SELECT b.syn_id, y.vid, y.row_id AS yid, {dist} AS dist2, {', '.join(f'y.{c}' for c in feats)}
+         FROM base b JOIN vec y ON y.row_id <> b.row_id, pen),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY syn_id ORDER BY dist2, vid, yid) AS rk FROM cand),
+knn AS (SELECT * FROM ranked WHERE rk <= least({k}, (SELECT m - 1 FROM jm))),
+nn AS (SELECT k2.* FROM knn k2 JOIN base b ON k2.syn_id = b.syn_id
+       WHERE k2.rk = CAST(floor({_u('b.syn_id', f'nn{seed}')} * least({k}, (SELECT m - 1 FROM jm))) + 1 AS BIGINT)),
+{', '.join(votes)}
+"""
+    num = ", ".join(f"round(b.{c} + {gap} * (nn.{c} - b.{c}), 6) AS {c}" for c in NUMERIC)
+    cats = ", ".join(f"v_{c}.{c}" for c in CAT)
+    joins = " ".join(f"JOIN v_{c} ON v_{c}.syn_id = b.syn_id" for c in CAT)
+    body = (
+        f"SELECT b.syn_id, b.row_id AS base_id, {num}, {cats}, (SELECT minority_class FROM mc) AS Personality "
+        f"FROM base b JOIN nn ON nn.syn_id = b.syn_id {joins}"
+    )
+    return with_survey(body, extra)

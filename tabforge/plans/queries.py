@@ -404,13 +404,13 @@ def q_augment_copula(spark, sf_dir):
 def q_augment_mixed(spark, sf_dir):
     from tabforge.operators.augment import mixed
 
-    return mixed(_train_raw(spark, sf_dir), TARGET, NUMERIC, CATEGORICAL, ratio=0.05, seed=42)
+    return mixed(_train_imputed(spark, sf_dir), TARGET, NUMERIC, CATEGORICAL, ratio=0.05, seed=42)
 
 
 def q_augment_class_balanced(spark, sf_dir):
     from tabforge.operators.augment import class_balanced
 
-    return class_balanced(_train_raw(spark, sf_dir), TARGET, NUMERIC, CATEGORICAL, seed=42)
+    return class_balanced(_train_imputed(spark, sf_dir), TARGET, NUMERIC, CATEGORICAL, seed=42)
 
 
 def q_quality_filter_model(spark, sf_dir):
@@ -627,3 +627,13 @@ def q_domain_removal(spark, sf_dir):
 
     w = _weighted(spark, sf_dir)
     return removal_report(w, domain_filter(w, 0.2))
+
+
+def q_augment_smote(spark, sf_dir):
+    from tabforge.operators.augment import minority_class
+    from tabforge.operators.neighbors import smote
+
+    t = _train_imputed(spark, sf_dir)
+    m = t.filter(F.col(TARGET) == minority_class(t, TARGET)).count()
+    out = smote(t, TARGET, NUMERIC, CATEGORICAL, n=int(m * 0.05), k=5, seed=42)
+    return out.select("syn_id", "base_id", *[F.round(c, 6).alias(c) for c in NUMERIC], *CATEGORICAL, TARGET)

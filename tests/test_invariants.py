@@ -81,3 +81,48 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert {"row_id", "origin", "label", "match_p_Unknown"} <= set(df.columns)
+
+
+def test_knn_vectors_exact_against_brute_force(spark):
+    import itertools
+
+    from tabforge.operators.neighbors import knn_vectors
+
+    pts = [(i, float(x), float(y), c) for i, (x, y, c) in enumerate(
+        [(0, 0, "a"), (0, 0, "a"), (1, 0, "b"), (5, 5, "a"), (5, 6, "a"), (9, 1, "b"), (2, 2, "a"), (2, 3, "b"), (8, 8, "a"), (0, 9, "b"), (3, 1, "a"), (7, 4, "b")]
+    )]
+    rows = spark.createDataFrame(pts, "row_id long, x double, y double, c string")
+    vectors = rows.groupBy("x", "y", "c").agg(F.count(F.lit(1)).alias("mult"), F.min("row_id").alias("vid"))
+    queries = vectors.select(F.col("vid").alias("qvid"), "x", "y", "c")
+    k, pen = 3, 2.0
+    got = knn_vectors(vectors, queries, ["x", "y"], ["c"], k, penalty=pen, max_cell=2)
+    got = {(r["qvid"], r["vid"], r["take"]) for r in got.collect()}
+    vec = [(r["vid"], r["x"], r["y"], r["c"], r["mult"]) for r in vectors.collect()]
+    want = set()
+    for qv, qx, qy, qc, _ in vec:
+        cands = []
+        for vid, x, y, c, mult in vec:
+            m_eff = mult - (1 if vid == qv else 0)
+            if m_eff > 0:
+                cands.append(((qx - x) ** 2 + (qy - y) ** 2 + (pen if c != qc else 0.0), vid, m_eff))
+        cands.sort()
+        left = k
+        for d, vid, m_eff in cands:
+            if left <= 0:
+                break
+            want.add((qv, vid, min(m_eff, left)))
+            left -= m_eff
+    assert got == want
+
+
+def test_smote_invariants(spark):
+    from tabforge.operators.neighbors import smote
+
+    t = q._train_imputed(spark, SF)
+    out = smote(t, TARGET, NUMERIC, CATEGORICAL, n=40)
+    assert out.count() == 40
+    minority = augment.minority_class(t, TARGET)
+    assert out.filter(F.col(TARGET) != minority).count() == 0
+    st = t.agg(*[F.min(c).alias(f"lo_{c}") for c in NUMERIC], *[F.max(c).alias(f"hi_{c}") for c in NUMERIC]).first()
+    for c in NUMERIC:
+        assert out.filter((F.col(c) < st[f"lo_{c}"]) | (F.col(c) > st[f"hi_{c}"])).count() == 0
