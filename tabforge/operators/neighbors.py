@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabforge.functions.joins import join_small
 from tabforge.functions.rng import hash_uniform
 from tabforge.session import materialize
 
@@ -84,6 +85,11 @@ def knn_vectors(
             "*", F.explode(offs).alias("__off")
         ).withColumn("cell", F.zip_with("__base", "__off", lambda a, b: a + b)).drop("__base", "__off")
         vcells = v.withColumn("cell", _cell([f"v_{c}" for c in grid], lv))
+        if level > 0:
+            # later levels serve only the few unresolved queries: keep just the
+            # vectors in cells they touch (size-checked broadcast semi-join)
+            qkeys = qcells.select("cell").distinct()
+            vcells = join_small(vcells, qkeys, on="cell", how="left_semi", max_rows=2_000_000)
         cand = qcells.join(vcells, "cell").drop("cell")
         cand = cand.select(
             "qvid", "vid", _dist2(numeric, categorical, penalty).alias("dist2"),
