@@ -180,7 +180,16 @@ def diversity_score(orig: DataFrame, synth: DataFrame, cols: Sequence[str]) -> D
     return d.select("feature", F.round(F.least(F.col("ss") / (F.col("so") + 1e-6), F.lit(2.0)), 6).alias("diversity"))
 
 
-def diversity_passes(orig: DataFrame, synth: DataFrame, cols: Sequence[str], threshold: float = 0.8) -> bool:
+def diversity_passes(
+    orig: DataFrame, synth: DataFrame, cols: Sequence[str], threshold: float = 0.8, sample_size: int | None = None, seed: int = 42, id_cols: tuple = ("row_id", "syn_id")
+) -> bool:
+    """Mean diversity over columns >= threshold. With ``sample_size`` both sides
+    are first reduced to exactly min(sample_size, rows) hash-chosen rows."""
+    if sample_size is not None:
+        from tabforge.operators.folds import sample_n
+
+        orig = sample_n(orig, sample_size, seed, id_col=id_cols[0])
+        synth = sample_n(synth, sample_size, seed, id_col=id_cols[1])
     row = diversity_score(orig, synth, cols).agg(F.avg("diversity").alias("m")).first()
     return row["m"] is None or row["m"] >= threshold
 
