@@ -401,7 +401,7 @@ def augment(df: DataFrame, label: str, numeric, categorical, seed: int = 42, id_
     dom = domains(df.select(*[F.coalesce(F.col(c), F.lit("Unknown")).alias(o) for c, o in zip(categorical, oh)]), oh, max_levels=1000)
     enc_real, enc_syn = encoded(df), encoded(syn)
     feats = numeric + [f"{o}_{v}" for o in oh for v in dom[o]]
-    labels = sorted(r[0] for r in df.select(label).distinct().collect())
+    labels = domains(df, [label], max_levels=1000)[label]
     idx = {v: i for i, v in enumerate(labels)}
     lab = F.create_map(*[y for v, i in idx.items() for y in (F.lit(v), F.lit(float(i)))])
     real_ml = enc_real.withColumn("__y", lab[F.col(label)])

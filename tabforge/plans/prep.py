@@ -16,8 +16,12 @@ from tabforge.sources import fixture
 CATEGORICAL_ENCODED = ["Stage_fear", "Drained_after_socializing", "match_p"]
 
 
-def enriched_survey(spark: SparkSession, sf_dir: str, materialize_base: bool = True) -> DataFrame:
-    """Survey ⟕ external lookup on the seven answers (NULL-safe)."""
+def enriched_survey(spark: SparkSession, sf_dir: str, materialize_base: bool = False) -> DataFrame:
+    """Survey ⟕ external lookup on the seven answers (NULL-safe).
+
+    The survey appears twice in the plan (left side and lookup); both read
+    the same aggregated-lineitem exchange, so by default it is not written out
+    separately -- ``prep`` materializes the enriched table once."""
     base = fixture.survey(spark, sf_dir)
     base = materialize(base, materialize_base)
     ext = fixture.external(spark, sf_dir, base)
@@ -53,5 +57,5 @@ def prep(
     return df.select("row_id", origin, "label", *feats)
 
 
-def prep_survey(spark: SparkSession, sf_dir: str, materialize_base: bool = True) -> DataFrame:
-    return prep(enriched_survey(spark, sf_dir, materialize_base), materialize_input=materialize_base)
+def prep_survey(spark: SparkSession, sf_dir: str, materialize_input: bool = True) -> DataFrame:
+    return prep(enriched_survey(spark, sf_dir), materialize_input=materialize_input)
