@@ -126,3 +126,17 @@ def test_smote_invariants(spark):
     st = t.agg(*[F.min(c).alias(f"lo_{c}") for c in NUMERIC], *[F.max(c).alias(f"hi_{c}") for c in NUMERIC]).first()
     for c in NUMERIC:
         assert out.filter((F.col(c) < st[f"lo_{c}"]) | (F.col(c) > st[f"hi_{c}"])).count() == 0
+
+
+def test_prep_same_under_shuffle_partitions(spark):
+    from tabforge.plans.prep import prep_survey
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        a = sorted(map(tuple, prep_survey(spark, SF).collect()))
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        b = sorted(map(tuple, prep_survey(spark, SF).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert a == b
