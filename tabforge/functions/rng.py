@@ -63,8 +63,6 @@ def rank_by_hash(
     inside (P, bucket), and each bucket's offset comes from a prefix sum over
     the small table of bucket counts (at most |P| x 16^digits rows).
     """
-    from tabforge.functions.joins import join_small
-
     p = list(partition_cols)
     h = "__h"
     b = "__b"
@@ -76,5 +74,8 @@ def rank_by_hash(
     counts = keyed.groupBy(*p, b).agg(F.max("__local").alias("__n"))
     off_w = Window.partitionBy(*p).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*p, b, F.coalesce(F.sum("__n").over(off_w), F.lit(0)).alias("__off"))
-    joined = join_small(keyed, offsets, on=[*p, b], how="inner", max_rows=broadcast_limit)
+    # The numbered rows are already hash-partitioned and sorted by (P, bucket),
+    # so a join on (P, bucket) only moves the small offsets table (AQE may
+    # broadcast it once its measured size is known).
+    joined = keyed.join(offsets, on=[*p, b], how="inner")
     return joined.withColumn(out, (F.col("__off") + F.col("__local")).cast("long")).drop(h, b, "__local", "__off")

@@ -142,9 +142,7 @@ def ks_statistic(a: DataFrame, b: DataFrame, cols: Sequence[str], buckets: int =
     rng = cnt.groupBy("feature").agg(
         F.min("v").alias("mn"), F.max("v").alias("mx"), F.sum("c1").alias("n1"), F.sum("c2").alias("n2")
     )
-    from tabforge.functions.joins import join_small
-
-    cnt = join_small(cnt, rng, on="feature", max_rows=100_000)
+    cnt = cnt.join(F.broadcast(rng), "feature")  # one row per column: bounded by len(cols)
     width = F.col("mx") - F.col("mn")
     bucket = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("v") - F.col("mn")) / width * buckets), F.lit(buckets - 1))
@@ -160,7 +158,7 @@ def ks_statistic(a: DataFrame, b: DataFrame, cols: Sequence[str], buckets: int =
         F.coalesce(F.sum("t1").over(w_off), F.lit(0)).alias("o1"),
         F.coalesce(F.sum("t2").over(w_off), F.lit(0)).alias("o2"),
     )
-    cnt = join_small(cnt, off, on=["feature", "bk"], max_rows=2_000_000)
+    cnt = cnt.join(off, ["feature", "bk"])  # cnt is already partitioned by (feature, bk)
     diff = F.abs((F.col("o1") + F.col("l1")) / F.col("n1") - (F.col("o2") + F.col("l2")) / F.col("n2"))
     return cnt.groupBy("feature").agg(F.max(diff).alias("ks"))
 
