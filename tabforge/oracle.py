@@ -287,6 +287,7 @@ def queries_sql() -> dict[str, str]:
     out.update(queries_sql_3())
     out.update(queries_sql_4())
     out["augment_smote"] = smote_sql()
+    out.update(queries_sql_5())
     return out
 
 
@@ -616,3 +617,39 @@ nn AS (SELECT k2.* FROM knn k2 JOIN base b ON k2.syn_id = b.syn_id
         f"FROM base b JOIN nn ON nn.syn_id = b.syn_id {joins}"
     )
     return with_survey(body, extra)
+
+
+def queries_sql_5() -> dict[str, str]:
+    from tabforge.sources.fixture import sql_hash_hex
+
+    docs = "docs AS (SELECT d.doc_id, d.n_chars, d.lang, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))"
+    u = _u("doc_id", "A")
+    conf_u = f"(CASE WHEN {u} < 0.5 THEN 2 * {u} * {u} ELSE 1 - 2 * (1 - {u}) * (1 - {u}) END)"
+    return {
+        "class_balance_docs": f"""WITH {docs},
+cc AS (SELECT quality, count(*) AS n FROM docs WHERE quality IS NOT NULL GROUP BY quality)
+SELECT sum(n) AS n_rows, count(*) AS n_classes, arg_min(quality, (n, quality)) AS minority_class, min(n) AS minority_count,
+       (SELECT quality FROM cc ORDER BY n DESC, quality LIMIT 1) AS majority_class, max(n) AS majority_count,
+       round(min(n) / max(n), 6) AS balance_ratio FROM cc""",
+        "stratified_folds_embeddings": f"""SELECT vec_id, label,
+       CAST((row_number() OVER (PARTITION BY label ORDER BY {sql_hash_hex('vec_id', 'fold42')}, vec_id) - 1) % 5 AS INTEGER) AS fold
+FROM embeddings""",
+        "pseudo_label_docs": f"""WITH {docs},
+lt AS (SELECT doc_id, quality AS label FROM docs WHERE quality IS NOT NULL),
+ts AS (SELECT doc_id, {conf_u} AS p FROM docs WHERE quality IS NULL),
+cand AS (SELECT doc_id, p, greatest(p, 1 - p) AS confidence FROM ts WHERE p >= 0.95 OR p <= 1 - 0.95),
+chosen AS (SELECT * FROM cand ORDER BY confidence DESC, doc_id LIMIT (SELECT CAST(floor(count(*) * 0.3) AS BIGINT) FROM lt))
+SELECT doc_id, label, 'train' AS source, CAST(NULL AS DOUBLE) AS confidence FROM lt
+UNION ALL SELECT doc_id, CAST(p >= 0.5 AS INTEGER), 'pseudo', round(confidence, 6) FROM chosen""",
+        "ks_similarity_docs": f"""WITH {docs},
+c AS (SELECT CAST(n_chars AS DOUBLE) AS v, count(*) FILTER (WHERE quality IS NOT NULL) AS c1, count(*) FILTER (WHERE quality IS NULL) AS c2
+      FROM docs GROUP BY 1),
+cum AS (SELECT sum(c1) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r1,
+               sum(c2) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r2,
+               sum(c1) OVER () AS n1, sum(c2) OVER () AS n2 FROM c)
+SELECT 'n_chars' AS feature, round(max(abs(r1 / n1 - r2 / n2)), 6) AS ks_stat, round(1 - max(abs(r1 / n1 - r2 / n2)), 6) AS similarity FROM cum""",
+        "numeric_stats_events": """SELECT 'value' AS feature, round(median(value), 6) AS median, round(min(value), 6) AS min,
+       round(max(value), 6) AS max, round(stddev_samp(value), 6) AS std FROM events""",
+        "match_distribution_events": """SELECT event_type, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct
+FROM events GROUP BY event_type""",
+    }

@@ -637,3 +637,59 @@ def q_augment_smote(spark, sf_dir):
     m = t.filter(F.col(TARGET) == minority_class(t, TARGET)).count()
     out = smote(t, TARGET, NUMERIC, CATEGORICAL, n=int(m * 0.05), k=5, seed=42)
     return out.select("syn_id", "base_id", *[F.round(c, 6).alias(c) for c in NUMERIC], *CATEGORICAL, TARGET)
+
+
+# ------------------------------------------------------------ the same operators on the other driver tables
+
+
+def _docs(spark, sf_dir):
+    from tabforge.sources.tables import table
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return d.join(lab, "doc_id", "left")
+
+
+def q_class_balance_docs(spark, sf_dir):
+    from tabforge.operators.profile import class_balance
+
+    return class_balance(_docs(spark, sf_dir), "quality")
+
+
+def q_stratified_folds_embeddings(spark, sf_dir):
+    from tabforge.operators.folds import stratified_folds
+    from tabforge.sources.tables import table
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return stratified_folds(e, "label", k=5, seed=42, id_col="vec_id")
+
+
+def q_pseudo_label_docs(spark, sf_dir):
+    """Labelled documents train; unlabelled ones get confident pseudo-labels."""
+    from tabforge.operators.pseudo import pseudo_label
+
+    d = materialize(_docs(spark, sf_dir))
+    train = d.filter(F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("label"))
+    test = fixture.score_columns(d.filter(F.col("quality").isNull()).select("doc_id"), id_col="doc_id", stacks=["A"], confident=True)
+    out = pseudo_label(train, test, {"p_A": 1.0}, id_col="doc_id", threshold=0.95, max_ratio=0.3)
+    return out.select("doc_id", "label", "source", F.round("confidence", 6).alias("confidence"))
+
+
+def q_ks_similarity_docs(spark, sf_dir):
+    from tabforge.operators.profile import ks_similarity
+
+    d = _docs(spark, sf_dir).withColumn("n_chars", F.col("n_chars").cast("double"))
+    return ks_similarity(d.filter(F.col("quality").isNotNull()), d.filter(F.col("quality").isNull()), ["n_chars"])
+
+
+def q_numeric_stats_events(spark, sf_dir):
+    from tabforge.operators.profile import numeric_stats
+    from tabforge.sources.tables import table
+
+    return numeric_stats(table(spark, sf_dir, "events"), ["value"])
+
+
+def q_match_distribution_events(spark, sf_dir):
+    from tabforge.sources.tables import table
+
+    return enrich.match_distribution(table(spark, sf_dir, "events"), "event_type")
