@@ -112,6 +112,7 @@ class CopulaModel:
     levels: dict  # categorical column -> (values, cumulative shares)
     chol: np.ndarray  # d x d lower factor of the normal-score correlation
     order: list  # column order of the factor
+    constants: dict = None  # columns with a single value
 
 
 def fit_copula(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], grid: int = 100, accuracy: int = 10000, ridge: float = 1e-6) -> CopulaModel:
@@ -141,7 +142,11 @@ def fit_copula(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
             acc += r["count"]
             cum.append(acc / tot)
         levels[c] = ([r[c] for r in cnt], cum)
-    order = numeric + categorical
+    # constant columns (one level, or a flat grid) carry no dependence: they are
+    # sampled as their single value and kept out of the correlation
+    constants = {c: levels[c][0][0] for c in categorical if len(levels[c][0]) == 1}
+    constants.update({c: grids[c][0] for c in numeric if grids[c][0] == grids[c][-1]})
+    order = [c for c in numeric + categorical if c not in constants]
     scores = normal_scores(df, order, grids, levels)
     d = len(order)
     corr = np.eye(d)
@@ -152,7 +157,7 @@ def fit_copula(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
             v = r[f"c{i}_{j}"]
             corr[i, j] = corr[j, i] = 0.0 if v is None or np.isnan(v) else v
     chol = _safe_cholesky(corr, ridge)
-    return CopulaModel(numeric, categorical, grids, integral, levels, chol, order)
+    return CopulaModel(numeric, categorical, grids, integral, levels, chol, order, constants)
 
 
 def _safe_cholesky(corr: np.ndarray, ridge: float) -> np.ndarray:
@@ -261,7 +266,10 @@ def sample_copula(spark, model: CopulaModel, n: int, seed: int = 42) -> DataFram
                 pick = F.when(u <= q, F.lit(v)) if pick is None else pick.when(u <= q, F.lit(v))
             pick = F.lit(vals[-1]) if pick is None else pick.otherwise(F.lit(vals[-1]))
             out.append(pick.alias(c))
-    return cor.select("syn_id", *out)
+    for c, v in (model.constants or {}).items():
+        out.append(F.lit(v).alias(c))
+    cols = [c for c in model.numeric + model.categorical]
+    return cor.select("syn_id", *out).select("syn_id", *cols)
 
 
 def copula(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], ratio: float = 0.05, seed: int = 42, n: int | None = None, grid: int = 100) -> DataFrame:

@@ -114,8 +114,11 @@ def _fill(df: DataFrame, spec: BinSpec, target: str, row) -> DataFrame:
     medians = [row[f"m{k}"] for k in range(1, 5)]
     if all(m is None for m in medians):
         return df
-    table = F.array(*[F.lit(None if m is None else float(m)).cast("double") for m in medians])
-    return df.withColumn(target, F.coalesce(F.col(target), F.element_at(table, bin_expr(spec))))
+    # slot 1 answers "no bin" (NULL source): the index is never NULL, since a
+    # NULL index is not reliably NULL-propagated by element_at under ANSI mode
+    table = F.array(*[F.lit(None if m is None else float(m)).cast("double") for m in [None, *medians]])
+    idx = F.coalesce(bin_expr(spec), F.lit(0)) + 1
+    return df.withColumn(target, F.coalesce(F.col(target), F.element_at(table, idx)))
 
 
 def impute_by_quantile_group(df: DataFrame, source: str, target: str, accuracy: int | None = None) -> DataFrame:

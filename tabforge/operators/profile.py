@@ -160,6 +160,7 @@ def ks_statistic(a: DataFrame, b: DataFrame, cols: Sequence[str], buckets: int =
     )
     cnt = cnt.join(off, ["feature", "bk"])  # cnt is already partitioned by (feature, bk)
     diff = F.abs((F.col("o1") + F.col("l1")) / F.col("n1") - (F.col("o2") + F.col("l2")) / F.col("n2"))
+    diff = F.when((F.col("n1") > 0) & (F.col("n2") > 0), diff)  # an empty side has no statistic
     return cnt.groupBy("feature").agg(F.max(diff).alias("ks"))
 
 

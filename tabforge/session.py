@@ -25,7 +25,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("TABFORGE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.ansi.enabled", "false")
+        .config("spark.sql.ansi.enabled", os.environ.get("TABFORGE_ANSI", "true"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
