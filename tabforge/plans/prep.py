@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.operators.encode import label_encode, one_hot
+from tabforge.operators.encode import domains, label_encode, one_hot
 from tabforge.operators.enrich import enrich_match
 from tabforge.operators.impute import SURVEY_STEPS, fill_global_median, fill_unknown, impute_chain
 from tabforge.session import materialize
@@ -48,10 +48,16 @@ def prep(
     train = F.col(origin) == "train"
     df = df.select("row_id", origin, target, *numeric, *categorical)
     df = materialize(df, materialize_input)
-    df = label_encode(df, target, out="label", where=train)
+    # label classes (training rows) and one-hot levels (after the Unknown fill)
+    # in one pass
+    doms = domains(
+        df.select(F.when(train, F.col(target)).alias(target), *[F.coalesce(F.col(c), F.lit("Unknown")).alias(c) for c in categorical]),
+        [target, *categorical],
+    )
+    df = label_encode(df, target, classes=doms[target], out="label", where=train)
     df = impute_chain(df, steps, accuracy)
     df = fill_unknown(df, categorical)
-    df = one_hot(df, categorical)
+    df = one_hot(df, categorical, domain={c: doms[c] for c in categorical})
     df = fill_global_median(df, numeric)
     feats = [c for c in df.columns if c not in ("row_id", origin, target, "label")]
     return df.select("row_id", origin, "label", *feats)
