@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabforge.operators.blend import py_uniform
 from tabforge.operators.folds import stratified_folds
 from tabforge.models.stacking import oof_scores
+from tabforge.session import materialize
 
 # A space is a list of (param, lo, hi, kind) with kind in int | float | log | choice
 # (for "choice", lo is the list of options and hi is unused).
@@ -45,7 +46,7 @@ def draws_frame(spark: SparkSession, draws: list[dict]) -> DataFrame:
 
 def cv_objective(df: DataFrame, builder: Callable[[], object], k: int = 5, seed: int = 42, noise_rate: float = 0.0, fold_col: str = "fold") -> float:
     """Mean over folds of accuracy at 0.5 (folds weigh equally)."""
-    oof, _ = oof_scores(df, builder, out="__p", k=k, seed=seed, fold_col=fold_col, noise_rate=noise_rate)
+    oof, _ = oof_scores(df, builder, out="__p", k=k, seed=seed, fold_col=fold_col, noise_rate=noise_rate, pin=False)
     with_fold = oof.join(df.select("row_id", fold_col), "row_id")
     acc = with_fold.groupBy(fold_col).agg(F.avg(((F.col("__p") >= 0.5).cast("double") == F.col("label")).cast("double")).alias("a"))
     return float(acc.agg(F.avg("a")).first()[0])
@@ -63,11 +64,11 @@ def param_search(
 ) -> DataFrame:
     """Evaluate each draw by k-fold accuracy; returns (trial, params..., accuracy).
 
-    The folds are computed once and the fold-tagged table is cached, so every
-    trial reuses one partitioning of the training rows.
+    The folds are computed once and the fold-tagged table is written to the
+    checkpoint folder, so every trial reads the same fold assignment.
     """
     spark = df.sparkSession
-    folded = stratified_folds(df, "label", k=k, seed=seed, out="fold").persist()
+    folded = materialize(stratified_folds(df, "label", k=k, seed=seed, out="fold"))
     draws = param_draws(space, n_trials, seed, warm_start)
     scores = [cv_objective(folded, (lambda d=d: make(d)), k=k, seed=seed, noise_rate=noise_rate) for d in draws]
     frame = draws_frame(spark, draws)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.operators.folds import label_noise, stratified_folds
+from tabforge.session import materialize
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -38,6 +39,7 @@ def oof_scores(
     test: DataFrame | None = None,
     id_col: str = "row_id",
     validate_on: str | None = None,
+    pin: bool = True,
 ):
     """(oof, test_mean): one out-of-fold score per training row and, if ``test``
     is given, the per-row mean of the k fold models' test scores.
@@ -49,9 +51,10 @@ def oof_scores(
     """
     if fold_col not in df.columns:
         df = stratified_folds(df, "label", k=k, seed=seed, id_col=id_col, out=fold_col)
-    # every fold reads the fold-tagged table twice; cache it once (a lost block
-    # is recomputed from lineage)
-    df = df.persist()
+    # every fold reads the fold-tagged table twice: write it once to the
+    # checkpoint folder (no executor memory held, survives executor loss)
+    if pin:
+        df = materialize(df)
     oof_parts, test_parts = [], []
     for i in range(k):
         train = df.filter(F.col(fold_col) != i)
@@ -103,10 +106,10 @@ class StackingClassifier:
 
     def fit(self, df: DataFrame, id_col: str = "row_id") -> StackingModel:
         names = [n for n, _ in self.bases]
-        folds = stratified_folds(df, "label", k=self.k, seed=self.seed, id_col=id_col, out="__sfold")
+        folds = materialize(stratified_folds(df, "label", k=self.k, seed=self.seed, id_col=id_col, out="__sfold"))
         meta_in = folds.select(id_col, "label")
         for name, b in self.bases:
-            oof, _ = oof_scores(folds, b, out=f"s_{name}", k=self.k, seed=self.seed, fold_col="__sfold", id_col=id_col)
+            oof, _ = oof_scores(folds, b, out=f"s_{name}", k=self.k, seed=self.seed, fold_col="__sfold", id_col=id_col, pin=False)
             meta_in = meta_in.join(oof.select(id_col, f"s_{name}"), id_col)
         meta_in = VectorAssembler(inputCols=[f"s_{n}" for n in names], outputCol="features").transform(meta_in)
         meta_model = self.meta().fit(meta_in)
