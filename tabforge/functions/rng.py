@@ -53,7 +53,6 @@ def rank_by_hash(
     partition_cols: Sequence[str] = (),
     out: str = "hrank",
     digits: int = 4,
-    broadcast_limit: int = 2_000_000,
 ) -> DataFrame:
     """Exact ``row_number() over (partition by P order by md5(id:salt), id)``.
 

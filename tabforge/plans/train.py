@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tabforge.models.builders import logistic, stack_spec
 from tabforge.models.stacking import assemble, build_stack, oof_scores, p1
-from tabforge.operators.blend import blend_search
 from tabforge.operators.pseudo import pseudo_label
 from tabforge.session import materialize
 
