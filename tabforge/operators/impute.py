@@ -83,19 +83,30 @@ def bin_spec(df: DataFrame, source: str, accuracy: int | None = None) -> BinSpec
     return _spec_from(df.agg(*_edge_aggs(source, accuracy, "e_")).first(), source, "e_")
 
 
-def bin_expr(spec: BinSpec) -> Column:
-    """Bin 1..4 (NULL for a NULL source) with a single reference to the source.
-
-    ``1 + #{inner edges < x}``, folded over the three inner edges. One
-    reference matters: the optimizer inlines column definitions when it pushes
-    filters through the projection, and a chain of steps that each referenced
-    their source several times would grow exponentially.
+def bin_expr(spec: BinSpec, plain_source: bool = True) -> Column:
+    """Bin 1..4 (NULL for a NULL source).
+
+    For a plain input column this is a comparison chain (fully compiled).
+    For a column filled by an earlier step it is ``1 + #{inner edges < x}``
+    folded over the three inner edges, which references the source once: the
+    optimizer inlines column definitions when it pushes filters through the
+    projection, and a chain of steps that each referenced an already-filled
+    source several times would grow exponentially.
     """
     if spec.method == "empty":
         return F.lit(None).cast("int")
     s = F.col(spec.source)
-    inner = F.array(*[F.lit(float(e)) for e in spec.edges[1:4]])
-    return F.aggregate(inner, F.lit(1), lambda acc, e: acc + (e < s).cast("int"))
+    e = spec.edges
+    if plain_source:
+        return (
+            F.when(s.isNull(), F.lit(None).cast("int"))
+            .when(s <= F.lit(float(e[1])), 1)
+            .when(s <= F.lit(float(e[2])), 2)
+            .when(s <= F.lit(float(e[3])), 3)
+            .otherwise(4)
+        )
+    inner = F.array(*[F.lit(float(x)) for x in e[1:4]])
+    return F.aggregate(inner, F.lit(1), lambda acc, x: acc + (x < s).cast("int"))
 
 
 def bin_by_quantile(df: DataFrame, source: str, out: str | None = None, accuracy: int | None = None) -> DataFrame:
@@ -103,21 +114,21 @@ def bin_by_quantile(df: DataFrame, source: str, out: str | None = None, accuracy
     return df.withColumn(out or f"{source}_bin", bin_expr(spec))
 
 
-def _median_aggs(spec: BinSpec, target: str) -> list:
+def _median_aggs(spec: BinSpec, target: str, plain_source: bool = True) -> list:
     """Median of the target inside each bin, as global aggregates (a FILTER per
     bin) so they can share a pass with other statistics."""
-    b = bin_expr(spec)
+    b = bin_expr(spec, plain_source)
     return [F.median(F.when(b == k, F.col(target))).alias(f"m{k}") for k in range(1, 5)]
 
 
-def _fill(df: DataFrame, spec: BinSpec, target: str, row) -> DataFrame:
+def _fill(df: DataFrame, spec: BinSpec, target: str, row, plain_source: bool = True) -> DataFrame:
     medians = [row[f"m{k}"] for k in range(1, 5)]
     if all(m is None for m in medians):
         return df
     # slot 1 answers "no bin" (NULL source): the index is never NULL, since a
     # NULL index is not reliably NULL-propagated by element_at under ANSI mode
     table = F.array(*[F.lit(None if m is None else float(m)).cast("double") for m in [None, *medians]])
-    idx = F.coalesce(bin_expr(spec), F.lit(0)) + 1
+    idx = F.coalesce(bin_expr(spec, plain_source), F.lit(0)) + 1
     return df.withColumn(target, F.coalesce(F.col(target), F.element_at(table, idx)))
 
 
@@ -137,15 +148,18 @@ def impute_chain(df: DataFrame, steps=SURVEY_STEPS, accuracy: int | None = None)
     """
     steps = [(t, s) for t, s in steps if t in df.columns and s in df.columns]
     spec = None
+    filled = set()  # columns already rewritten by an earlier step
     for i, (target, source) in enumerate(steps):
         if spec is None:
             spec = bin_spec(df, source, accuracy)
+        plain = source not in filled
         nxt = steps[i + 1][1] if i + 1 < len(steps) else None
         fuse = nxt is not None and nxt != target
-        aggs = ([] if spec.method == "empty" else _median_aggs(spec, target)) + (_edge_aggs(nxt, accuracy, "n_") if fuse else [])
+        aggs = ([] if spec.method == "empty" else _median_aggs(spec, target, plain)) + (_edge_aggs(nxt, accuracy, "n_") if fuse else [])
         row = df.agg(*aggs).first() if aggs else None
         if spec.method != "empty":
-            df = _fill(df, spec, target, row)
+            df = _fill(df, spec, target, row, plain)
+            filled.add(target)
         spec = _spec_from(row, nxt, "n_") if fuse else None
     return df
 

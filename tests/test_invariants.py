@@ -140,3 +140,16 @@ def test_prep_same_under_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+def test_filter_on_imputed_columns_stays_small(spark):
+    """Filters pushed through the imputation projections must not blow up the plan."""
+    import time
+
+    from tabforge.operators import impute
+
+    s = q._survey(spark, SF, mat=True)
+    out = impute.impute_chain(s)
+    t0 = time.time()
+    n = out.filter((F.col("Post_frequency") > 3) & (F.col("Going_outside") > 1) & (F.col("Friends_circle_size") > 2)).count()
+    assert n >= 0 and time.time() - t0 < 60
