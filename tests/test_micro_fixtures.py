@@ -174,3 +174,17 @@ def test_top_k_paths_agree(spark):
     a = [r[0] for r in top_k(df, 50, order).select("id").collect()]
     b = [r[0] for r in top_k(df, 50, order, small_k=0).select("id").collect()]
     assert sorted(a) == sorted(b) and len(a) == 50
+
+
+def test_null_safe_match_shuffle_path_equals_broadcast(spark):
+    """Above the broadcast bound the same rows come out of the shuffle join."""
+    from tabforge.sources import fixture
+
+    sf = "/root/testdata/sf0.001"
+    base = fixture.survey(spark, sf)
+    ext = fixture.external(spark, sf, base)
+    a = enrich.enrich_match(base, ext, fixture.FEATURES, fixture.TARGET)
+    b = enrich.enrich_match(base, ext, fixture.FEATURES, fixture.TARGET, broadcast_limit=0)
+    key = lambda r: (r["row_id"], r["match_p"] or "")
+    assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+    assert b.count() == base.count()
