@@ -89,3 +89,13 @@ def test_domain_weights_classifier(spark):
     out = q.q_domain_weights(spark, SF)
     w = out.groupBy("domain").agg(F.min("weight").alias("mn")).collect()
     assert all(r["mn"] >= 0.2 or r["domain"] == 0 for r in w)
+
+
+def test_materialize_writes_under_session_checkpoint_dir(spark):
+    from tabforge.session import ensure_checkpoint_dir, materialize
+
+    root = ensure_checkpoint_dir(spark)
+    df = materialize(spark.range(10))
+    files = df.inputFiles()
+    assert files and all(f.startswith(root.rstrip("/")) or root.split(":", 1)[-1] in f for f in files)
+    assert df.count() == 10
