@@ -15,6 +15,29 @@ def q_op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_read(spark, sf_dir, "pages"))
 
 
+def q_op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabforge.llm.language import identify
+
+    return identify(_read(spark, sf_dir, "documents"))
+
+
+def q_op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tabforge.llm.packing import pack_documents
+
+    return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def q_op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tabforge.llm.byte_bpe import encode_documents
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_documents(_read(spark, sf_dir, "documents"), path, with_ids=False)
+
+
 def q_op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabforge.llm.exact_dedup import dedup_arrivals
 
@@ -27,6 +50,12 @@ def q_op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_read(spark, sf_dir, "documents"))
 
 
+def q_op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabforge.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def q_op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabforge.llm.url_rules import filter_urls
 
