@@ -191,3 +191,13 @@ def dedup_arrivals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     middle = None if ends["lo"] is None else (ends["lo"] + ends["hi"] + 1) // 2
     old = F.coalesce(F.col(id_col) < F.lit(middle).cast("long"), F.lit(False))
     return _report(_decide(_tagged(docs, old, id_col, text_col)), id_col)
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``dedup_arrivals`` drops; of rows that repeat id and text one stays."""
+    decided = dedup_arrivals(docs, id_col, text_col).where("group_size > 1")
+    shared = decided.groupBy(F.col("text_sha256").alias("__sha")).agg(F.max("keep_id").alias("__keep"))
+    rows = docs.withColumn("__sha", text_digest(F.col(text_col))).join(shared.withColumn("__many", F.lit(True)), "__sha", "left")
+    alone = rows.where("__many is null")
+    winners = rows.where(F.col("__many") & F.col(id_col).eqNullSafe(F.col("__keep"))).dropDuplicates(["__sha"])
+    return alone.unionByName(winners).select(*docs.columns)

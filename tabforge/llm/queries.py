@@ -9,6 +9,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def q_op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabforge.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def q_op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabforge.llm.warc import archive_pages
 
@@ -29,6 +35,12 @@ def q_op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def q_op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabforge.llm.vector_dedup import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def q_op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
