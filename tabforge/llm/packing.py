@@ -9,6 +9,7 @@ pooled over all groups and packed once more.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,26 +27,75 @@ SEQUENCE, END_ID = 4096, 1
 #: Pieces packed together by one task.
 GROUP = 50_000
 #: Words whose ids a worker keeps.
-CACHED, CACHED_LENGTH = 500_000, 64
+CACHED = 600_000
+#: Characters of texts whose new words are learned in one call.
+TOGETHER = 1_000_000
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_PUNCTUATION = b".,!?;:*$%&#"
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
-    """Ids of a white-space-delimited word, little-endian unsigned 32 bits; no token spans white space."""
+def _letters(word: str) -> bool:
+    """Letters only, also after the tokenizer's normalisation."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
+class WordIds:
+    """Ids as bytes (little-endian unsigned 32 bits) by words, as no token spans white space.
+
+    A-Z are lower-cased first, as the tokenizer does. Letters are one pre-token and punctuation
+    after them is another, and each ends with its only token that ends words: many new words of
+    these two shapes are encoded in one call and cut apart at such tokens.
+    """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        out = np.array(ids, dtype="<u4").tobytes()
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = out
-        return out
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
+        self.cache: dict[bytes, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Letters, and punctuation after letters, are learned as they are and put together."""
+        cache, tails, others, plain = self.cache, [], [], set()
+        for w in words:
+            core = w.rstrip(_PUNCTUATION)
+            if not _letters(core.decode()):
+                others.append(w)
+                continue
+            if core not in cache:
+                plain.add(core)
+            if len(core) < len(w):
+                tails.append((w, core, w[len(core) :]))
+        letters = list(plain)
+        ids = self._encode(b" ".join(letters).decode())
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) == len(letters):
+            data = ids.tobytes()
+            cache.update(zip(letters, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+        else:
+            others += letters
+        for w in {*others, *(tail for *_, tail in tails if tail not in cache)}:
+            cache[w] = self._encode(w.decode()).tobytes()
+        for w, core, tail in tails:
+            cache[w] = cache[core] + cache[tail]
+
+    def documents(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; all new words of the texts are learned at once."""
+        special = ["<|" in t for t in texts]  # may hold special tokens
+        words = [[] if x else t.encode().translate(_LOWER).split() for t, x in zip(texts, special, strict=True)]
+        new = set().union(*words).difference(self.cache)
+        if len(self.cache) + len(new) > CACHED:
+            self.cache.clear()
+            new = set().union(*words)
+        self._learn(new)
+        ids_of = self.cache.__getitem__
+        return [self._encode(t).tobytes() if x else b"".join(map(ids_of, w)) for t, w, x in zip(texts, words, special, strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -53,6 +103,20 @@ def _word_ids(tokenizer: str) -> WordIds:
     return WordIds(tokenizer)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of some documents at a time, about TOGETHER characters."""
+    for batch in batches:
+        docs, texts, held = [], [], 0
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            docs.append(doc)
+            texts.append(text.as_py() or "")
+            held += len(texts[-1])
+            if held >= TOGETHER:
+                yield docs, texts
+                docs, texts, held = [], [], 0
+        yield docs, texts
+
+
 def tokenized_pieces(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
@@ -65,11 +129,11 @@ def tokenized_pieces(
     schema = pa.schema(list(zip(names, kinds, strict=False)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _word_ids(tokenizer.value).__getitem__
-        for batch in batches:
+        encode = _word_ids(tokenizer.value).documents
+        for docs, texts in _few(batches):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = b"".join([*map(ids_of, (text.as_py() or "").encode().split()), end])
+            for doc, ids in zip(docs, encode(texts), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * SEQUENCE)):
                     part = ids[at : at + 4 * SEQUENCE]
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))
