@@ -50,12 +50,12 @@ FROM e
 
 OP1 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-p AS (SELECT doc_id, len(w) AS n, unnest(generate_series(1, len(w))) AS at, w FROM d),
-q AS (SELECT doc_id, n, at, w[at] AS word,
-             CASE WHEN at + 49 <= n THEN array_to_string(w[at:at + 49], ' ') END AS win FROM p),
+p AS (SELECT doc_id, len(w) AS n, unnest(generate_series(1, len(w))) AS pos, w FROM d),
+q AS (SELECT doc_id, n, pos, w[pos] AS word,
+             CASE WHEN pos + 49 <= n THEN array_to_string(w[pos:pos + 49], ' ') END AS win FROM p),
 r AS (SELECT *, CASE WHEN win IS NOT NULL THEN min(doc_id) OVER (PARTITION BY win) END AS first FROM q),
-s AS (SELECT *, coalesce(bool_or(first < doc_id) OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM r),
-t AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY at) FILTER (NOT gone) AS kept FROM s GROUP BY doc_id)
+s AS (SELECT *, coalesce(bool_or(first < doc_id) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM r),
+t AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM s GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(t.n_removed, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
 FROM d LEFT JOIN t ON d.doc_id = t.doc_id
 """
