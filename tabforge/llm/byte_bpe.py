@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by a hierarchical-bitmap rank queue.
 
 Each merge rank has a bucket of positions in the linked list of a pre-token's parts; a
-three-level bitmap marks the buckets that hold any, and find-first-set on it gives the
-lowest rank. Entries that a neighbouring merge made stale are skipped when they come up,
+two-level bitmap marks the ranks whose bucket holds any, and find-first-set on each level
+gives the lowest. Entries that a neighbouring merge made stale are skipped when they come up,
 so a pre-token of n bytes costs O(n log n) however long it is.
 """
 
@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import public_tokenizers
 import pyarrow as pa
@@ -22,97 +23,89 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, as the pre-token pattern's ``\\s`` means it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Chunks of text kept encoded per worker, and the longest that is kept.
-CACHED, CACHED_LENGTH = 400_000, 64
-
-
-class RankQueue:
-    """Buckets of positions by rank; the lowest rank first, the leftmost position of it first."""
-
-    def __init__(self, ranks: int):
-        self.low = [0] * (ranks // 64 + 1)
-        self.mid = [0] * (len(self.low) // 64 + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        a = (self.top & -self.top).bit_length() - 1
-        b = a << 6 | (self.mid[a] & -self.mid[a]).bit_length() - 1
-        rank = b << 6 | (self.low[b] & -self.low[b]).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[b] &= ~(1 << (rank & 63))
-            if not self.low[b]:
-                self.mid[a] &= ~(1 << (b & 63))
-                if not self.mid[a]:
-                    self.top &= ~(1 << a)
-        return rank, at
+#: Chunks of text and pre-tokens kept encoded per worker, and the longest that is kept.
+CACHED, CACHED_LENGTH = 600_000, 64
+_BIT = [1 << k for k in range(4096)]
 
 
 class Encoder:
     def __init__(self, rank_file: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         self.bytes_of = {n: piece for piece, n in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
-        self.queue = RankQueue(max(self.bytes_of) + 1)
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
         # no match of the pattern goes on from other characters into white space, so these cuts change nothing
-        self.chunks = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+        self.chunks = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+        # the rank queue, empty between pre-tokens: positions by rank, each a heap, and a bit for each that has any
+        self.buckets: list[list[int]] = [[] for _ in range(max(self.bytes_of) + 1)]
+        self.low = [0] * (len(self.buckets) // 256 + 1)
         self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.pieces: dict[bytes, list[int]] = {}
 
     def piece(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        if (whole := self.ranks.get(piece)) is not None:
+        """Ids of one pre-token: the pair of the lowest rank merges first, the leftmost of equal ones."""
+        rank_of, low, buckets = self.ranks.get, self.low, self.buckets
+        if (whole := rank_of(piece)) is not None:
             return [whole]
-        n, ranks, queue = len(piece), self.ranks, self.queue
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        wanted = [-1] * n  # rank of the pair that starts here
-
-        def look(i: int) -> None:
-            j = after[i]
-            end = after[j] if j < n else n + 1
-            rank = ranks.get(piece[i:end], -1) if end <= min(n, i + self.longest) else -1
-            wanted[i] = rank
+        n = len(piece)
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        # rank of the pair that starts at each part, -1 for none or a part that was merged away
+        wanted = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]
+        wanted.append(-1)
+        top = 0  # which words of the bitmap have a bit
+        for i, rank in enumerate(wanted):
             if rank >= 0:
-                queue.push(rank, i)
-
-        for i in range(n):
-            look(i)
-        while (got := queue.pop()) is not None:
-            rank, i = got
+                if not (bucket := buckets[rank]):
+                    low[rank >> 8] |= _BIT[rank & 255]
+                    top |= _BIT[rank >> 8]
+                bucket.append(i)
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            rank = (word << 8) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                low[word] = bits = bits & bits - 1
+                if not bits:
+                    top &= top - 1
             if wanted[i] != rank:
                 continue  # stale
             j = after[i]
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            wanted[j] = -1
-            look(i)
-            if before[i] >= 0:
-                look(before[i])
+            end = after[i] = after[j]
+            before[end] = i
+            wanted[j] = wanted[i] = -1
+            # the pairs that the new part forms to its right and left
+            if end < n and (new := rank_of(piece[i : after[end]], -1)) >= 0:
+                wanted[i] = new
+                if not (bucket := buckets[new]):
+                    low[new >> 8] |= _BIT[new & 255]
+                    top |= _BIT[new >> 8]
+                heappush(bucket, i)
+            if (left := before[i]) >= 0:
+                wanted[left] = new = rank_of(piece[left:end], -1)
+                if new >= 0:
+                    if not (bucket := buckets[new]):
+                        low[new >> 8] |= _BIT[new & 255]
+                        top |= _BIT[new >> 8]
+                    heappush(bucket, left)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
+            out.append(self.ranks[piece[i : after[i]]])
             i = after[i]
         return out
 
     def ids(self, text: str) -> list[int]:
-        return [x for m in self.pattern.findall(text) for x in self.piece(m.encode())]
+        out: list[int] = []
+        for match in self.pattern.findall(text):
+            piece = match.encode()
+            if (known := self.pieces.get(piece)) is None:
+                known = self.piece(piece)
+                if len(piece) <= CACHED_LENGTH:
+                    if len(self.pieces) >= CACHED:
+                        self.pieces.clear()
+                    self.pieces[piece] = known
+            out += known
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[x] for x in ids])
