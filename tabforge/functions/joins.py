@@ -1,33 +1,10 @@
-"""Join helpers with an explicit size check before broadcasting."""
+"""Join conditions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def join_small(
-    big: DataFrame,
-    small: DataFrame,
-    on,
-    how: str = "inner",
-    max_rows: int = DEFAULT_BROADCAST_ROWS,
-) -> DataFrame:
-    """Broadcast ``small`` only if a count proves it has at most ``max_rows`` rows.
-
-    The small side is cached first so the count and the join share one
-    computation (a lost cache block is recomputed from lineage). Beyond the
-    bound the join is left to Catalyst/AQE as a shuffle join.
-    """
-    small = small.persist()
-    n = small.count()
-    if n <= max_rows:
-        return big.join(F.broadcast(small), on=on, how=how)
-    return big.join(small, on=on, how=how)
 
 
 def null_safe_condition(left: DataFrame, right: DataFrame, keys: Sequence[str], right_keys: Sequence[str] | None = None):

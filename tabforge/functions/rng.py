@@ -76,5 +76,12 @@ def rank_by_hash(
     # The numbered rows are already hash-partitioned and sorted by (P, bucket),
     # so a join on (P, bucket) only moves the small offsets table (AQE may
     # broadcast it once its measured size is known).
-    joined = keyed.join(offsets, on=[*p, b], how="inner")
-    return joined.withColumn(out, (F.col("__off") + F.col("__local")).cast("long")).drop(h, b, "__local", "__off")
+    # NULL partition values and ids are values of their own, hence <=>.
+    offsets = offsets.select(*[F.col(c).alias(f"__o_{c}") for c in [*p, b]], "__off")
+    on = None
+    for c in [*p, b]:
+        same = F.col(c).eqNullSafe(F.col(f"__o_{c}"))
+        on = same if on is None else on & same
+    joined = keyed.join(offsets, on)
+    ranks = joined.withColumn(out, (F.col("__off") + F.col("__local")).cast("long"))
+    return ranks.drop(h, b, "__local", "__off", *[f"__o_{c}" for c in [*p, b]])

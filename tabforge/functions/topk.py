@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tabforge.session import materialize
 
-SMALL_K = 100_000
-
-
 def ranked(df: DataFrame, order: list[Column], out: str = "rank", partitions: int | None = None) -> DataFrame:
     """Exact 1-based rank under ``order`` (which must be a total order).
 
@@ -30,14 +27,8 @@ def ranked(df: DataFrame, order: list[Column], out: str = "rank", partitions: in
     return out_df.withColumn(out, F.col("__off") + F.col("__local")).drop("__pid", "__off", "__local")
 
 
-def top_k(df: DataFrame, k: int, order: list[Column], small_k: int = SMALL_K) -> DataFrame:
-    """The first ``k`` rows under ``order`` (a total order), exactly.
-
-    Small k uses Spark's take-ordered (each task keeps k rows); large k ranks
-    with :func:`ranked` so no single task holds k rows.
-    """
+def top_k(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
+    """The first ``k`` rows under ``order`` (a total order), exactly; no task holds k rows."""
     if k <= 0:
         return df.limit(0)
-    if k <= small_k:
-        return df.orderBy(*order).limit(k)
     return ranked(df, order, "__rank").filter(F.col("__rank") <= k).drop("__rank")

@@ -277,7 +277,7 @@ def copula(df: DataFrame, label: str, numeric: Sequence[str], categorical: Seque
     total = df.count() if n is None else None
     n = int(total * ratio) if n is None else n
     if n <= 0:
-        return df.sparkSession.createDataFrame([], "syn_id long").select("syn_id")
+        return df.limit(0).select(F.lit(0).cast("long").alias("syn_id"), *numeric, *categorical, label)
     model = fit_copula(df, numeric, [*categorical, label], grid=grid)
     return sample_copula(df.sparkSession, model, n, seed)
 

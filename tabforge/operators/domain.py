@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.functions.joins import join_small
-
 EPS = 1e-8
 
 
@@ -24,13 +22,13 @@ def domain_union(frames: Sequence[DataFrame], domain: str = "domain") -> DataFra
 def normalize_weights(df: DataFrame, weight: str = "weight", domain: str = "domain") -> DataFrame:
     """w / (mean of w in the row's domain + 1e-8).
 
-    Domain means come from a grouped aggregate joined back by broadcast (a few
-    domains); a window partitioned by domain would send each domain, possibly
-    a third of all rows, to one task.
+    Domain means come from a grouped aggregate joined back (NULL is a domain of
+    its own); a window partitioned by domain would send each domain, possibly a
+    third of all rows, to one task.
     """
-    means = df.groupBy(domain).agg(F.avg(weight).alias("__m"))
-    out = join_small(df, means, on=domain, max_rows=100_000)
-    return out.withColumn(weight, F.col(weight) / (F.col("__m") + EPS)).drop("__m")
+    means = df.groupBy(F.col(domain).alias("__d")).agg(F.avg(weight).alias("__m"))
+    out = df.join(means, F.col(domain).eqNullSafe(F.col("__d")), "left")
+    return out.withColumn(weight, F.col(weight) / (F.col("__m") + EPS)).drop("__m", "__d")
 
 
 def propensity_weights(df: DataFrame, p_ref: str, p_own: str, domain: str = "domain", out: str = "weight") -> DataFrame:

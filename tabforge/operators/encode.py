@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.functions.quantiles import exact_quantiles
+
 MAX_LEVELS = 10_000
 
 
@@ -91,31 +93,25 @@ def standard_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns(out)
 
 
-def robust_scale(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) -> DataFrame:
+def robust_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x - median) / IQR (sklearn RobustScaler semantics; IQR 0 -> 1)."""
     cols = list(cols)
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    aggs = [
-        (F.percentile(c, probs) if accuracy is None else F.percentile_approx(c, probs, accuracy)).alias(c)
-        for c in cols
-    ]
-    st = df.agg(*aggs).first()
     out = {}
-    for c in cols:
-        q1, med, q3 = st[c]
+    for c, (q1, med, q3) in zip(cols, exact_quantiles(df, [(F.col(c), (0.25, 0.5, 0.75)) for c in cols]), strict=True):
+        if med is None:
+            continue
         iqr = q3 - q1
         out[c] = (F.col(c) - F.lit(med)) / F.lit(iqr if iqr != 0 else 1.0)
-    return df.withColumns(out)
+    return df.withColumns(out) if out else df
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """n / (k * n_class) per row (sklearn class_weight='balanced').
 
-    Class counts form a table with one row per class, joined back by broadcast
-    (size checked)."""
-    from tabforge.functions.joins import join_small
-
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
-    tot = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k")).first()
-    w = counts.select(label, (F.lit(float(tot["n"])) / (F.lit(float(tot["k"])) * F.col("__nc"))).alias(out))
-    return join_small(df, w, on=label, how="left", max_rows=100_000)
+    Class counts form a table with one row per class, joined back; a NULL label
+    has no weight, but counts as a row."""
+    counts = df.groupBy(F.col(label).alias("__class")).agg(F.count(F.lit(1)).alias("__nc"))
+    tot = counts.agg(F.sum("__nc").alias("n"), F.count("__class").alias("k")).first()
+    n, k = float(tot["n"] or 0), float(tot["k"] or 1)
+    w = counts.where("__class is not null").select("__class", (F.lit(n) / (F.lit(k) * F.col("__nc"))).alias(out))
+    return df.join(w, F.col(label) == F.col("__class"), "left").drop("__class")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.functions.joins import join_small, null_safe_condition
+from tabforge.functions.joins import null_safe_condition
 
 
 def dedup_keys(df: DataFrame, keys: Sequence[str], order: str = "row_id") -> DataFrame:
@@ -30,21 +30,20 @@ def enrich_match(
     value: str,
     out: str = "match_p",
     order: str = "row_id",
-    broadcast_limit: int = 2_000_000,
 ) -> DataFrame:
     """Left join ``lookup.value`` (renamed ``out``) on ``keys`` with NULL = NULL.
 
     The lookup is first reduced to one row per key, so the join never
-    multiplies rows. It is broadcast only when a count shows it is small; a
-    larger lookup goes through a shuffle join, where Catalyst turns ``<=>``
-    into hashable keys and AQE splits a skewed (hot-key) left partition.
+    multiplies rows. The strategy is left to AQE, which knows the reduced
+    lookup's bytes: Catalyst turns ``<=>`` into hashable keys, and a skewed
+    (hot-key) left partition is split.
     """
     keys = list(keys)
     right = dedup_keys(lookup.select(*keys, value, order), keys, order).select(
         *[F.col(k).alias(f"__r_{k}") for k in keys], F.col(value).alias(out)
     )
     cond = null_safe_condition(df, right, keys, [f"__r_{k}" for k in keys])
-    joined = join_small(df, right, on=cond, how="left", max_rows=broadcast_limit)
+    joined = df.join(right, cond, "left")
     return joined.drop(*[f"__r_{k}" for k in keys])
 
 
@@ -67,5 +66,5 @@ def match_rate(df: DataFrame, value: str = "match_p") -> DataFrame:
 def match_distribution(df: DataFrame, value: str = "match_p") -> DataFrame:
     """Value counts including NULL, with percentage of all rows."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())  # over the tiny grouped table
-    return counts.select(value, "n", F.round(F.col("n") * 100.0 / total, 6).alias("pct"))
+    total = df.count()  # one number; the grouped table may be large
+    return counts.select(value, "n", F.round(F.col("n") * 100.0 / F.lit(total), 6).alias("pct"))

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.functions.rng import hash_uniform, rank_by_hash
+from tabforge.functions.rng import rank_by_hash
 
 
 def stratified_folds(
@@ -42,8 +42,3 @@ def label_noise(
     r = rank_by_hash(df, id_col, f"noise{seed}", out="__r", digits=digits)
     flipped = F.when(F.col("__r") <= n_flip, 1 - F.col(label)).otherwise(F.col(label)).cast("int")
     return r.withColumn(out or label, flipped).drop("__r")
-
-
-def bootstrap_index(id_col: str, salt: str, n) -> "F.Column":
-    """Index in [0, n) for sampling with replacement."""
-    return F.floor(hash_uniform(id_col, salt) * n).cast("long")

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.functions.quantiles import exact_quantiles
+
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 # The reference's eight sequential (target, source) steps, in order.
@@ -30,24 +32,11 @@ SURVEY_STEPS = (
 )
 
 
-def _pct(c: str, probs, accuracy: int | None) -> Column:
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    if accuracy is None:
-        return F.percentile(F.col(c), arr)
-    return F.percentile_approx(F.col(c), arr, accuracy)
-
-
-def quantile_edges(df: DataFrame, cols: Sequence[str], probs=QUARTILES, accuracy: int | None = None) -> DataFrame:
-    """One row per column: feature, e0..e4 (exact linear interpolation by default;
-    ``accuracy`` switches to ``percentile_approx`` for high-cardinality columns)."""
-    aggs = [_pct(c, probs, accuracy).alias(c) for c in cols]
-    wide = df.agg(*aggs)
-    stacked = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("q")) for c in cols])
-    ).alias("s")
-    return wide.select(stacked).select(
-        F.col("s.feature").alias("feature"), *[F.col("s.q")[i].alias(f"e{i}") for i in range(len(probs))]
-    )
+def quantile_edges(df: DataFrame, cols: Sequence[str], probs=QUARTILES) -> DataFrame:
+    """One row per column: feature, e0..e4 (exact, linear interpolation)."""
+    found = exact_quantiles(df, [(F.col(c), probs) for c in cols])
+    schema = ", ".join(["feature string", *(f"e{i} double" for i in range(len(probs)))])
+    return df.sparkSession.createDataFrame([(c, *q) for c, q in zip(cols, found, strict=True)], schema)
 
 
 @dataclass(frozen=True)
@@ -57,16 +46,8 @@ class BinSpec:
     method: str  # "quantile" | "equal_width" | "empty"
 
 
-def _edge_aggs(source: str, accuracy: int | None, prefix: str) -> list:
-    return [
-        _pct(source, QUARTILES, accuracy).alias(f"{prefix}q"),
-        F.min(source).alias(f"{prefix}mn"),
-        F.max(source).alias(f"{prefix}mx"),
-    ]
-
-
-def _spec_from(row, source: str, prefix: str) -> BinSpec:
-    q, mn, mx = row[f"{prefix}q"], row[f"{prefix}mn"], row[f"{prefix}mx"]
+def _spec_from(q: list, source: str) -> BinSpec:
+    mn, mx = q[0], q[-1]
     if mn is None:
         return BinSpec(source, (), "empty")
     if len(set(q)) == len(q):
@@ -78,9 +59,9 @@ def _spec_from(row, source: str, prefix: str) -> BinSpec:
     return BinSpec(source, tuple(mn + i * (mx - mn) / 4 for i in range(5)), "equal_width")
 
 
-def bin_spec(df: DataFrame, source: str, accuracy: int | None = None) -> BinSpec:
+def bin_spec(df: DataFrame, source: str) -> BinSpec:
     """Quartile edges, or 4 equal-width bins over [min, max] if any edge repeats."""
-    return _spec_from(df.agg(*_edge_aggs(source, accuracy, "e_")).first(), source, "e_")
+    return _spec_from(exact_quantiles(df, [(F.col(source), QUARTILES)])[0], source)
 
 
 def bin_expr(spec: BinSpec, plain_source: bool = True) -> Column:
@@ -109,20 +90,17 @@ def bin_expr(spec: BinSpec, plain_source: bool = True) -> Column:
     return F.aggregate(inner, F.lit(1), lambda acc, x: acc + (x < s).cast("int"))
 
 
-def bin_by_quantile(df: DataFrame, source: str, out: str | None = None, accuracy: int | None = None) -> DataFrame:
-    spec = bin_spec(df, source, accuracy)
-    return df.withColumn(out or f"{source}_bin", bin_expr(spec))
+def bin_by_quantile(df: DataFrame, source: str, out: str | None = None) -> DataFrame:
+    return df.withColumn(out or f"{source}_bin", bin_expr(bin_spec(df, source)))
 
 
-def _median_aggs(spec: BinSpec, target: str, plain_source: bool = True) -> list:
-    """Median of the target inside each bin, as global aggregates (a FILTER per
-    bin) so they can share a pass with other statistics."""
+def _bin_medians(spec: BinSpec, target: str, plain_source: bool = True) -> list:
+    """The target inside each bin, with the median's probability."""
     b = bin_expr(spec, plain_source)
-    return [F.median(F.when(b == k, F.col(target))).alias(f"m{k}") for k in range(1, 5)]
+    return [(F.when(b == k, F.col(target)), (0.5,)) for k in range(1, 5)]
 
 
-def _fill(df: DataFrame, spec: BinSpec, target: str, row, plain_source: bool = True) -> DataFrame:
-    medians = [row[f"m{k}"] for k in range(1, 5)]
+def _fill(df: DataFrame, spec: BinSpec, target: str, medians: list, plain_source: bool = True) -> DataFrame:
     if all(m is None for m in medians):
         return df
     # slot 1 answers "no bin" (NULL source): the index is never NULL, since a
@@ -132,45 +110,43 @@ def _fill(df: DataFrame, spec: BinSpec, target: str, row, plain_source: bool = T
     return df.withColumn(target, F.coalesce(F.col(target), F.element_at(table, idx)))
 
 
-def impute_by_quantile_group(df: DataFrame, source: str, target: str, accuracy: int | None = None) -> DataFrame:
-    spec = bin_spec(df, source, accuracy)
+def impute_by_quantile_group(df: DataFrame, source: str, target: str) -> DataFrame:
+    spec = bin_spec(df, source)
     if spec.method == "empty":
         return df
-    return _fill(df, spec, target, df.agg(*_median_aggs(spec, target)).first())
+    return _fill(df, spec, target, [m for (m,) in exact_quantiles(df, _bin_medians(spec, target))])
 
 
-def impute_chain(df: DataFrame, steps=SURVEY_STEPS, accuracy: int | None = None) -> DataFrame:
+def impute_chain(df: DataFrame, steps=SURVEY_STEPS) -> DataFrame:
     """Apply the (target, source) steps in order; each sees the previous fills.
 
-    One aggregation pass per step computes the step's bin medians and, when
-    the next step's source is not the column this step fills, the next
-    step's edges too (their input is then already final).
+    A step's bin medians and, when the next step's source is not the column
+    this step fills, the next step's edges too (their input is then already
+    final) share their passes.
     """
     steps = [(t, s) for t, s in steps if t in df.columns and s in df.columns]
     spec = None
     filled = set()  # columns already rewritten by an earlier step
     for i, (target, source) in enumerate(steps):
         if spec is None:
-            spec = bin_spec(df, source, accuracy)
+            spec = bin_spec(df, source)
         plain = source not in filled
         nxt = steps[i + 1][1] if i + 1 < len(steps) else None
         fuse = nxt is not None and nxt != target
-        aggs = ([] if spec.method == "empty" else _median_aggs(spec, target, plain)) + (_edge_aggs(nxt, accuracy, "n_") if fuse else [])
-        row = df.agg(*aggs).first() if aggs else None
+        medians = [] if spec.method == "empty" else _bin_medians(spec, target, plain)
+        found = exact_quantiles(df, medians + ([(F.col(nxt), QUARTILES)] if fuse else []))
         if spec.method != "empty":
-            df = _fill(df, spec, target, row, plain)
+            df = _fill(df, spec, target, [m for (m,) in found[:4]], plain)
             filled.add(target)
-        spec = _spec_from(row, nxt, "n_") if fuse else None
+        spec = _spec_from(found[-1], nxt) if fuse else None
     return df
 
 
 def fill_global_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Fill remaining NULLs with each column's median (one aggregation pass)."""
+    """Fill remaining NULLs with each column's exact median."""
     cols = list(cols)
-    if not cols:
-        return df
-    med = df.agg(*[F.median(c).alias(c) for c in cols]).first()
-    repl = {c: F.coalesce(F.col(c), F.lit(float(med[c]))) for c in cols if med[c] is not None}
+    medians = [m for (m,) in exact_quantiles(df, [(F.col(c), (0.5,)) for c in cols])]
+    repl = {c: F.coalesce(F.col(c), F.lit(m)) for c, m in zip(cols, medians, strict=True) if m is not None}
     return df.withColumns(repl) if repl else df
 
 

@@ -20,7 +20,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.functions.joins import join_small
 from tabforge.functions.rng import hash_uniform
 from tabforge.session import materialize
 
@@ -89,7 +88,7 @@ def knn_vectors(
             # later levels serve only the few unresolved queries: keep just the
             # vectors in cells they touch (size-checked broadcast semi-join)
             qkeys = qcells.select("cell").distinct()
-            vcells = join_small(vcells, qkeys, on="cell", how="left_semi", max_rows=2_000_000)
+            vcells = vcells.join(qkeys, "cell", "left_semi")
         cand = qcells.join(vcells, "cell").drop("cell")
         cand = cand.select(
             "qvid", "vid", _dist2(numeric, categorical, penalty).alias("dist2"),
@@ -152,7 +151,10 @@ def smote(
     m = rows.count()
     k_eff = min(k, m - 1)
     if n <= 0 or k_eff <= 0:
-        return spark.createDataFrame([], "syn_id long").select("syn_id")
+        return rows.limit(0).select(F.lit(0).cast("long").alias("syn_id"), F.col(id_col).alias("base_id"), *feats, F.lit(minority).alias(label))
+    missing = rows.where(" or ".join(f"`{c}` is null" for c in numeric)).count() if numeric else 0
+    if missing:
+        raise ValueError(f"{missing} rows have NULL in {numeric}: impute first")
     sds = rows.agg(*[F.stddev_samp(c).alias(c) for c in numeric]).first()
     penalty = statistics.median([sds[c] or 0.0 for c in numeric]) ** 2 if categorical else 0.0
     vectors = materialize(rows.groupBy(*feats).agg(F.count(F.lit(1)).alias("mult"), F.min(id_col).alias("vid")))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabforge.functions.quantiles import exact_quantiles
+
 # Augmentation ratios and decision thresholds of the reference.
 BASE_RATIO = 0.05
 MIN_RATIO = 0.01
@@ -43,10 +45,11 @@ def scan_profile(df: DataFrame, cols: Sequence[str] | None = None, exact_distinc
 
 def numeric_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column: median, min, max, sample sd (rounded to 6 places)."""
+    medians = exact_quantiles(df, [(F.col(c), (0.5,)) for c in cols])
     aggs = []
-    for c in cols:
+    for c, (median,) in zip(cols, medians, strict=True):
         aggs += [
-            F.median(c).alias(f"median__{c}"),
+            F.first(F.lit(median).cast("double")).alias(f"median__{c}"),
             F.min(c).alias(f"min__{c}"),
             F.max(c).alias(f"max__{c}"),
             F.stddev_samp(c).alias(f"std__{c}"),
@@ -67,16 +70,15 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
     """
     cc = class_counts(df, label)
     key_min = F.struct(F.col("n"), F.col(label))
-    key_max = F.struct(F.col("n"), (-F.dense_rank().over(Window.orderBy(label))).alias("r"))
-    cc = cc.withColumn("__kmax", key_max)
+    key_max = F.struct(-F.col("n"), F.col(label))
     return cc.agg(
         F.sum("n").alias("n_rows"),
         F.count(F.lit(1)).alias("n_classes"),
         F.min_by(F.col(label), key_min).alias("minority_class"),
         F.min("n").alias("minority_count"),
-        F.max_by(F.col(label), F.col("__kmax")).alias("majority_class"),
+        F.min_by(F.col(label), key_max).alias("majority_class"),
         F.max("n").alias("majority_count"),
-    ).withColumn("balance_ratio", F.round(F.col("minority_count") / F.col("majority_count"), 6))
+    ).withColumn("balance_ratio", F.col("minority_count") / F.col("majority_count"))
 
 
 def data_characteristics(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
@@ -88,7 +90,7 @@ def data_characteristics(df: DataFrame, label: str, numeric: Sequence[str], cate
         F.col("n_rows").alias("n_samples"),
         F.lit(n_features).alias("n_features"),
         F.col("balance_ratio").alias("class_balance_ratio"),
-        F.round(F.lit(cat_ratio), 6).alias("categorical_ratio"),
+        F.lit(cat_ratio).alias("categorical_ratio"),
         (F.col("n_rows") < SMALL_N).alias("is_small_dataset"),
         (F.col("balance_ratio") < IMBALANCED_BELOW).alias("is_imbalanced"),
         (F.lit(cat_ratio) > CATEGORICAL_ABOVE).alias("is_highly_categorical"),
@@ -113,7 +115,7 @@ def augmentation_plan(chars: DataFrame) -> DataFrame:
         .when(bal < SEVERE_BELOW, F.lit(MAX_RATIO))
         .otherwise(F.lit(BASE_RATIO))
     )
-    return chars.select("*", method.alias("method"), F.round(ratio, 6).alias("ratio"))
+    return chars.select("*", method.alias("method"), ratio.alias("ratio"))
 
 
 def _long(df: DataFrame, cols: Sequence[str], side: int | Column) -> DataFrame:
@@ -176,7 +178,7 @@ def diversity_score(orig: DataFrame, synth: DataFrame, cols: Sequence[str]) -> D
     so = _stack(orig.agg(*[F.stddev_samp(c).alias(f"so__{c}") for c in cols]), cols, ["so"])
     ss = _stack(synth.agg(*[F.stddev_samp(c).alias(f"ss__{c}") for c in cols]), cols, ["ss"])
     d = so.join(ss, "feature")
-    return d.select("feature", F.round(F.least(F.col("ss") / (F.col("so") + 1e-6), F.lit(2.0)), 6).alias("diversity"))
+    return d.select("feature", F.least(F.col("ss") / (F.col("so") + 1e-6), F.lit(2.0)).alias("diversity"))
 
 
 def diversity_passes(

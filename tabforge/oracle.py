@@ -3,11 +3,22 @@ registered query must return. Used by the correctness gate and the tests."""
 
 from __future__ import annotations
 
-from tabforge.operators.impute import SURVEY_STEPS
 from tabforge.sources.fixture import FEATURES, NUMERIC, SURVEY_SQL
 
 KEYS7 = FEATURES
 
+# Fixed values, written out apart from the code under test: (target, source) of each imputation step.
+SURVEY_STEPS = (
+    ("Time_spent_Alone", "Social_event_attendance"),
+    ("Time_spent_Alone", "Going_outside"),
+    ("Social_event_attendance", "Going_outside"),
+    ("Friends_circle_size", "Social_event_attendance"),
+    ("Post_frequency", "Friends_circle_size"),
+    ("Going_outside", "Social_event_attendance"),
+    ("Friends_circle_size", "Going_outside"),
+    ("Post_frequency", "Going_outside"),
+)
+
 
 def with_survey(body: str, extra_ctes: str = "") -> str:
     ctes = SURVEY_SQL.strip()
@@ -339,7 +350,7 @@ def _pseudo_cte() -> str:
 {_test_scores_cte()},
 cand AS (SELECT row_id, 1.0 * p_A AS p_blend, greatest(1.0 * p_A, 1 - 1.0 * p_A) AS confidence FROM ts
          WHERE 1.0 * p_A >= 0.95 OR 1.0 * p_A <= 1 - 0.95),
-chosen AS (SELECT * FROM cand ORDER BY confidence DESC, row_id LIMIT (SELECT CAST(floor(count(*) * 0.05) AS BIGINT) FROM lt)),
+chosen AS (SELECT * FROM cand ORDER BY confidence DESC, row_id LIMIT (SELECT CAST(floor(count(*) * 0.3) AS BIGINT) FROM lt)),
 comb AS (SELECT row_id, label, 'train' AS source, CAST(NULL AS DOUBLE) AS confidence FROM lt
          UNION ALL SELECT row_id, CAST(p_blend >= 0.5 AS INTEGER), 'pseudo', confidence FROM chosen)
 """

@@ -35,7 +35,6 @@ def prep(
     target: str = fixture.TARGET,
     steps=SURVEY_STEPS,
     origin: str = "origin",
-    accuracy: int | None = None,
     materialize_input: bool = True,
 ) -> DataFrame:
     """Train and test rows together (``origin``) -> row_id, origin, label, features.
@@ -55,7 +54,7 @@ def prep(
         [target, *categorical],
     )
     df = label_encode(df, target, classes=doms[target], out="label", where=train)
-    df = impute_chain(df, steps, accuracy)
+    df = impute_chain(df, steps)
     df = fill_unknown(df, categorical)
     df = one_hot(df, categorical, domain={c: doms[c] for c in categorical})
     df = fill_global_median(df, numeric)

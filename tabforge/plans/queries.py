@@ -107,10 +107,16 @@ def _train(spark, sf_dir):
     return _survey(spark, sf_dir).filter(F.col("origin") == "train")
 
 
+def _rounded(df):
+    """Ratios to 6 places for comparison; decisions are made on the exact ones."""
+    ratios = ("class_balance_ratio", "categorical_ratio", "ratio", "diversity")
+    return df.withColumns({c: F.round(c, 6) for c in ratios if c in df.columns})
+
+
 def q_class_balance(spark, sf_dir):
     from tabforge.operators.profile import class_balance
 
-    return class_balance(_train(spark, sf_dir), TARGET)
+    return class_balance(_train(spark, sf_dir), TARGET).withColumn("balance_ratio", F.round("balance_ratio", 6))
 
 
 def q_class_domain(spark, sf_dir):
@@ -127,13 +133,13 @@ def q_numeric_stats(spark, sf_dir):
 def q_data_characteristics(spark, sf_dir):
     from tabforge.operators.profile import data_characteristics
 
-    return data_characteristics(_train(spark, sf_dir), TARGET, NUMERIC, CATEGORICAL)
+    return _rounded(data_characteristics(_train(spark, sf_dir), TARGET, NUMERIC, CATEGORICAL))
 
 
 def q_augmentation_plan(spark, sf_dir):
     from tabforge.operators.profile import augmentation_plan, data_characteristics
 
-    return augmentation_plan(data_characteristics(_train(spark, sf_dir), TARGET, NUMERIC, CATEGORICAL))
+    return _rounded(augmentation_plan(data_characteristics(_train(spark, sf_dir), TARGET, NUMERIC, CATEGORICAL)))
 
 
 def q_ks_similarity(spark, sf_dir):
@@ -147,7 +153,7 @@ def q_diversity_score(spark, sf_dir):
     from tabforge.operators.profile import diversity_score
 
     s = _survey(spark, sf_dir, mat=True)
-    return diversity_score(s.filter(F.col("origin") == "train"), s.filter(F.col("origin") == "test"), NUMERIC)
+    return _rounded(diversity_score(s.filter(F.col("origin") == "train"), s.filter(F.col("origin") == "test"), NUMERIC))
 
 
 def q_standard_scale(spark, sf_dir):
@@ -282,7 +288,7 @@ def _pseudo(spark, sf_dir):
     from tabforge.operators.pseudo import pseudo_label
 
     train = _labelled_train(spark, sf_dir, mat=True)
-    return pseudo_label(train, _test_scores(spark, sf_dir), PSEUDO_WEIGHTS, threshold=0.95, max_ratio=0.05)
+    return pseudo_label(train, _test_scores(spark, sf_dir), PSEUDO_WEIGHTS, threshold=0.95, max_ratio=0.3)
 
 
 def q_pseudo_label(spark, sf_dir):
@@ -301,12 +307,13 @@ def _customer_domains(spark, sf_dir):
     from tabforge.operators.domain import domain_union
     from tabforge.sources.tables import table
 
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
     segments = encode.domains(c, ["c_mktsegment"], max_levels=1000)["c_mktsegment"]
     u = domain_union([c.filter(F.col("c_mktsegment") == s) for s in segments])
     return u.select(
         "c_custkey",
         "c_acctbal",
+        "c_nationkey",
         "domain",
         hash_uniform("c_custkey", "ref").alias("p_ref"),
         hash_uniform("c_custkey", "own").alias("p_own"),
@@ -521,11 +528,8 @@ def q_self_train(spark, sf_dir):
 def q_domain_weights(spark, sf_dir):
     from tabforge.plans.train import domain_weights
 
-    d = _customer_domains(spark, sf_dir).select("c_custkey", "c_acctbal", "domain")
-    from tabforge.sources.tables import table
-
-    nat = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("nation"))
-    d = d.join(nat, "c_custkey")
+    d = _customer_domains(spark, sf_dir)
+    d = d.select("c_custkey", "c_acctbal", "domain", F.col("c_nationkey").cast("string").alias("nation"))
     return domain_weights(d, ["c_acctbal"], ["nation"])
 
 
@@ -606,7 +610,7 @@ def q_stream_score(spark, sf_dir):
     model = _serving_model(spark, sf_dir)
     base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
     raw = _raw_answers(spark, sf_dir).filter(F.col("origin") == "test").drop("origin")
-    raw.repartition(4).write.parquet(f"{base}/in")
+    raw.write.parquet(f"{base}/in")
     stream_score(spark, model, f"{base}/in", raw.schema, f"{base}/out", f"{base}/ckpt", CLASSES)
     return spark.read.parquet(f"{base}/out")
 
@@ -619,7 +623,7 @@ def q_data_complexity(spark, sf_dir):
 
     t = impute.fill_global_median(_train_raw(spark, sf_dir), NUMERIC)
     fc = feature_complexity(t, TARGET, NUMERIC)
-    return data_characteristics(t, TARGET, NUMERIC, CATEGORICAL).withColumn("feature_complexity", F.lit(fc))
+    return _rounded(data_characteristics(t, TARGET, NUMERIC, CATEGORICAL)).withColumn("feature_complexity", F.lit(fc))
 
 
 def q_domain_removal(spark, sf_dir):
@@ -653,7 +657,7 @@ def _docs(spark, sf_dir):
 def q_class_balance_docs(spark, sf_dir):
     from tabforge.operators.profile import class_balance
 
-    return class_balance(_docs(spark, sf_dir), "quality")
+    return class_balance(_docs(spark, sf_dir), "quality").withColumn("balance_ratio", F.round("balance_ratio", 6))
 
 
 def q_stratified_folds_embeddings(spark, sf_dir):

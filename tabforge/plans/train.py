@@ -103,8 +103,9 @@ def domain_weights(union: DataFrame, numeric: Sequence[str], categorical: Sequen
 
     d = fill_unknown(fill_global_median(union, numeric), categorical, value="missing")
     d = standard_scale(d, numeric)
+    before = set(d.columns)
     d = one_hot(d, categorical, drop_first=True, keep_input=True)
-    feats = list(numeric) + [c for c in d.columns if any(c.startswith(f"{k}_") for k in categorical) and c not in categorical]
+    feats = list(numeric) + [c for c in d.columns if c not in before]
     x = assemble(d, feats, "__dx")
     lr = LogisticRegression(featuresCol="__dx", labelCol="__dl", family="multinomial", maxIter=100)
     x = x.withColumn("__dl", F.col(domain).cast("double"))

@@ -4,7 +4,6 @@ prediction sink, parameter and metadata JSON, model persistence, prediction log.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +24,36 @@ def survey_schema(with_target: bool = True, id_col: str = "id") -> T.StructType:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV scan with a declared schema (no inference pass); empty fields are NULL."""
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    """CSV scan with a declared schema (no inference pass); empty fields are NULL.
+
+    Columns are found by their header names, in any order; further columns are ignored, a missing
+    one raises. A field that is no value of its column's type raises when it is read.
+    """
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    missing = [f.name for f in schema if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} has no columns {missing}")
+    return raw.select(*[F.expr(f"CAST(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema])
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system that Spark knows is there."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _join(folder: str, name: str) -> str:
+    return f"{folder.rstrip('/')}/{name}"
 
 
 def read_external(spark: SparkSession, path: str | None, keys: Sequence[str], value: str = "Personality") -> DataFrame | None:
-    """External lookup table, or None when it is absent (the enrichment column is
-    then all NULL, see ``enrich_missing_source``)."""
-    if path is None or not os.path.exists(path):
+    """External lookup table, or None when no path is given (the enrichment column is
+    then all NULL, see ``enrich_missing_source``). A path that is not there raises."""
+    if path is None:
         return None
+    if not path_exists(spark, path):
+        raise FileNotFoundError(path)
     schema = T.StructType([f for f in survey_schema(True).fields if f.name in (*keys, value)])
     return read_csv(spark, path, schema)
 
@@ -48,15 +68,15 @@ def write_predictions(df: DataFrame, path: str, id_col: str = "id", label_col: s
 
 def save_params(spark: SparkSession, params: dict, name: str, params_dir: str) -> str:
     """Best parameters of ``name`` as a one-row JSON table (values as strings)."""
-    path = os.path.join(params_dir, f"{name}_best_params")
+    path = _join(params_dir, f"{name}_best_params")
     row = [(name, json.dumps(params, sort_keys=True))]
     spark.createDataFrame(row, "model string, params string").coalesce(1).write.mode("overwrite").json(path)
     return path
 
 
 def load_params(spark: SparkSession, name: str, params_dir: str) -> dict | None:
-    path = os.path.join(params_dir, f"{name}_best_params")
-    if not os.path.exists(path):
+    path = _join(params_dir, f"{name}_best_params")
+    if not path_exists(spark, path):
         return None
     row = spark.read.schema("model string, params string").json(path).first()
     return None if row is None else json.loads(row["params"])
@@ -101,11 +121,11 @@ def append_prediction_log(scored: DataFrame, path: str, inputs: Sequence[str], r
     log.write.mode("append").parquet(path)
 
 
-def resolve_model(models_dir: str, name: str = "ensemble") -> str:
+def resolve_model(spark: SparkSession, models_dir: str, name: str = "ensemble") -> str:
     """Model lookup with ordered fallbacks: the name, then stack_A..stack_F."""
     candidates = [name] + [f"stack_{s}" for s in "ABCDEF"]
     for c in candidates:
-        p = os.path.join(models_dir, c)
-        if os.path.exists(p):
+        p = _join(models_dir, c)
+        if path_exists(spark, p):
             return p
     raise FileNotFoundError(f"no model under {models_dir} (tried {candidates})")

@@ -29,7 +29,8 @@ def test_csv_roundtrip_with_schema(spark, scratch):
 
 
 def test_external_missing_is_none(spark, scratch):
-    assert io.read_external(spark, f"{scratch}/nope.csv", io.NUMERIC) is None
+    with pytest.raises(FileNotFoundError):
+        io.read_external(spark, f"{scratch}/nope.csv", io.NUMERIC)
     assert io.read_external(spark, None, io.NUMERIC) is None
 
 
@@ -51,7 +52,7 @@ def test_model_persistence_metadata_registry_and_log(spark, scratch):
 
     model = q._serving_model(spark, SF)
     io.save_model(model, f"{scratch}/models/stack_C")
-    path = io.resolve_model(f"{scratch}/models", "ensemble")
+    path = io.resolve_model(spark, f"{scratch}/models", "ensemble")
     assert path.endswith("stack_C")
     loaded = io.load_model(path)
     raw = q._raw_answers(spark, SF).filter(F.col("origin") == "test")
@@ -67,7 +68,7 @@ def test_model_persistence_metadata_registry_and_log(spark, scratch):
     io.append_prediction_log(scored, f"{scratch}/log", ["row_id"], ["predicted_label", "confidence"])
     assert spark.read.parquet(f"{scratch}/log").count() == 2 * raw.count()
     with pytest.raises(FileNotFoundError):
-        io.resolve_model(f"{scratch}/empty")
+        io.resolve_model(spark, f"{scratch}/empty")
 
 
 def test_param_draws_seeded_with_warm_start():

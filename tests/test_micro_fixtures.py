@@ -71,11 +71,10 @@ def test_blend_threshold(spark):
     assert out["blended"] == pytest.approx(0.45) and out["blended_class"] == 0
 
 
-@pytest.mark.parametrize("small_k", [100_000, 0])
-def test_pseudo_label_cap(spark, small_k):
+def test_pseudo_label_cap(spark):
     train = spark.createDataFrame([(100 + i, i % 2) for i in range(10)], "row_id long, label int")
     test = spark.createDataFrame([(1, 0.99), (2, 0.015), (3, 0.96), (4, 0.98), (5, 0.5), (6, 0.03)], "row_id long, p double")
-    out = pseudo.pseudo_label(train, test, {"p": 1.0}, threshold=0.95, max_ratio=0.3, small_k=small_k)
+    out = pseudo.pseudo_label(train, test, {"p": 1.0}, threshold=0.95, max_ratio=0.3)
     got = sorted(rows(out.filter(F.col("source") == "pseudo"), "row_id", "label"))
     assert got == [(1, 1), (2, 0), (4, 1)]
     st = pseudo.pseudo_stats(out).first()
@@ -129,6 +128,7 @@ def test_augmentation_plan_rules(spark):
         "i int, n_samples long, class_balance_ratio double, categorical_ratio double, is_small_dataset boolean, is_imbalanced boolean, is_highly_categorical boolean",
     )
     got = [(r["method"], r["ratio"]) for r in profile.augmentation_plan(df).orderBy("i").collect()]
+    got = [(m, round(r, 9)) for m, r in got]
     assert got == [("smotenc", 0.075), ("sdv_copula", 0.04), ("mixed_ensemble", 0.025), ("class_balanced", 0.2), ("sdv_copula", 0.05), ("sdv_copula", 0.05)]
 
 
@@ -168,23 +168,23 @@ def test_align_features(spark):
     assert out.columns == ["row_id", "a", "b"] and tuple(out.first()) == (1, 0.0, 2.0)
 
 
-def test_top_k_paths_agree(spark):
+def test_top_k_of_ties(spark):
     df = spark.createDataFrame([(i, float(i % 7)) for i in range(200)], "id long, s double")
     order = [F.col("s").desc(), F.col("id").asc()]
     a = [r[0] for r in top_k(df, 50, order).select("id").collect()]
-    b = [r[0] for r in top_k(df, 50, order, small_k=0).select("id").collect()]
+    b = [r[0] for r in df.orderBy(*order).limit(50).select("id").collect()]
     assert sorted(a) == sorted(b) and len(a) == 50
 
 
 def test_null_safe_match_shuffle_path_equals_broadcast(spark):
-    """Above the broadcast bound the same rows come out of the shuffle join."""
+    """The same rows come out whether or not the lookup may be broadcast."""
     from tabforge.sources import fixture
 
     sf = "/root/testdata/sf0.001"
     base = fixture.survey(spark, sf)
     ext = fixture.external(spark, sf, base)
     a = enrich.enrich_match(base, ext, fixture.FEATURES, fixture.TARGET)
-    b = enrich.enrich_match(base, ext, fixture.FEATURES, fixture.TARGET, broadcast_limit=0)
+    b = enrich.enrich_match(base, ext.hint("merge"), fixture.FEATURES, fixture.TARGET)
     key = lambda r: (r["row_id"], r["match_p"] or "")
     assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
     assert b.count() == base.count()
