@@ -1,17 +1,18 @@
 """Stack definitions re-aimed at pyspark.ml estimators.
 
-A *builder* is a zero-argument function returning an unfitted estimator that
-reads ``features`` / ``label`` (and ``weight`` when given) and writes
-``probability``. Tree counts and iterations are scaled by ``budget`` so the
-search cost stays a parameter.
+A stack is a list of bases, a parameter space and a meta learner. Boosted trees of several
+growth policies, extra trees and kernel machines have no pyspark.ml form of their own; each is
+the nearest estimator that has one, with the ranges of the parameters both share. ``params`` has
+a value for every name of the space (the middle of its range by default) and ``budget`` may cap
+rounds, trees, depths, layers and iterations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -20,137 +21,204 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
+from pyspark.ml.feature import RobustScaler
 
-# Per-stack seeds of the reference (A-F).
+#: Trees of pyspark.ml end at this depth.
+DEEPEST = 30
+
+# Per-stack seeds, label noise, and the ranges (name, low, high, kind) of the searches.
 STACK_SEEDS = {"A": 42, "B": 2024, "C": 1337, "D": 9999, "E": 7777, "F": 5555}
 STACK_NOISE = {"F": 0.02}
+META_C, NOISY_META_C = (0.1, 10.0), (0.01, 2.0)
+
+
+def _boosted(base: str, rounds, rate, depth, share, least) -> list[tuple]:
+    return [
+        (f"{base}.maxIter", *rounds, "int"),
+        (f"{base}.stepSize", *rate, "log"),
+        (f"{base}.maxDepth", *depth, "int"),
+        (f"{base}.subsamplingRate", *share, "float"),
+        (f"{base}.minInstancesPerNode", *least, "int"),
+    ]
+
+
+def _boosters(rounds, rate, depth, share, least: tuple, third: bool = True) -> list[tuple]:
+    names = ("depthwise", "leafwise", "symmetric") if third else ("depthwise", "symmetric")
+    return [row for name, low in zip(names, least, strict=True) for row in _boosted(name, rounds, rate, depth, share, low)]
+
+
+def _forest(base: str) -> list[tuple]:
+    return [
+        (f"{base}.numTrees", 500, 1000, "int"),
+        (f"{base}.maxDepth", 15, 40, "int"),
+        (f"{base}.minInstancesPerNode", 1, 5, "int"),
+        (f"{base}.featureSubsetStrategy", ["sqrt", "log2", "all"], None, "choice"),
+        (f"{base}.weight", ["none", "balanced"], None, "choice"),
+    ]
+
+
+def _meta(kinds: list[str], c: tuple = META_C) -> list[tuple]:
+    return [("meta.kind", kinds, None, "choice"), ("meta.C", *c, "log")]
+
+
+STACK_SPACES = {
+    "A": _boosters((500, 1000), (0.01, 0.25), (5, 12), (0.5, 1.0), ((1, 15), (5, 80), (1, 30))) + _meta(["logistic", "ridge", "booster"]),
+    "B": _boosters((600, 1200), (0.01, 0.25), (5, 12), (0.5, 1.0), ((1, 15), (5, 80), (1, 30))) + _meta(["logistic", "ridge", "booster"]),
+    "C": _boosters((400, 800), (0.01, 0.2), (6, 12), (0.6, 1.0), ((1, 10), (1, 20)), third=False) + _meta(["logistic", "ridge", "booster"]),
+    "D": _forest("forest")
+    + _forest("extra")
+    + _boosted("boosted", (500, 1000), (0.01, 0.3), (8, 20), (1.0, 1.0), (5, 30))
+    + _meta(["logistic", "booster", "ridge"]),
+    "E": [
+        ("deep.first", 50, 200, "int"),
+        ("deep.second", 20, 100, "int"),
+        ("deep.third", 10, 50, "int"),
+        ("deep.maxIter", 500, 2000, "int"),
+        ("wide.first", 100, 400, "int"),
+        ("wide.maxIter", 500, 2000, "int"),
+        ("margin.C", 0.1, 10.0, "log"),
+        *_meta(["logistic", "ridge"]),
+    ],
+    "F": _boosters((500, 1000), (0.01, 0.2), (4, 10), (0.6, 1.0), ((2, 20), (10, 100), (5, 50))) + _meta(["logistic"], NOISY_META_C),
+}
+STACK_BASES = {
+    "A": (("depthwise", "boosted"), ("leafwise", "boosted"), ("symmetric", "boosted")),
+    "B": (("depthwise", "boosted"), ("leafwise", "boosted"), ("symmetric", "boosted")),
+    "C": (("depthwise", "boosted"), ("symmetric", "boosted")),
+    "D": (("forest", "forest"), ("extra", "extra"), ("boosted", "boosted")),
+    "E": (("deep", "layers"), ("wide", "layers"), ("margin", "margin"), ("bayes", "bayes")),
+    "F": (("depthwise", "boosted"), ("leafwise", "boosted"), ("symmetric", "boosted")),
+}
+#: Stacks whose features are scaled by median and quartiles before any base.
+SCALED = ("D", "E")
+
+
+def default_params(name: str) -> dict:
+    """The middle of every range, the first of every choice."""
+    out = {}
+    for param, lo, hi, kind in STACK_SPACES[name]:
+        out[param] = lo[0] if kind == "choice" else (lo * hi) ** 0.5 if kind == "log" else (lo + hi) / 2
+        if kind == "int":
+            out[param] = int(out[param])
+    return out
+
+
+def capped(params: Mapping, budget: Mapping | None) -> dict:
+    """Params with every number whose last name is in ``budget`` at most that."""
+    budget = budget or {}
+    return {k: min(v, budget[k.split(".")[-1]]) if k.split(".")[-1] in budget else v for k, v in params.items()}
 
 
 @dataclass
 class StackSpec:
     name: str
     seed: int
-    bases: list  # list of (name, builder(params) -> Estimator)
-    meta: Callable[[dict], Estimator]
-    noise_rate: float = 0.0
+    bases: list[tuple[str, str]]
     params: dict = field(default_factory=dict)
+    noise_rate: float = 0.0
+    scaled: bool = False
+
+    def base(self, name: str, kind: str, n_features: int, n_rows: int) -> Estimator:
+        """An unfitted pipeline from ``features`` to ``probability``."""
+        p = {k.split(".", 1)[1]: v for k, v in self.params.items() if k.startswith(f"{name}.")}
+        seed = self.seed + [n for n, _ in self.bases].index(name)
+        source = "__scaled" if self.scaled else "features"
+        stages = [RobustScaler(inputCol="features", outputCol="__scaled", withCentering=True)] if self.scaled else []
+        return Pipeline(stages=stages + _ESTIMATORS[kind](p, seed, source, n_features, n_rows))
+
+    def meta(self, n_rows: int) -> Estimator:
+        """Logistic and ridge are both logistic models with an L2 penalty: C, or 1 / C as the penalty."""
+        kind, c = self.params.get("meta.kind", "logistic"), float(self.params.get("meta.C", 1.0))
+        if kind == "booster":
+            return GBTClassifier(maxIter=int(self.params.get("meta.maxIter", 100)), stepSize=0.1, maxDepth=3, seed=self.seed)
+        return logistic({"C": c if kind == "logistic" else 1.0 / c}, n_rows)
+
+
+def _weighted(p: dict) -> dict:
+    return {"weightCol": "weight"} if p.get("weight") == "balanced" else {}
+
+
+def _gbt(p, seed, source, n_features, n_rows) -> list:
+    return [
+        GBTClassifier(
+            featuresCol=source,
+            maxIter=int(p["maxIter"]),
+            stepSize=float(p["stepSize"]),
+            maxDepth=min(int(p["maxDepth"]), DEEPEST),
+            subsamplingRate=float(p["subsamplingRate"]),
+            minInstancesPerNode=int(p["minInstancesPerNode"]),
+            seed=seed,
+        )
+    ]
+
+
+def _trees(bootstrap: bool) -> Callable:
+    def build(p, seed, source, n_features, n_rows) -> list:
+        return [
+            RandomForestClassifier(
+                featuresCol=source,
+                numTrees=int(p["numTrees"]),
+                maxDepth=min(int(p["maxDepth"]), DEEPEST),
+                minInstancesPerNode=int(p["minInstancesPerNode"]),
+                featureSubsetStrategy=p["featureSubsetStrategy"],
+                bootstrap=bootstrap,
+                seed=seed,
+                **_weighted(p),
+            )
+        ]
 
+    return build
 
-def _gbt(p, seed, **kw):
-    return GBTClassifier(
-        featuresCol="features",
-        labelCol="label",
-        maxIter=int(p.get("maxIter", 10)),
-        maxDepth=int(min(p.get("maxDepth", 5), 30)),
-        stepSize=float(p.get("stepSize", 0.1)),
-        subsamplingRate=float(p.get("subsamplingRate", 1.0)),
-        minInstancesPerNode=int(p.get("minInstancesPerNode", 1)),
-        maxBins=int(p.get("maxBins", 32)),
-        featureSubsetStrategy=str(p.get("featureSubsetStrategy", "all")),
-        seed=seed,
-        **kw,
-    )
-
-
-def _rf(p, seed, bootstrap=True):
-    return RandomForestClassifier(
-        featuresCol="features",
-        labelCol="label",
-        numTrees=int(p.get("numTrees", 10)),
-        maxDepth=int(min(p.get("maxDepth", 8), 30)),
-        minInstancesPerNode=int(p.get("minInstancesPerNode", 1)),
-        featureSubsetStrategy=str(p.get("featureSubsetStrategy", "auto")),
-        bootstrap=bootstrap,
-        seed=seed,
-    )
-
-
-def logistic(p=None, n_rows: int | None = None) -> LogisticRegression:
-    """Logistic meta learner; C -> regParam = 1 / (C * n) (mean-loss scaling)."""
-    p = p or {}
-    c = float(p.get("C", 1.0))
-    reg = 1.0 / (c * n_rows) if n_rows else float(p.get("regParam", 0.0))
-    return LogisticRegression(featuresCol="features", labelCol="label", regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=100)
 
+def _layers(p, seed, source, n_features, n_rows) -> list:
+    hidden = [int(p[k]) for k in ("first", "second", "third") if k in p]
+    return [MultilayerPerceptronClassifier(featuresCol=source, layers=[n_features, *hidden, 2], maxIter=int(p["maxIter"]), seed=seed)]
 
-def stack_spec(name: str, params: dict | None = None) -> StackSpec:
-    p = dict(params or {})
-    seed = STACK_SEEDS[name]
-    if name in ("A", "B", "F"):
-        bases = [
-            ("gbt_depthwise", lambda q, s=seed: _gbt(q, s)),
-            ("gbt_leafwise", lambda q, s=seed: _gbt({**q, "maxDepth": q.get("maxDepth2", 6), "subsamplingRate": q.get("subsamplingRate", 0.8)}, s + 1)),
-            ("forest", lambda q, s=seed: _rf(q, s + 2)),
-        ]
-    elif name == "C":
-        bases = [
-            ("gbt_a", lambda q, s=seed: _gbt(q, s)),
-            ("gbt_b", lambda q, s=seed: _gbt({**q, "maxDepth": q.get("maxDepth2", 6)}, s + 1)),
-        ]
-    elif name == "D":
-        bases = [
-            ("forest", lambda q, s=seed: _rf(q, s)),
-            ("extra_trees", lambda q, s=seed: _rf({**q, "featureSubsetStrategy": q.get("featureSubsetStrategy", "sqrt")}, s + 1, bootstrap=False)),
-            ("gbt", lambda q, s=seed: _gbt(q, s + 2)),
-        ]
-    elif name == "E":
-        bases = [
-            ("mlp_deep", lambda q, s=seed: MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=q["layers_deep"], maxIter=int(q.get("maxIter", 50)), seed=s)),
-            ("mlp_wide", lambda q, s=seed: MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=q["layers_wide"], maxIter=int(q.get("maxIter", 50)), seed=s + 1)),
-            ("svc_platt", lambda q, s=seed: PlattSVC(regParam=float(q.get("svcReg", 0.01)))),
-            ("gaussian_nb", lambda q, s=seed: NaiveBayes(featuresCol="features", labelCol="label", modelType="gaussian")),
-        ]
-    else:
-        raise ValueError(name)
-    meta = lambda q: logistic(q)
-    return StackSpec(name, seed, bases, meta, STACK_NOISE.get(name, 0.0), p)
 
+def _margin(p, seed, source, n_features, n_rows) -> list:
+    """A linear margin and, on it, a logistic model that makes it a probability."""
+    svc = LinearSVC(featuresCol=source, regParam=1.0 / (float(p["C"]) * n_rows), maxIter=100, rawPredictionCol="__margin", predictionCol="__side")
+    return [svc, LogisticRegression(featuresCol="__margin", regParam=1e-6)]
 
-class PlattSVC:
-    """Linear SVM with Platt scaling: a logistic model on the SVM margin."""
 
-    def __init__(self, regParam: float = 0.01):
-        self.regParam = regParam
+def _bayes(p, seed, source, n_features, n_rows) -> list:
+    return [NaiveBayes(featuresCol=source, modelType="gaussian")]
 
-    def fit(self, df):
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.functions import vector_to_array
-        from pyspark.sql import functions as F
 
-        svc = LinearSVC(featuresCol="features", labelCol="label", regParam=self.regParam, maxIter=50).fit(df)
-        margin = svc.transform(df).select("label", vector_to_array("rawPrediction")[1].alias("__m"))
-        va = VectorAssembler(inputCols=["__m"], outputCol="__mv")
-        platt = LogisticRegression(featuresCol="__mv", labelCol="label").fit(va.transform(margin))
-        return _PlattModel(svc, va, platt, F)
+_ESTIMATORS = {
+    "boosted": _gbt,
+    "forest": _trees(True),
+    "extra": _trees(False),
+    "layers": _layers,
+    "margin": _margin,
+    "bayes": _bayes,
+}
 
 
-class _PlattModel:
-    def __init__(self, svc, va, platt, F):
-        self.svc, self.va, self.platt, self.F = svc, va, platt, F
+def logistic(p=None, n_rows: int | None = None) -> LogisticRegression:
+    """Logistic model; C -> regParam = 1 / (C * n) (mean-loss scaling)."""
+    p = p or {}
+    c = float(p.get("C", 1.0))
+    reg = 1.0 / (c * n_rows) if n_rows else float(p.get("regParam", 0.0))
+    return LogisticRegression(featuresCol="features", labelCol="label", regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=100)
 
-    def transform(self, df):
-        from pyspark.ml.functions import vector_to_array
 
-        F = self.F
-        keep = [c for c in df.columns if c not in ("rawPrediction", "probability", "prediction")]
-        m = self.svc.transform(df).select(*keep, vector_to_array("rawPrediction")[1].alias("__m"))
-        out = self.platt.setFeaturesCol("__mv").transform(self.va.transform(m))
-        return out.drop("__m", "__mv")
+def stack_spec(name: str, params: Mapping | None = None, budget: Mapping | None = None) -> StackSpec:
+    full = capped({**default_params(name), **(params or {})}, budget)
+    return StackSpec(name, STACK_SEEDS[name], list(STACK_BASES[name]), full, STACK_NOISE.get(name, 0.0), name in SCALED)
 
 
-# The six stack configurations (name, display name, seed, startup draws, wide space, label noise).
+# The six stack configurations (name, seed, startup draws, wide space, label noise).
 STACK_REGISTRY = [
-    ("A", "Traditional ML (narrow)", 42, 5, False, 0.0),
-    ("B", "Traditional ML (wide)", 2024, 5, True, 0.0),
-    ("C", "XGBoost + CatBoost", 1337, 10, False, 0.0),
-    ("D", "Sklearn models", 9999, 10, False, 0.0),
-    ("E", "Neural Networks", 7777, 10, False, 0.0),
-    ("F", "Noisy Labels", 5555, 10, False, 0.02),
+    ("A", 42, 5, False, 0.0),
+    ("B", 2024, 5, True, 0.0),
+    ("C", 1337, 10, False, 0.0),
+    ("D", 9999, 10, False, 0.0),
+    ("E", 7777, 10, False, 0.0),
+    ("F", 5555, 10, False, 0.02),
 ]
 
 
 def stack_registry(spark):
     """The stack configurations as a small DataFrame (a configuration table)."""
-    return spark.createDataFrame(
-        STACK_REGISTRY, "name string, display_name string, seed int, startup_trials int, wide boolean, noise_rate double"
-    )
+    return spark.createDataFrame(STACK_REGISTRY, "name string, seed int, startup_trials int, wide boolean, noise_rate double")

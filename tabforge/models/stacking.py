@@ -1,30 +1,43 @@
 """Out-of-fold scoring and stacking on pyspark.ml.
 
-Every model fit is a distributed Spark job; the driver only loops over the k
-folds (as cross-validation does). Scores are joined back by ``row_id`` --
+Every model fit is a distributed Spark job; the driver only submits the fits of
+the k folds, a few at a time. Scores are joined back by ``row_id`` --
 never aligned by position.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.operators.encode import balanced_weights
 from tabforge.operators.folds import label_noise, stratified_folds
 from tabforge.session import materialize
 
 
+#: Independent fits that are submitted at once; each is a Spark job of its own.
+PARALLEL_FITS = 4
+_MODEL_COLUMNS = ("rawPrediction", "probability", "prediction", "__scaled", "__margin", "__side")
+
+
+def _each(work: Callable, items: Sequence) -> list:
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return list(pool.map(work, items))
+
+
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
 def p1(df: DataFrame, out: str) -> DataFrame:
     """Class-1 probability as a double column, model columns dropped."""
-    keep = [c for c in df.columns if c not in ("rawPrediction", "probability", "prediction")]
+    keep = [c for c in df.columns if c not in _MODEL_COLUMNS]
     return df.select(*keep, vector_to_array("probability")[1].alias(out))
 
 
@@ -55,15 +68,18 @@ def oof_scores(
     # checkpoint folder (no executor memory held, survives executor loss)
     if pin:
         df = materialize(df)
-    oof_parts, test_parts = [], []
-    for i in range(k):
+
+    def fold(i: int):
         train = df.filter(F.col(fold_col) != i)
+        if noise_rate > 0:
+            train = label_noise(train, "label", noise_rate, seed=seed + i, id_col=id_col).withColumn("label", F.col("label").cast("double"))
+        return builder().fit(train)
+
+    oof_parts, test_parts = [], []
+    for i, model in enumerate(_each(fold, range(k))):
         valid = df.filter(F.col(fold_col) == i)
         if validate_on:
             valid = valid.filter(F.expr(validate_on))
-        if noise_rate > 0:
-            train = label_noise(train, "label", noise_rate, seed=seed + i, id_col=id_col).withColumn("label", F.col("label").cast("double"))
-        model = builder().fit(train)
         oof_parts.append(p1(model.transform(valid.select(id_col, "label", "features")), out))
         if test is not None:
             test_parts.append(p1(model.transform(test.select(id_col, "features")), out).withColumn(fold_col, F.lit(i)))
@@ -79,48 +95,77 @@ def oof_scores(
     return oof, test_mean
 
 
+def _scored(df: DataFrame, models: Sequence, names: Sequence[str]) -> DataFrame:
+    """One pass: each base adds its column to the same rows."""
+    for name, model in zip(names, models, strict=True):
+        df = p1(model.transform(df), f"s_{name}")
+    return df
+
+
 class StackingModel:
     def __init__(self, bases, meta, names):
-        self.bases, self.meta, self.names = bases, meta, names
-
-    def base_scores(self, df: DataFrame, id_col: str = "row_id") -> DataFrame:
-        out = df
-        for name, m in zip(self.names, self.bases):
-            out = p1(m.transform(out), f"s_{name}")
-        return out
+        self.bases, self.meta, self.names = list(bases), meta, list(names)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        scored = self.base_scores(df)
-        va = VectorAssembler(inputCols=[f"s_{n}" for n in self.names], outputCol="__meta")
-        meta_in = va.transform(scored)
-        res = self.meta.setFeaturesCol("__meta").transform(meta_in) if hasattr(self.meta, "setFeaturesCol") else self.meta.transform(meta_in)
-        return res.drop("__meta", *[f"s_{n}" for n in self.names])
+        scores = [f"s_{n}" for n in self.names]
+        inputs = VectorAssembler(inputCols=scores, outputCol="__meta").transform(_scored(df, self.bases, self.names))
+        return self.meta.setFeaturesCol("__meta").transform(inputs).drop("__meta", *scores)
+
+    def save(self, path: str) -> None:
+        """Bases, meta model and names, each in a folder of ``path``."""
+        from pyspark.sql import SparkSession
+
+        for name, model in zip(self.names, self.bases, strict=True):
+            model.write().overwrite().save(f"{path}/base_{name}")
+        self.meta.write().overwrite().save(f"{path}/meta")
+        row = [(json.dumps(self.names), type(self.meta).__name__)]
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame(row, "names string, meta string").coalesce(1).write.mode("overwrite").json(f"{path}/stack")
+
+    @classmethod
+    def load(cls, spark, path: str) -> StackingModel:
+        from pyspark.ml import PipelineModel, classification
+
+        row = spark.read.schema("names string, meta string").json(f"{path}/stack").first()
+        names = json.loads(row["names"])
+        meta = getattr(classification, row["meta"]).load(f"{path}/meta")
+        return cls([PipelineModel.load(f"{path}/base_{n}") for n in names], meta, names)
 
 
 class StackingClassifier:
-    """Bases -> inner k-fold OOF base scores -> meta model on those scores;
-    bases are then refit on all rows."""
+    """Bases -> inner k-fold OOF base scores -> meta model on those scores; bases are then refit
+    on all rows. A stack with label noise flips exactly floor(n * rate) labels in every fit."""
 
-    def __init__(self, bases: Sequence[tuple[str, Callable[[], object]]], meta: Callable[[], object], k: int = 5, seed: int = 42):
-        self.bases, self.meta, self.k, self.seed = list(bases), meta, k, seed
+    def __init__(self, spec, k: int = 5):
+        self.spec, self.k = spec, k
 
     def fit(self, df: DataFrame, id_col: str = "row_id") -> StackingModel:
-        names = [n for n, _ in self.bases]
-        folds = materialize(stratified_folds(df, "label", k=self.k, seed=self.seed, id_col=id_col, out="__sfold"))
-        meta_in = folds.select(id_col, "label")
-        for name, b in self.bases:
-            oof, _ = oof_scores(folds, b, out=f"s_{name}", k=self.k, seed=self.seed, fold_col="__sfold", id_col=id_col, pin=False)
-            meta_in = meta_in.join(oof.select(id_col, f"s_{name}"), id_col)
-        meta_in = VectorAssembler(inputCols=[f"s_{n}" for n in names], outputCol="features").transform(meta_in)
-        meta_model = self.meta().fit(meta_in)
-        fitted = [b().fit(df) for _, b in self.bases]
-        if hasattr(meta_model, "setFeaturesCol"):
-            meta_model = meta_model.setFeaturesCol("__meta")
-        return StackingModel(fitted, meta_model, names)
-
-
-def build_stack(spec, budget: dict | None = None, k: int = 3) -> Callable[[], StackingClassifier]:
-    """Builder for a whole stack (bases with the spec's params + logistic meta)."""
-    params = {**(budget or {}), **spec.params}
-    bases = [(n, (lambda f=f: f(params))) for n, f in spec.bases]
-    return lambda: StackingClassifier(bases, lambda: spec.meta(params), k=k, seed=spec.seed)
+        spec, names = self.spec, [n for n, _ in self.spec.bases]
+        if spec.noise_rate > 0:
+            df = label_noise(df, "label", spec.noise_rate, seed=spec.seed, id_col=id_col).withColumn("label", F.col("label").cast("double"))
+        if "balanced" in spec.params.values():
+            df = balanced_weights(df, "label")
+        folds = materialize(stratified_folds(df, "label", k=self.k, seed=spec.seed, id_col=id_col, out="__sfold"))
+        n_rows, n_features = folds.count(), len(folds.select("features").first()["features"])
+
+        def fit(job: tuple):
+            fold, (name, kind) = job
+            rows = folds if fold is None else folds.filter(F.col("__sfold") != fold)
+            return spec.base(name, kind, n_features, n_rows).fit(rows)
+
+        jobs = [(fold, base) for fold in [*range(self.k), None] for base in spec.bases]
+        models = _each(fit, jobs)
+        of = {fold: [m for (f, _), m in zip(jobs, models, strict=True) if f == fold] for fold in [*range(self.k), None]}
+        parts = None
+        for fold in range(self.k):
+            valid = folds.filter(F.col("__sfold") == fold).select(id_col, "label", "features")
+            part = _scored(valid, of[fold], names).drop("features")
+            parts = part if parts is None else parts.unionByName(part)
+        meta_in = VectorAssembler(inputCols=[f"s_{n}" for n in names], outputCol="features").transform(parts)
+        meta = spec.meta(n_rows).fit(materialize(meta_in.select("label", "features")))
+        return StackingModel(of[None], meta, names)
+
+
+def build_stack(spec, k: int = 5) -> Callable[[], StackingClassifier]:
+    """Builder for a whole stack."""
+    return lambda: StackingClassifier(spec, k)

@@ -466,16 +466,18 @@ def q_oof_scores_noisy(spark, sf_dir):
     return oof.select("row_id", "label", "p")
 
 
+#: An explicit budget for the registered keys: fewer rounds, trees and layers than the full ranges.
+QUICK = {"maxIter": 5, "numTrees": 5, "maxDepth": 4, "first": 8, "second": 6, "third": 4}
+ALL_STACKS = ("A", "B", "C", "D", "E", "F")
+
+
 def _stack(name):
     def run(spark, sf_dir):
         from tabforge.models.builders import stack_spec
         from tabforge.models.stacking import build_stack, p1
-        from tabforge.operators.scoring import CONTRACT
-        from tabforge.plans.train import budget_for
 
         train, test = _model_tables(spark, sf_dir)
-        b = budget_for(name, len(CONTRACT))
-        model = build_stack(stack_spec(name, b), b, k=2)().fit(train)
+        model = build_stack(stack_spec(name, budget=QUICK))().fit(train)
         return p1(model.transform(test.select("row_id", "features")), "p").select("row_id", "p")
 
     run.__name__ = f"q_stack_{name.lower()}"
@@ -499,30 +501,28 @@ def q_param_search(spark, sf_dir):
     train, _ = _model_tables(spark, sf_dir)
     n = train.count()
     space = [("C", 0.1, 10.0, "log")]
-    return param_search(train, lambda d: logistic(d, n_rows=n), space, n_trials=3, k=3, seed=42)
+    return param_search(train, lambda d: logistic(d, n_rows=n), space, n_trials=15, k=5, seed=42)
 
 
 def q_soft_vote(spark, sf_dir):
     from tabforge.plans.train import soft_vote_ensemble
 
     train, test = _model_tables(spark, sf_dir)
-    return soft_vote_ensemble(train, test, trees=5)
+    return soft_vote_ensemble(train, test)
 
 
 def q_refit_predict(spark, sf_dir):
-    from tabforge.operators.scoring import CONTRACT
     from tabforge.plans.train import refit_predict
 
     train, test = _model_tables(spark, sf_dir)
-    return refit_predict(train, test, ["C"], {"C": 1.0}, len(CONTRACT), CLASSES)
+    return refit_predict(train, test, ALL_STACKS, dict.fromkeys(ALL_STACKS, 1.0), CLASSES, budget=QUICK)
 
 
 def q_self_train(spark, sf_dir):
-    from tabforge.operators.scoring import CONTRACT
     from tabforge.plans.train import self_train
 
     train, test = _model_tables(spark, sf_dir)
-    return self_train(train, test, ["C"], {"C": 1.0}, len(CONTRACT), CLASSES)
+    return self_train(train, test, ALL_STACKS, dict.fromkeys(ALL_STACKS, 1.0), CLASSES, budget=QUICK)
 
 
 def q_domain_weights(spark, sf_dir):

@@ -3,7 +3,7 @@ self-training, soft voting and domain-classifier weights."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -15,9 +15,6 @@ from tabforge.models.stacking import assemble, build_stack, oof_scores, p1
 from tabforge.operators.pseudo import pseudo_label
 from tabforge.session import materialize
 
-SMALL_BUDGET = {"maxIter": 5, "numTrees": 5, "maxDepth": 4, "maxDepth2": 3, "layers_deep": None, "layers_wide": None}
-
-
 def model_tables(prepped: DataFrame, features: Sequence[str]):
     """(train, test) with ``features`` vectors; label as double for pyspark.ml."""
     x = assemble(prepped, features).select("row_id", "origin", F.col("label").cast("double").alias("label"), "features")
@@ -25,35 +22,43 @@ def model_tables(prepped: DataFrame, features: Sequence[str]):
     return x.filter(F.col("origin") == "train"), x.filter(F.col("origin") == "test")
 
 
-def budget_for(name: str, n_features: int) -> dict:
-    b = dict(SMALL_BUDGET)
-    b["layers_deep"] = [n_features, 8, 6, 4, 2]
-    b["layers_wide"] = [n_features, 16, 2]
-    return b
-
-
-def stack_oof(train: DataFrame, test: DataFrame | None, stacks: Sequence[str], n_features: int, k: int = 3, inner_k: int = 2):
+def stack_oof(
+    train: DataFrame,
+    test: DataFrame | None,
+    stacks: Sequence[str],
+    k: int = 5,
+    inner_k: int = 5,
+    budget: Mapping | None = None,
+    params: Mapping[str, Mapping] | None = None,
+):
     """Wide OOF table row_id, label, p_<stack>... and (optionally) test means."""
     oof = train.select("row_id", "label")
     test_scores = test.select("row_id") if test is not None else None
     for s in stacks:
-        spec = stack_spec(s, budget_for(s, n_features))
-        builder = build_stack(spec, budget_for(s, n_features), k=inner_k)
-        o, t = oof_scores(train, builder, out=f"p_{s}", k=k, seed=spec.seed, noise_rate=spec.noise_rate, test=test)
+        spec = stack_spec(s, (params or {}).get(s), budget)
+        o, t = oof_scores(train, build_stack(spec, inner_k), out=f"p_{s}", k=k, seed=spec.seed, test=test)
         oof = oof.join(o.select("row_id", f"p_{s}"), "row_id")
         if t is not None:
             test_scores = test_scores.join(t, "row_id")
     return oof, test_scores
 
 
-def refit_predict(train: DataFrame, test: DataFrame, stacks: Sequence[str], weights: dict, n_features: int, classes: Sequence[str], inner_k: int = 2) -> DataFrame:
+def refit_predict(
+    train: DataFrame,
+    test: DataFrame,
+    stacks: Sequence[str],
+    weights: Mapping[str, float],
+    classes: Sequence[str],
+    inner_k: int = 5,
+    budget: Mapping | None = None,
+    params: Mapping[str, Mapping] | None = None,
+) -> DataFrame:
     """Fit every stack on all training rows, blend test scores with ``weights``
-    (normalised), threshold at 0.5 and decode the label (joined by row_id)."""
-    scores = test.select("row_id")
+    (normalised), threshold at 0.5 and decode the label."""
+    scores = test.select("row_id", "features")
     for s in stacks:
-        spec = stack_spec(s, budget_for(s, n_features))
-        model = build_stack(spec, budget_for(s, n_features), k=inner_k)().fit(train)
-        scores = scores.join(p1(model.transform(test.select("row_id", "features")), f"p_{s}").select("row_id", f"p_{s}"), "row_id")
+        model = build_stack(stack_spec(s, (params or {}).get(s), budget), inner_k)().fit(train)
+        scores = p1(model.transform(scores), f"p_{s}")
     tot = sum(weights[s] for s in stacks)
     blended = None
     for s in stacks:
@@ -65,19 +70,46 @@ def refit_predict(train: DataFrame, test: DataFrame, stacks: Sequence[str], weig
     )
 
 
-def self_train(train: DataFrame, test: DataFrame, stacks: Sequence[str], weights: dict, n_features: int, classes: Sequence[str], threshold: float = 0.95, max_ratio: float = 0.3) -> DataFrame:
+def self_train(
+    train: DataFrame,
+    test: DataFrame,
+    stacks: Sequence[str],
+    weights: Mapping[str, float],
+    classes: Sequence[str],
+    threshold: float = 0.95,
+    max_ratio: float = 0.3,
+    **fit,
+) -> DataFrame:
     """Fit, score test, add confident pseudo-labels, refit on the enlarged table."""
-    first = refit_predict(train, test, stacks, weights, n_features, classes)
+    first = materialize(refit_predict(train, test, stacks, weights, classes, **fit))
     scored = test.join(first.select("row_id", "p_blend"), "row_id")
     enlarged_ids = pseudo_label(train, scored, {"p_blend": 1.0}, threshold=threshold, max_ratio=max_ratio)
     pseudo_rows = enlarged_ids.filter(F.col("source") == "pseudo").select("row_id", F.col("label").cast("double").alias("label"))
     enlarged = train.select("row_id", "label", "features").unionByName(
         test.select("row_id", "features").join(pseudo_rows, "row_id").select("row_id", "label", "features")
     )
-    return refit_predict(enlarged, test, stacks, weights, n_features, classes)
+    return refit_predict(materialize(enlarged), test, stacks, weights, classes, **fit)
+
+
+def end_to_end(
+    train: DataFrame,
+    test: DataFrame,
+    stacks: Sequence[str],
+    classes: Sequence[str],
+    trials: int = 200,
+    k: int = 5,
+    **fit,
+) -> DataFrame:
+    """Out-of-fold scores of every stack -> blend weights by search on them -> confident pseudo-labels -> refit."""
+    from tabforge.operators.blend import blend_search
+
+    oof, _ = stack_oof(train, None, stacks, k=k, **fit)  # one row per training row
+    best = blend_search(materialize(oof), {s: f"p_{s}" for s in stacks}, "label", n_trials=trials).first()
+    weights = {s: float(best[f"w_{s}"]) for s in stacks}
+    return self_train(train, test, stacks, weights, classes, **fit)
 
 
-def soft_vote_ensemble(train: DataFrame, test: DataFrame, seed: int = 42, trees: int = 10) -> DataFrame:
+def soft_vote_ensemble(train: DataFrame, test: DataFrame, seed: int = 42, trees: int = 100) -> DataFrame:
     """Average of logistic, forest and boosted-tree probabilities."""
     models = {
         "lr": LogisticRegression(featuresCol="features", labelCol="label", maxIter=100),
