@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.functions.quantiles import exact_quantiles
+from tabforge.session import materialize
 
 # Augmentation ratios and decision thresholds of the reference.
 BASE_RATIO = 0.05
@@ -126,14 +127,14 @@ def _long(df: DataFrame, cols: Sequence[str], side: int | Column) -> DataFrame:
     )
 
 
-def ks_statistic(a: DataFrame, b: DataFrame, cols: Sequence[str], buckets: int = 4096) -> DataFrame:
+def ks_statistic(a: DataFrame, b: DataFrame, cols: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic per column, exact.
 
-    Values are first reduced to (feature, value) counts per side. Running
-    sums need an order over values: an order-preserving equal-width bucket
-    of each value is numbered inside (feature, bucket), and bucket offsets
-    come from a prefix sum over the small (feature, bucket) table, so no task
-    holds more than one bucket of distinct values.
+    Values are first reduced to (feature, value) counts per side. Running sums
+    need an order over values: the distinct values are range-partitioned (so
+    outliers and concentrated values split alike) and written, each partition
+    sums its own, and partition offsets come from the small table of
+    (feature, partition) totals.
     """
     cols = list(cols)
     both = _long(a, cols, 1).unionByName(_long(b, cols, 2))
@@ -141,29 +142,25 @@ def ks_statistic(a: DataFrame, b: DataFrame, cols: Sequence[str], buckets: int =
         F.count(F.when(F.col("side") == 1, 1)).alias("c1"),
         F.count(F.when(F.col("side") == 2, 1)).alias("c2"),
     )
-    rng = cnt.groupBy("feature").agg(
-        F.min("v").alias("mn"), F.max("v").alias("mx"), F.sum("c1").alias("n1"), F.sum("c2").alias("n2")
-    )
-    cnt = cnt.join(F.broadcast(rng), "feature")  # one row per column: bounded by len(cols)
-    width = F.col("mx") - F.col("mn")
-    bucket = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("v") - F.col("mn")) / width * buckets), F.lit(buckets - 1))
-    )
-    cnt = cnt.withColumn("bk", bucket.cast("int"))
-    w_local = Window.partitionBy("feature", "bk").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cnt = cnt.withColumn("l1", F.sum("c1").over(w_local)).withColumn("l2", F.sum("c2").over(w_local))
-    tot = cnt.groupBy("feature", "bk").agg(F.sum("c1").alias("t1"), F.sum("c2").alias("t2"))
-    w_off = Window.partitionBy("feature").orderBy("bk").rowsBetween(Window.unboundedPreceding, -1)
+    n = partitions or int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cnt = materialize(cnt.repartitionByRange(n, "feature", "v").withColumn("pid", F.spark_partition_id()))
+    w_local = Window.partitionBy("feature", "pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    local = cnt.withColumn("l1", F.sum("c1").over(w_local)).withColumn("l2", F.sum("c2").over(w_local))
+    tot = cnt.groupBy("feature", "pid").agg(F.sum("c1").alias("t1"), F.sum("c2").alias("t2"))
+    w_all = Window.partitionBy("feature")
+    w_off = w_all.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(
         "feature",
-        "bk",
+        "pid",
         F.coalesce(F.sum("t1").over(w_off), F.lit(0)).alias("o1"),
         F.coalesce(F.sum("t2").over(w_off), F.lit(0)).alias("o2"),
+        F.sum("t1").over(w_all).alias("n1"),
+        F.sum("t2").over(w_all).alias("n2"),
     )
-    cnt = cnt.join(off, ["feature", "bk"])  # cnt is already partitioned by (feature, bk)
-    diff = F.abs((F.col("o1") + F.col("l1")) / F.col("n1") - (F.col("o2") + F.col("l2")) / F.col("n2"))
-    diff = F.when((F.col("n1") > 0) & (F.col("n2") > 0), diff)  # an empty side has no statistic
-    return cnt.groupBy("feature").agg(F.max(diff).alias("ks"))
+    cnt = local.join(off, ["feature", "pid"])
+    # an empty side has no statistic
+    share = lambda o, c, m: (F.col(o) + F.col(c)) / F.when(F.col(m) > 0, F.col(m))
+    return cnt.groupBy("feature").agg(F.max(F.abs(share("o1", "l1", "n1") - share("o2", "l2", "n2"))).alias("ks"))
 
 
 def ks_similarity(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -74,9 +74,10 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def external(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
-    """External lookup: 7 answers + target renamed later; row_id kept for keep-first."""
+    """External lookup: the answers of all rows as another source has them, 0 where a number is
+    missing (so such rows find no match); row_id kept for keep-first."""
     s = base if base is not None else survey(spark, sf_dir)
-    return s.filter(F.col("row_id") % 10 == 3).select("row_id", *FEATURES, TARGET)
+    return s.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in NUMERIC}).select("row_id", *FEATURES, TARGET)
 
 
 def score_columns(df: DataFrame, id_col: str = "row_id", stacks=STACKS, confident: bool = False) -> DataFrame:
@@ -124,9 +125,11 @@ SELECT row_id,
                  + row_id % 5 >= 18 THEN 'Introvert' ELSE 'Extrovert' END AS Personality
 FROM raw),
 ext AS (
-  SELECT row_id, Time_spent_Alone, Social_event_attendance, Going_outside, Friends_circle_size,
-         Post_frequency, Stage_fear, Drained_after_socializing, Personality
-  FROM survey WHERE row_id % 10 = 3)
+  SELECT row_id, coalesce(Time_spent_Alone, 0.0) AS Time_spent_Alone,
+         coalesce(Social_event_attendance, 0.0) AS Social_event_attendance, coalesce(Going_outside, 0.0) AS Going_outside,
+         coalesce(Friends_circle_size, 0.0) AS Friends_circle_size, coalesce(Post_frequency, 0.0) AS Post_frequency,
+         Stage_fear, Drained_after_socializing, Personality
+  FROM survey)
 """
 
 
