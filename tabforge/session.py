@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the workers, once a context, so tasks can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tabforge_shipped", False):
+        return
+    package = Path(__file__).parent
+    path = os.path.join(tempfile.mkdtemp(prefix="tabforge-"), "tabforge.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(f.relative_to(package.parent)))
+    sc.addPyFile(path)
+    sc._tabforge_shipped = True
+
+
 def materialize(df: DataFrame, enabled: bool = True) -> DataFrame:
     """Cut lineage: write the table once as parquet under the session's
     checkpoint folder (shared storage on a cluster) and read it back.
