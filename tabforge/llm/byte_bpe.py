@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.llm.batches import bounded
+
 #: Unicode white space, as the pre-token pattern's ``\\s`` means it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Chunks of text and pre-tokens kept encoded per worker, and the longest that is kept.
@@ -162,7 +164,7 @@ def encode_documents(
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     spec = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, spec)
+    out = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, spec)
     return out.withColumnRenamed("id", id_col)
 
 

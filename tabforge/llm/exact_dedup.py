@@ -199,5 +199,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = decided.groupBy(F.col("text_sha256").alias("__sha")).agg(F.max("keep_id").alias("__keep"))
     rows = docs.withColumn("__sha", text_digest(F.col(text_col))).join(shared.withColumn("__many", F.lit(True)), "__sha", "left")
     alone = rows.where("__many is null")
-    winners = rows.where(F.col("__many") & F.col(id_col).eqNullSafe(F.col("__keep"))).dropDuplicates(["__sha"])
+    winners = rows.where(F.col("__many") & F.col(id_col).eqNullSafe(F.col("__keep")))
+    # few rows; dealt anew, so that the join above may split a text with many copies
+    winners = winners.repartition("__keep").dropDuplicates(["__sha"])
     return alone.unionByName(winners).select(*docs.columns)

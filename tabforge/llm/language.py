@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.llm.batches import bounded
 from tabforge.session import materialize
 
 #: Labelled documents of each language that the filters are fitted on, about (chosen by hash).
@@ -121,7 +122,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Gram counts are summed by Spark; at most 1 / LEAST_SHARE grams of a language reach the driver.
     """
-    rows = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull()).select(
+    rows = bounded(docs).where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}

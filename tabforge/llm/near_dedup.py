@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.llm import words as W
+from tabforge.llm.batches import bounded
 from tabforge.llm.components import connected_components
 from tabforge.session import materialize
 
@@ -257,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is kept. An empty table gives an empty result. Two texts at the threshold share no band with a
     chance of about 5 in a million; all that share one are tested.
     """
-    rows = materialize(sketches(docs, id_col, text_col))
+    rows = materialize(sketches(bounded(docs), id_col, text_col))
     solid = rows.where("n > 0 and id is not null")
     # a node for each different set, and one of its documents
     nodes = materialize(solid.groupBy("same").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))

@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.llm.batches import bounded
 from tabforge.session import materialize
 
 SEQUENCE, END_ID = 4096, 1
 #: Pieces packed together by one task.
 GROUP = 50_000
 #: Words whose ids a worker keeps.
-CACHED = 600_000
+CACHED = 250_000
 #: Characters of texts whose new words are learned in one call.
 TOGETHER = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -141,7 +142,7 @@ def tokenized_pieces(
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, schema.types, strict=True)], schema=schema)
 
     spec = _PIECE + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, spec)
+    return bounded(docs).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, spec)
 
 
 def minimum_bin_slack(lengths: np.ndarray, capacity: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:

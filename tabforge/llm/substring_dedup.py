@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.llm import words as W
+from tabforge.llm.batches import bounded
 from tabforge.session import materialize
 
 WINDOW, ANCHOR = 50, 8
@@ -267,7 +268,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table gives an empty result. ``kept_text`` is NULL where nothing was removed. Windows
     meet by 64-bit hashes, and every removal is confirmed word by word.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    docs = bounded(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     scan = materialize(_scan(docs))
     long = scan.where(f"n >= {WINDOW} and doc is not null")
     units = materialize(long.groupBy("same").agg(F.min("doc").alias("least")).withColumn("unit", F.monotonically_increasing_id()))

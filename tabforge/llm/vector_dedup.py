@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.llm.batches import bounded
 from tabforge.llm.components import connected_components
 from tabforge.session import materialize
 
@@ -166,7 +167,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     links. A NULL id counts as a vector; its component is the smallest other id reachable, if
     any. An empty table gives an empty result.
     """
-    rows = vectors.select(
+    rows = bounded(vectors).select(
         F.col(id_col).cast("long").alias("id"),
         F.col(label_col).cast("string").alias("label"),
         F.col(vector_col).cast("array<double>").alias("vec"),

@@ -20,6 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.llm.batches import bounded
 from tabforge.session import ensure_checkpoint_dir, materialize
 
 #: Bytes of a chunk, and the least size of a payload that is stored once.
@@ -35,7 +36,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     Of equal payloads of at least LEAST_REVISIT bytes the largest page_id is the response (on every
     row that has it); the others, and rows with a NULL id, revisit it. Only NULL ids: all responses.
     """
-    rows = pages.select(
+    rows = bounded(pages).select(
         F.col(id_col).cast("long").alias("page_id"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
     )

@@ -8,7 +8,7 @@ import xxhash
 #: A-Z to a-z in UTF-8 bytes.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words whose hashes a worker keeps.
-CACHED, CACHED_LENGTH = 400_000, 64
+CACHED, CACHED_LENGTH = 100_000, 64
 
 
 class _Hashes(dict):
