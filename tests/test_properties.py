@@ -21,7 +21,7 @@ def brute_ks(a, b):
 def test_ks_matches_brute_force(spark, a, b):
     da = spark.createDataFrame([(float(x),) for x in a], "v double")
     db = spark.createDataFrame([(float(x),) for x in b], "v double")
-    got = ks_statistic(da, db, ["v"], buckets=3).first()["ks"]
+    got = ks_statistic(da, db, ["v"], partitions=3).first()["ks"]
     assert abs(got - brute_ks(a, b)) < 1e-12
 
 
