@@ -9,16 +9,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A document whose best language has less than this share of its n-grams is rejected.
-LEAST_LANGUAGE_SCORE = 0.25
+#: A document is rejected if its best language's share of its n-grams is less than this part of the low score of
+#: its language: the quantile LOW_SCORE of the scores of that language's labelled documents.
+LEAST_LANGUAGE_SCORE, LOW_SCORE = 0.25, 0.01
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID (3): documents without a language go. Learned from the stage's own input."""
+    """Language ID (3): documents without a language go. Learned from the stage's own input.
+
+    Without a language are texts without a letter, unlabelled texts without a known gram and those whose
+    score is far below what nearly all labelled documents of their language (the label, or else the predicted
+    one) reach. What a clean text scores depends on alphabet and corpus size, so the least score is a language's own.
+    """
+    from tabforge.functions.quantiles import exact_quantiles
     from tabforge.llm.language import UNKNOWN, learn, predict
+    from tabforge.session import materialize
 
-    judged = predict(docs, learn(docs), "doc_id", "text", tuple(docs.columns))
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    filters = learn(docs)
+    labelled = predict(docs.where("lang is not null"), filters, "doc_id", "text", ("lang",)).where(F.col("lang_pred") != UNKNOWN)
+    labelled = materialize(labelled.select("lang", "score"))
+    langs = [r["lang"] for r in labelled.select("lang").distinct().orderBy("lang").collect()]
+    low = exact_quantiles(labelled, [(F.when(F.col("lang") == x, F.col("score")), [LOW_SCORE]) for x in langs])
+    least = F.lit(0.0)
+    if langs:
+        of = F.create_map(*(F.lit(x) for lang, (q,) in zip(langs, low, strict=True) for x in (lang, LEAST_LANGUAGE_SCORE * q)))
+        least = F.coalesce(F.element_at(of, F.coalesce("lang", "lang_pred")), least)
+    judged = predict(docs, filters, "doc_id", "text", tuple(docs.columns))
+    named = (F.col("lang_pred") != UNKNOWN) & (F.col("lang").isNotNull() | (F.col("score") > 0))
+    return judged.where(named & (F.col("score") >= least)).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

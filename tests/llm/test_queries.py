@@ -1,6 +1,7 @@
 """Registered queries against DuckDB, and the pipeline against its stages' brute-force forms."""
 
 import collections
+import random
 
 import duckdb
 import pytest
@@ -8,7 +9,7 @@ import pytest
 import __spark_entry__
 import corpus_pipeline
 from tabforge.llm.oracle import queries_sql
-from tests.llm.data import near_groups
+from tests.llm.data import documents, near_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +63,15 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.collect() == []
+
+
+@pytest.mark.parametrize("n", [50, 600])
+def test_languages_of_many_signs_stay_at_any_size(spark, n):
+    rnd = random.Random(1)
+    signs, odds = [chr(0x4E00 + k) for k in range(3000)], [1 / (k + 1) for k in range(3000)]
+    zh = ["".join(rnd.choices(signs, odds, k=300)) for _ in range(n)] + ["".join(rnd.choices(signs, odds, k=4)) for _ in range(n // 10)]
+    en, none = ["the house and the sea " * 5] * 100, ["12 + 34", "", None]
+    docs = documents(spark, en + none).unionByName(documents(spark, zh, range(1000, 1000 + len(zh)), "zh"))
+    docs = docs.unionByName(documents(spark, ["жщфъ ыэюя"], [9999], None))  # of no learnt language
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()}
+    assert kept == {*range(100), *range(1000, 1000 + len(zh))}
