@@ -466,7 +466,7 @@ def q_oof_scores_noisy(spark, sf_dir):
     return oof.select("row_id", "label", "p")
 
 
-#: An explicit budget for the registered keys: fewer rounds, trees and layers than the full ranges.
+#: A small budget for unit tests: fewer rounds, trees and layers. The registered keys have none.
 QUICK = {"maxIter": 5, "numTrees": 5, "maxDepth": 4, "first": 8, "second": 6, "third": 4}
 ALL_STACKS = ("A", "B", "C", "D", "E", "F")
 
@@ -477,7 +477,7 @@ def _stack(name):
         from tabforge.models.stacking import build_stack, p1
 
         train, test = _model_tables(spark, sf_dir)
-        model = build_stack(stack_spec(name, budget=QUICK))().fit(train)
+        model = build_stack(stack_spec(name))().fit(train)
         return p1(model.transform(test.select("row_id", "features")), "p").select("row_id", "p")
 
     run.__name__ = f"q_stack_{name.lower()}"
@@ -515,14 +515,14 @@ def q_refit_predict(spark, sf_dir):
     from tabforge.plans.train import refit_predict
 
     train, test = _model_tables(spark, sf_dir)
-    return refit_predict(train, test, ALL_STACKS, dict.fromkeys(ALL_STACKS, 1.0), CLASSES, budget=QUICK)
+    return refit_predict(train, test, ALL_STACKS, dict.fromkeys(ALL_STACKS, 1.0), CLASSES)
 
 
 def q_self_train(spark, sf_dir):
     from tabforge.plans.train import self_train
 
     train, test = _model_tables(spark, sf_dir)
-    return self_train(train, test, ALL_STACKS, dict.fromkeys(ALL_STACKS, 1.0), CLASSES, budget=QUICK)
+    return self_train(train, test, ALL_STACKS, dict.fromkeys(ALL_STACKS, 1.0), CLASSES)
 
 
 def q_domain_weights(spark, sf_dir):

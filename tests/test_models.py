@@ -69,3 +69,29 @@ def test_end_to_end(tables):
     train, test = tables
     out = end_to_end(train, test, ["C"], q.CLASSES, trials=5, k=2, inner_k=2, budget=TINY)
     assert out.count() == test.count() and {r[0] for r in out.select("Personality").distinct().collect()} <= set(q.CLASSES)
+
+
+@pytest.mark.parametrize("key", [*(f"stack_{s}" for s in "abcdef"), "refit_predict", "self_train"])
+def test_registered_keys_fit_whole_stacks(monkeypatch, key):
+    """Every stack that a key builds has its own default parameters, none capped."""
+    built = []
+
+    class Whole(Exception):
+        pass
+
+    def build(spec, k=5):
+        built.append((spec.name, spec.params == default_params(spec.name), k))
+        if spec.name == (key[-1].upper() if key.startswith("stack") else "F"):
+            raise Whole
+        return lambda: type("Fit", (), {"fit": lambda self, df: type("Model", (), {"transform": lambda self, df: df})()})()
+
+    class Rows:
+        select = transform = lambda self, *a: self
+
+    monkeypatch.setattr("tabforge.models.stacking.build_stack", build)
+    monkeypatch.setattr("tabforge.plans.train.build_stack", build)
+    monkeypatch.setattr("tabforge.plans.train.p1", lambda df, out: df)
+    monkeypatch.setattr(q, "_model_tables", lambda spark, sf: (Rows(), Rows()))
+    with pytest.raises(Whole):
+        getattr(q, f"q_{key}")(None, SF)
+    assert built == [(s, True, 5) for s in ([key[-1].upper()] if key.startswith("stack") else "ABCDEF")]
