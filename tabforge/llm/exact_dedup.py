@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tabforge.session import materialize
 
-#: Distinct digests of a shard (about 6 MB of index).
+#: Distinct digests of a shard (about 6 MB of index), and new ones asked of it, about.
 SHARD_KEYS = 100_000
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
 
@@ -137,7 +137,8 @@ def _decide(rows: DataFrame) -> DataFrame:
     """id, digest, old -> the contract's columns for every row, the historical ones included."""
     rows = materialize(rows)
     history, fresh = materialize(_groups(rows.where("old"))), materialize(_groups(rows.where("not old")))
-    shards = max(1, -(-history.count() // SHARD_KEYS))
+    # either side may be far larger than the other: a task holds an index row and what is asked of it
+    shards = max(1, -(-max(history.count(), fresh.count()) // SHARD_KEYS))
     index = materialize(build_index(history, shards))
     joined = materialize(fresh.join(look_up(fresh, index, shards), "digest"))
     # members update the historical group they repeat; nonmembers are groups of their own

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from tabforge.llm import exact_dedup
 from tabforge.llm.exact_dedup import PerfectHash, dedup_arrivals, dedup_exact, drop_copies
 from tabforge.llm.substring_dedup import SuffixAutomaton, remove_repeats
 from tests.llm.data import documents, prose, repeats, rows
@@ -113,3 +114,16 @@ def test_history_is_looked_up(spark):
     history, new = documents(spark, ["a", "a", "h"], [1, 50, 2]), documents(spark, ["a", "n", "n", "h"], [10, 11, 12, 13])
     got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in dedup_exact(new, history).collect()}
     assert got == {10: (50, 3, False), 11: (12, 2, False), 12: (12, 2, True), 13: (13, 2, True)}
+
+
+@pytest.mark.parametrize("n_old", [0, 3])
+def test_many_new_texts_meet_a_small_history_in_many_shards(spark, monkeypatch, n_old):
+    asked = []
+    look_up = exact_dedup.look_up
+    monkeypatch.setattr(exact_dedup, "SHARD_KEYS", 10)
+    monkeypatch.setattr(exact_dedup, "look_up", lambda new, index, shards: asked.append(shards) or look_up(new, index, shards))
+    texts = [f"t{k % 100}" for k in range(150)]
+    got = dedup_exact(documents(spark, texts, range(1000, 1150)), documents(spark, texts[:n_old], range(n_old)))
+    want = _exact(list(zip([*range(1000, 1150), *range(n_old)], texts + texts[:n_old], strict=True)))
+    assert rows(got) == sorted((x for x in want if x[0] >= 1000), key=repr)
+    assert asked == [10]
