@@ -1,8 +1,8 @@
 """Substring dedup by suffix automata of reference shards.
 
 Reference passages are the windows that occur in several documents, as the document with the
-smallest id has them; shards of them, of bounded size, go as they are to every task that
-streams documents against them, and each task builds the shard's suffix automaton, whose
+smallest id has them; shards of them, dealt by owner and stretch of its words so that a long
+owner is split, go as they are to every task that streams documents against them, and each task builds the shard's suffix automaton, whose
 states know the smallest document they occur in. Streaming a document gives its matching
 statistics; where the match reaches the window length and an earlier document has it, the
 words are removed, and overlapping windows become maximal spans.
@@ -32,6 +32,8 @@ from tabforge.session import materialize
 WINDOW, ANCHOR = 50, 8
 #: Windows of a reference shard, and words streamed against it by one task, about.
 SHARD_WINDOWS, SLICE_WORDS = 100_000, 400_000
+#: An owner's windows go to shards by stretches; so many make up a shard's windows.
+STRETCHES = 10
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -280,11 +282,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = _compressed(docs)
     passages = materialize(_passages(texts.join(marks, "doc").withColumn("least", F.col("doc"))).dropDuplicates(["unit", "start"]))
     windows = _windows(passages)
-    owners = windows.groupBy("hash").agg(F.min("least").alias("owner"), F.max("least").alias("last")).where("owner < last")
-    owners = materialize(owners.select("hash", "owner"))
+    windows = windows.withColumn("place", F.col("start") + F.col("at"))
+    first = F.min(F.struct("least", "place")).alias("first")
+    owners = windows.groupBy("hash").agg(first, F.max("least").alias("last")).where("first.least < last")
+    owners = materialize(owners.select("hash", F.col("first.least").alias("owner"), F.col("first.place").alias("owned")))
     shards = max(1, -(-owners.count() // SHARD_WINDOWS))
-    wanted = F.struct("at", F.pmod(F.xxhash64("owner"), F.lit(shards)).alias("shard"), (F.col("owner") == F.col("least")).alias("reference"))
-    wanted = windows.join(owners, "hash").groupBy("unit", "start").agg(F.collect_list(wanted).alias("wanted"))
+    # a long owner is split; equal windows have one owner and place, so they meet all the same
+    stretch = F.floor(F.col("owned") / max(1, SHARD_WINDOWS // STRETCHES))
+    wanted = F.struct("at", F.pmod(F.xxhash64("owner", stretch), F.lit(shards)).alias("shard"), (F.col("owner") == F.col("least")).alias("reference"))
+    # where the owner repeats itself, its first place is enough
+    windows = windows.join(owners, "hash").where("owner < least or owned = place")
+    wanted = windows.groupBy("unit", "start").agg(F.collect_list(wanted).alias("wanted"))
     routed = materialize(_routed(passages.join(wanted, ["unit", "start"])))
     slices = routed.where("not reference").groupBy("shard").agg(F.ceil(F.sum("n") / SLICE_WORDS).cast("int").alias("slices"))
     queries = routed.where("not reference").join(slices, "shard")

@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tabforge.llm import exact_dedup
+from tabforge.llm import exact_dedup, substring_dedup
 from tabforge.llm.exact_dedup import PerfectHash, dedup_arrivals, dedup_exact, drop_copies
 from tabforge.llm.substring_dedup import SuffixAutomaton, remove_repeats
 from tests.llm.data import documents, prose, repeats, rows
@@ -127,3 +128,15 @@ def test_many_new_texts_meet_a_small_history_in_many_shards(spark, monkeypatch,
     want = _exact(list(zip([*range(1000, 1150), *range(n_old)], texts + texts[:n_old], strict=True)))
     assert rows(got) == sorted((x for x in want if x[0] >= 1000), key=repr)
     assert asked == [10]
+
+
+def test_a_long_owner_is_dealt_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_WINDOWS", 100)
+    parts, routed = [], substring_dedup._routed
+    monkeypatch.setattr(substring_dedup, "_routed", lambda passages: parts.append(routed(passages)) or parts[0])
+    long = prose(7, 3000, words=3000) + ["la"] * 2000  # one window over and over
+    texts = [" ".join(long), " ".join([*long[:1500], "other", *long[1500:]])]
+    got = rows(remove_repeats(documents(spark, texts)))
+    assert got == sorted(repeats(list(enumerate(texts))), key=repr)
+    words = {r["shard"]: r["n"] for r in parts[0].where("reference").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    assert len(words) > 10 and max(words.values()) < len(long) / 2
