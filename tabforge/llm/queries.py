@@ -72,3 +72,17 @@ def q_op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabforge.llm.url_rules import filter_urls
 
     return filter_urls(_read(spark, sf_dir, "pages"))
+
+
+def q_op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabforge.llm.periodic_runs import collapse_runs, planted
+
+    return collapse_runs(_read(spark, sf_dir, "documents"), rewrite=planted)
+
+
+def q_op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tabforge.llm.piece_bpe import encode_documents
+
+    return encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
