@@ -80,6 +80,12 @@ def q_op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_runs(_read(spark, sf_dir, "documents"), rewrite=planted)
 
 
+def q_op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabforge.llm.prefix_trie import conversation_trie, families
+
+    return conversation_trie(_read(spark, sf_dir, "conversations"), families)
+
+
 def q_op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
