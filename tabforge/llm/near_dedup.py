@@ -16,12 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.functions.topk import ranked
 from tabforge.llm import words as W
 from tabforge.llm.batches import bounded
 from tabforge.llm.components import connected_components
@@ -29,8 +29,8 @@ from tabforge.session import materialize
 
 SHINGLE, THRESHOLD = 5, 75
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
-#: Members of a bucket that are compared with each other in one task.
-BLOCK = 512
+#: Members of a bucket that travel together (a power of two), and the bytes of their full sets.
+BLOCK, BLOCK_BYTES = 512, 1 << 22
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 SIGMAS = 5.2
 
@@ -166,49 +166,85 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("node", F.explode(keys).alias("key"))
 
 
-def _across(rows: pd.DataFrame, with_sets: bool) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Pairs of different components in a block pair (side 0 with side 1, or side 2 within) that
-    the estimate allows and whose first common band is the bucket's. Returns which rows have one,
-    and with sets the links found between components."""
-    regs = np.frombuffer(b"".join(rows["regs"]), np.uint16).reshape(-1, REGISTERS)
-    bands = np.ascontiguousarray(regs).view(np.uint64).reshape(len(rows), -1)
-    comp, n, side = rows["comp"].to_numpy(), rows["n"].to_numpy(), rows["side"].to_numpy()
-    key = rows["key"].iloc[0]
-    own = [k for k in range(bands.shape[1]) if _band_key(k, regs[0]) == key][0]
-    tried = np.zeros(len(rows), bool)
-    root: dict[int, int] = {}
-    links: list[tuple[int, int]] = []
+class _Members:
+    """Members of a packed block: a list of structs (node, comp, n, regs and, at last, hashes)."""
+
+    def __init__(self, column: pa.Array):
+        self.offsets = column.offsets.to_numpy()
+        held = column.values
+        self.node, self.comp, self.n = (held.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n"))
+        self.regs = np.frombuffer(b"".join(held.field("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        self.hashes = held.field("hashes") if held.type.get_field_index("hashes") >= 0 else None
+
+    def at(self, k: int) -> slice:
+        return slice(self.offsets[k], self.offsets[k + 1])
 
-    def find(x: int) -> int:
-        while root.get(x, x) != x:
-            x = root[x]
-        return x
 
+def _candidates(key: int, regs: np.ndarray, comp: np.ndarray, n: np.ndarray, first: int | None) -> tuple[np.ndarray, ...]:
+    """(similarity, i, j) of the pairs of different components that the estimate allows and whose first
+    common band is the bucket's: all pairs, or those of the ``first`` members with the others."""
+    bands = np.ascontiguousarray(regs).view(np.uint64).reshape(len(regs), -1)
+    own = [k for k in range(bands.shape[1]) if _band_key(k, regs[0]) == key][0]
     found = []
-    for i in np.flatnonzero((side == 0) | (side == 2)).tolist():
-        js = np.flatnonzero((side == 1) if side[i] == 0 else (np.arange(len(rows)) > i))
-        js = js[comp[js] != comp[i]]
-        if not len(js):
-            continue
+    for i in range(len(regs) if first is None else first):
+        start = i + 1 if first is None else first
+        js = start + np.flatnonzero(comp[start:] != comp[i])
         similar = estimate((regs[js] == regs[i]).mean(axis=1))
-        js, similar = (x[similar >= least_estimate(np.minimum(n[js], n[i]))] for x in (js, similar))
-        if own and len(js):
-            first = ~(bands[js, :own] == bands[i, :own]).any(axis=1)
-            js, similar = js[first], similar[first]
-        tried[i] |= bool(len(js))
-        tried[js] = True
-        if with_sets and len(js):
-            found.append((similar, np.full(len(js), i), js))
-    if found:
-        similar, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
-        hashes = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
-        for k in np.argsort(-similar, kind="stable").tolist():
-            i, j = int(left[k]), int(right[k])
-            a, b = find(int(comp[i])), find(int(comp[j]))
-            if a != b and linked(hashes[i], hashes[j]):
-                root[max(a, b)] = min(a, b)
-                links.append((a, b))
-    return tried, links
+        possible = similar >= least_estimate(np.minimum(n[js], n[i]))
+        if own:
+            possible &= ~(bands[js, :own] == bands[i, :own]).any(axis=1)
+        if possible.any():
+            js = js[possible]
+            found.append((similar[possible], np.full(len(js), i), js))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0), *[np.zeros(0, np.int64)] * 2)
+
+
+def _tested(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """For every pair of blocks in ``batch`` (or block alone): its row, members put together, and candidates."""
+    a, b = _Members(batch.column("a")), _Members(batch.column("b"))
+    for k, key in enumerate(batch.column("key").to_pylist()):
+        one, two = a.at(k), b.at(k)
+        parts = [np.concatenate((getattr(a, c)[one], getattr(b, c)[two])) for c in ("node", "comp", "n", "regs")]
+        node, comp, n, regs = parts
+        alone = two.start == two.stop
+        yield k, one, two, a, b, node, comp, _candidates(key, regs, comp, n, None if alone else one.stop - one.start)
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, block, nodes) of the members that are in a candidate pair."""
+    for batch in batches:
+        keys, i, j = (batch.column(c).to_pylist() for c in ("key", "i", "j"))
+        rows = []
+        for k, one, _, _, _, node, _, (_, left, right) in _tested(batch):
+            size = one.stop - one.start
+            used = np.unique(np.concatenate((left, right)))
+            rows += [(keys[k], block, node[some].tolist()) for block, some in ((i[k], used[used < size]), (j[k], used[used >= size])) if len(some)]
+        columns = list(zip(*rows, strict=True)) or [[]] * 3
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "block", "nodes"])
+
+
+def _links_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): links found between components by full sets, as many as join them."""
+    for batch in batches:
+        links: list[tuple[int, int]] = []
+        for _, one, two, a, b, _, comp, (similar, left, right) in _tested(batch):
+            hashes = [np.frombuffer(h.as_py(), np.uint64) for m, part in ((a, one), (b, two)) for h in m.hashes[part.start : part.stop]]
+            root: dict[int, int] = {}
+
+            def find(x: int, root: dict[int, int] = root) -> int:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            for p in np.argsort(-similar, kind="stable").tolist():
+                i, j = int(left[p]), int(right[p])
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x != y and linked(hashes[i], hashes[j]):
+                    root[max(x, y)] = min(x, y)
+                    links.append((x, y))
+        columns = list(zip(*links, strict=True)) or [[]] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
 
 def _band_key(band: int, regs: np.ndarray) -> int:
@@ -219,34 +255,41 @@ def _band_key(band: int, regs: np.ndarray) -> int:
 
 
 def _second_look(bands: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Links (a, b) between components that share a bucket; every pair that could link is tested."""
+    """Links (a, b) between components that share a bucket; every pair that could link is tested.
+
+    A bucket's members, in order of size class (sets of more than twice the size can't link) and
+    component, are cut into blocks of bounded bytes. A block travels as one row, and pairs of blocks
+    meet, not pairs of members: those of neighbouring classes that aren't of one and the same component.
+    """
     member = bands.join(comps, bands["node"] == comps["member"], "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     mixed = member.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     # two members were held against each other already
-    mixed = mixed.where("m > 2 and lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    member = member.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # block pair (i, j), i <= j: a member of block b goes to (b, *) and (*, b)
-    others = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(
-            F.least("block", o).alias("i"),
-            F.greatest("block", o).alias("j"),
-            F.when(F.col("block") == o, 2).when(F.col("block") < o, 0).otherwise(1).alias("side"),
-        ),
-    )
-    member = materialize(member.select("key", "node", "comp", F.inline(others)))
-    light = member.join(sets.select("node", "n", "regs"), "node")
-
-    def involved(rows: pd.DataFrame) -> pd.DataFrame:
-        tried, _ = _across(rows, False)
-        return rows.loc[tried, ["key", "node", "comp", "i", "j", "side"]]
-
-    def test(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_across(rows, True)[1], columns=["a", "b"]).astype("int64")
-
-    few = light.groupBy("key", "i", "j").applyInPandas(involved, "key long, node long, comp long, i int, j int, side int")
-    heavy = materialize(few).join(sets, "node")
-    return heavy.groupBy("key", "i", "j").applyInPandas(test, "a long, b long").distinct()
+    member = member.join(mixed.where("m > 2 and lo <> hi").select("key"), "key").join(sets.select("node", "n"), "node")
+    member = member.select("key", "node", "comp", F.floor(F.log2("n")).cast("int").alias("class"))
+    member = ranked(member, [F.col(c) for c in ("key", "class", "comp", "node")])
+    # at most BLOCK members and, as sets of a class have under 16 << class bytes, BLOCK_BYTES or one set
+    shift = F.least(F.lit(BLOCK.bit_length() - 1), F.greatest(F.lit(0), F.lit(BLOCK_BYTES.bit_length() - 5) - F.col("class")))
+    block = F.call_function("shiftright", "rank", shift).bitwiseOR(F.call_function("shiftleft", F.col("class").cast("long"), F.lit(56)))
+    member = materialize(member.select("key", "node", "comp", "class", block.alias("block")))
+    blocks = member.groupBy("key", "class", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    side = lambda s: blocks.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("class", "block", "lo", "hi")))
+    pairs = side("i").join(side("j"), "key").where("i_block <= j_block and j_class - i_class <= 1 and (i_lo <> i_hi or j_lo <> j_hi or i_lo <> j_lo)")
+    pairs = materialize(pairs.select("key", F.col("i_block").alias("i"), F.col("j_block").alias("j")))
+
+    def packed(members: DataFrame, columns: list[str]) -> DataFrame:
+        """(key, i, j, a, b): the members of both blocks; b is empty where a block meets itself."""
+        rows = members.join(sets.select("node", *columns), "node")
+        rows = materialize(rows.groupBy("key", "block").agg(F.collect_list(F.struct("node", "comp", *columns)).alias("members")))
+        of = lambda s, m: rows.select("key", F.col("block").alias(s), F.col("members").alias(m))
+        alone = pairs.where("i = j").join(of("i", "a"), ["key", "i"]).select("key", "i", "j", "a", F.slice("a", 1, 0).alias("b"))
+        two = pairs.where("i < j").join(of("i", "a"), ["key", "i"]).join(of("j", "b"), ["key", "j"]).select("key", "i", "j", "a", "b")
+        return alone.unionByName(two)
+
+    used = packed(member, ["n", "regs"]).mapInArrow(_involved, "key long, block long, nodes array<long>")
+    used = used.groupBy("key", "block").agg(F.array_distinct(F.flatten(F.collect_list("nodes"))).alias("nodes"))
+    used = used.select("key", "block", F.explode("nodes").alias("node"))
+    used = materialize(used.join(member.select("key", "block", "node", "comp"), ["key", "block", "node"]))
+    return packed(used, ["n", "regs", "hashes"]).mapInArrow(_links_across, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -43,6 +43,40 @@ def test_a_large_group_of_chains(spark, monkeypatch, block):
     _check(spark, texts)
 
 
+@pytest.fixture
+def rows_of_joins(monkeypatch):
+    """Most rows that any table made of the second look holds."""
+    made = []
+    real = near_dedup.materialize
+
+    def count(df, *a):
+        out = real(df, *a)
+        made.append((out.count(), out.columns))
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", count)
+    return made
+
+
+def test_a_mixed_bucket_costs_in_proportion_to_its_members(spark, monkeypatch, rows_of_joins):
+    """Twice the members of the same buckets, most of them unlinked: about twice the rows, not four times."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    base, most = prose(11, 250), []
+    for m in (100, 200):
+        rows_of_joins.clear()
+        texts = [" ".join(edited(base, 0.05, k)) for k in range(m)]
+        _check(spark, texts)
+        most.append(max(n for n, _ in rows_of_joins))
+    assert most[1] <= 2.6 * most[0]
+
+
+def test_sets_of_many_sizes_in_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 1 << 12)  # long texts travel alone
+    base = prose(12, 1500)
+    texts = [" ".join(edited(base[:n], 0.02, n + k)) for n in (700, 800, 900, 1000, 1100, 1250, 1400, 1500) for k in range(6)]
+    _check(spark, texts)
+
+
 def test_repeated_and_missing_ids(spark):
     a, b = " ".join(prose(1, 60)), " ".join(prose(2, 60))
     docs = documents(spark, [a, a, b, b, a, None], [4, 4, 4, 2, None, None])
