@@ -81,3 +81,11 @@ class Known:
             self.rows = np.concatenate((self.rows, rows))
         at = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
         return self.starts[at], self.counts[at]
+
+
+def joined(values: pa.Array, ids: np.ndarray) -> Callable[[int, int], memoryview]:
+    """The values of the ids from a to b, put together, for any a and b."""
+    taken = values.take(pa.array(ids))
+    offsets = np.frombuffer(taken.buffers()[1], np.int32)
+    data = memoryview(taken.buffers()[2] or b"")
+    return lambda a, b: data[offsets[a] : offsets[b]]

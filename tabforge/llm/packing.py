@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.llm.batches import bounded
+from tabforge.llm.chunks import Known, Texts, different, ranges, together
 from tabforge.session import materialize
 
 SEQUENCE, END_ID = 4096, 1
@@ -29,10 +30,7 @@ SEQUENCE, END_ID = 4096, 1
 GROUP = 50_000
 #: Words whose ids a worker keeps.
 CACHED = 250_000
-#: Characters of texts whose new words are learned in one call.
-TOGETHER = 1_000_000
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_PUNCTUATION = b".,!?;:*$%&#"
+_PUNCTUATION = np.isin(np.arange(256), np.frombuffer(b".,!?;:*$%&#", np.uint8))
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -42,11 +40,10 @@ def _letters(word: str) -> bool:
 
 
 class WordIds:
-    """Ids as bytes (little-endian unsigned 32 bits) by words, as no token spans white space.
+    """Token ids by parts of words: no token spans white space, or a letter and what isn't one after it.
 
-    A-Z are lower-cased first, as the tokenizer does. Letters are one pre-token and punctuation
-    after them is another, and each ends with its only token that ends words: many new words of
-    these two shapes are encoded in one call and cut apart at such tokens.
+    A-Z are lower-cased first, as the tokenizer does after composing characters. A word of letters ends with its only token that
+    ends words: many new words are encoded in one call and cut apart at such tokens.
     """
 
     def __init__(self, tokenizer: str):
@@ -56,47 +53,62 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
-        self.cache: dict[bytes, bytes] = {}
+        self.known = Known(self._parts, CACHED)
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Letters, and punctuation after letters, are learned as they are and put together."""
-        cache, tails, others, plain = self.cache, [], [], set()
-        for w in words:
-            core = w.rstrip(_PUNCTUATION)
-            if not _letters(core.decode()):
-                others.append(w)
-                continue
-            if core not in cache:
-                plain.add(core)
-            if len(core) < len(w):
-                tails.append((w, core, w[len(core) :]))
-        letters = list(plain)
-        ids = self._encode(b" ".join(letters).decode())
-        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(cuts) == len(letters):
-            data = ids.tobytes()
-            cache.update(zip(letters, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
-        else:
-            others += letters
-        for w in {*others, *(tail for *_, tail in tails if tail not in cache)}:
-            cache[w] = self._encode(w.decode()).tobytes()
-        for w, core, tail in tails:
-            cache[w] = cache[core] + cache[tail]
-
-    def documents(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; all new words of the texts are learned at once."""
-        special = ["<|" in t for t in texts]  # may hold special tokens
-        words = [[] if x else t.encode().translate(_LOWER).split() for t, x in zip(texts, special, strict=True)]
-        new = set().union(*words).difference(self.cache)
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-            new = set().union(*words)
-        self._learn(new)
-        ids_of = self.cache.__getitem__
-        return [self._encode(t).tobytes() if x else b"".join(map(ids_of, w)) for t, w, x in zip(texts, words, special, strict=True)]
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each part, and all ids. Words of letters are encoded put together."""
+        plain = [w.isalpha() or _letters(w.decode()) for w in parts]
+        together = [w for w, x in zip(parts, plain, strict=True) if x]
+        ids = self._encode(b" ".join(together).decode())
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(together):
+            plain, ids, ends = [False] * len(parts), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        counts, at = np.zeros(len(parts), np.int64), np.array(plain, bool)
+        counts[at] = np.diff(ends, prepend=0)
+        other = [self._encode(w.decode()) for w, x in zip(parts, plain, strict=True) if not x]
+        counts[~at] = [len(x) for x in other]
+        starts, out = np.cumsum(counts) - counts, np.zeros((int(counts.sum()), 1), np.int32)
+        out[ranges(starts[at], counts[at]), 0] = ids
+        out[ranges(starts[~at], counts[~at]), 0] = np.concatenate([np.zeros(0, "<u4"), *other])
+        return counts, out
+
+    def documents(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by END_ID, and the number of each text's."""
+        data, begins = texts.data, texts.offsets[:-1]
+        # not before a character that may combine with the letter
+        alone = np.append(data[1:] < 0x80, True)[: len(data)]
+        lower = np.where((data >= 0x41) & (data <= 0x5A) & alone, data + 0x20, data).astype(np.uint8)
+        inside = ~((data == 0x20) | ((data >= 0x09) & (data <= 0x0D)))
+        # texts that may hold special tokens are encoded whole
+        marks = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        whole = {int(k): self._encode(texts.bytes(k).decode()) for k in np.unique(np.searchsorted(begins, marks, side="right") - 1)}
+        for k in whole:
+            inside[begins[k] : texts.offsets[k + 1]] = False
+        first = inside.copy()
+        letter = (lower >= 0x61) & (lower <= 0x7A)
+        # a letter and ASCII punctuation after it are never in one token
+        first[1:] &= ~inside[:-1] | (letter[:-1] & _PUNCTUATION[lower[1:]])
+        first[begins[begins < len(data)]] = inside[begins[begins < len(data)]]
+        at = np.flatnonzero(first)
+        counts = np.ones(len(texts), np.int64)
+        for k, ids in whole.items():
+            counts[k] += len(ids)
+        taken = np.zeros(0, np.int32)
+        if len(at):
+            number, parts = different(lower[inside], (np.cumsum(inside) - 1)[at])
+            start, count = (x[number] for x in self.known.look_up(parts))
+            taken = self.known.rows[ranges(start, count), 0]
+            counts += np.bincount(np.searchsorted(begins, at, side="right") - 1, weights=count, minlength=len(texts)).astype(np.int64)
+        out, ends = np.full(int(counts.sum()), END_ID, "<u4"), np.cumsum(counts)
+        body = counts - 1
+        for k, ids in whole.items():
+            out[ends[k] - counts[k] : ends[k] - 1] = ids
+            body[k] = 0
+        out[ranges(ends - counts, body)] = taken
+        return out, counts
 
 
 @lru_cache(maxsize=1)
@@ -104,41 +116,28 @@ def _word_ids(tokenizer: str) -> WordIds:
     return WordIds(tokenizer)
 
 
-def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of some documents at a time, about TOGETHER characters."""
-    for batch in batches:
-        docs, texts, held = [], [], 0
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            docs.append(doc)
-            texts.append(text.as_py() or "")
-            held += len(texts[-1])
-            if held >= TOGETHER:
-                yield docs, texts
-                docs, texts, held = [], [], 0
-        yield docs, texts
-
-
 def tokenized_pieces(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
     """Every document's ids and END_ID, cut into pieces: doc_id, piece, start, length, ids_crc32 (and ids, as bytes)."""
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = docs.sparkSession.sparkContext.broadcast(f.read())
-    end = np.array([END_ID], dtype="<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     schema = pa.schema(list(zip(names, kinds, strict=False)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _word_ids(tokenizer.value).documents
-        for docs, texts in _few(batches):
-            rows = []
-            for doc, ids in zip(docs, encode(texts), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * SEQUENCE)):
-                    part = ids[at : at + 4 * SEQUENCE]
-                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        words = _word_ids(tokenizer.value)
+        for docs, texts in together(batches):
+            ids, counts = words.documents(texts)
+            pieces = -(-counts // SEQUENCE)
+            of = np.repeat(np.arange(len(docs)), pieces)
+            piece = ranges(np.zeros(len(docs), np.int64), pieces)
+            lengths = np.minimum(SEQUENCE, counts[of] - piece * SEQUENCE)
+            ends = np.cumsum(lengths)
+            parts = [memoryview(ids[a:b]).cast("B") for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+            columns = [pa.array(docs, pa.int64()).take(pa.array(of)), piece, piece * SEQUENCE, lengths, [zlib.crc32(x) for x in parts]]
+            columns += [[bytes(x) for x in parts]] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, schema.types, strict=True)], schema=schema)
 
     spec = _PIECE + ", ids binary" * with_ids

@@ -17,7 +17,7 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.llm.batches import bounded
-from tabforge.llm.chunks import Known, Texts, different, ranges, together
+from tabforge.llm.chunks import Known, Texts, different, joined, ranges, together
 
 SPACE = "▁"
 #: Chunks a worker keeps encoded, and the symbols up to which a chunk's next merge is found by a scan.
@@ -247,13 +247,6 @@ class Pieces:
         """Bytes of white space that decoding takes from the start of a text of these ids (none of them a byte)."""
         return int(len(ids) > 0 and (self.prefix or self.trim) and self.pieces[ids[0]][0].startswith(SPACE))
 
-    def joined(self, values: pa.Array, ids: np.ndarray) -> Callable[[int, int], memoryview]:
-        """The values of the ids from a to b, put together, for any a and b."""
-        taken = values.take(pa.array(ids))
-        offsets = np.frombuffer(taken.buffers()[1], np.int32)
-        data = memoryview(taken.buffers()[2] or b"")
-        return lambda a, b: data[offsets[a] : offsets[b]]
-
     def document(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Like ``encode``; by chunks where that is the same."""
         column = pa.array([text])
@@ -431,7 +424,7 @@ def encode_documents(
         for docs, texts in together(batches):
             ids, spans, counts = pieces.documents(texts)
             ends = np.cumsum(counts).tolist()
-            decimal, surface = pieces.joined(pieces.decimals, ids), pieces.joined(pieces.surfaces, ids)
+            decimal, surface = joined(pieces.decimals, ids), joined(pieces.surfaces, ids)
             rows = []
             for doc, a, b in zip(docs, [0, *ends], ends, strict=False):
                 decoded = pieces.surface(ids[a:b].tolist()) if pieces.is_byte[ids[a:b]].any() else surface(a, b)[pieces.mark(ids[a:b]) :]
