@@ -159,7 +159,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predict(docs: DataFrame, filters: LanguageFilters, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``__id``, lang_pred and score for every row, with the columns ``keep`` before them."""
+    """``__id``, ``__lang_pred`` and ``__score`` for every row, with the columns ``keep`` before them."""
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +167,10 @@ def predict(docs: DataFrame, filters: LanguageFilters, id_col: str, text_col: st
         for batch in batches:
             langs, scores = zip(*(model.decide(t.as_py()) for t in batch.column(batch.num_columns - 1)), strict=True) if batch.num_rows else ((), ())
             columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "__lang_pred", "__score"])
 
     rows = docs.select(*keep, F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    schema = rows.drop("__text").schema.add("__lang_pred", "string").add("__score", "double")
     return rows.mapInArrow(decide, schema)
 
 
@@ -183,4 +183,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     with score 0; ties go to the first language in alphabetical order. Repeated rows stay repeated.
     """
     out = predict(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col)
-    return out.select(F.col("__id").alias(id_col), held_out(F.col("__id")).alias("held_out"), "lang_pred", "score")
+    return out.select(F.col("__id").alias(id_col), held_out(F.col("__id")).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
