@@ -26,17 +26,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from tabforge.session import materialize
 
     filters = learn(docs)
-    labelled = predict(docs.where("lang is not null"), filters, "doc_id", "text", ("lang",)).where(F.col("lang_pred") != UNKNOWN)
-    labelled = materialize(labelled.select("lang", "score"))
+    labelled = predict(docs.where("lang is not null"), filters, "doc_id", "text", ("lang",)).where(F.col("__lang_pred") != UNKNOWN)
+    labelled = materialize(labelled.select("lang", F.col("__score").alias("score")))
     langs = [r["lang"] for r in labelled.select("lang").distinct().orderBy("lang").collect()]
     low = exact_quantiles(labelled, [(F.when(F.col("lang") == x, F.col("score")), [LOW_SCORE]) for x in langs])
     least = F.lit(0.0)
     if langs:
         of = F.create_map(*(F.lit(x) for lang, (q,) in zip(langs, low, strict=True) for x in (lang, LEAST_LANGUAGE_SCORE * q)))
-        least = F.coalesce(F.element_at(of, F.coalesce("lang", "lang_pred")), least)
+        least = F.coalesce(F.element_at(of, F.coalesce("lang", "__lang_pred")), least)
     judged = predict(docs, filters, "doc_id", "text", tuple(docs.columns))
-    named = (F.col("lang_pred") != UNKNOWN) & (F.col("lang").isNotNull() | (F.col("score") > 0))
-    return judged.where(named & (F.col("score") >= least)).select(*docs.columns)
+    named = (F.col("__lang_pred") != UNKNOWN) & (F.col("lang").isNotNull() | (F.col("__score") > 0))
+    return judged.where(named & (F.col("__score") >= least)).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
