@@ -63,8 +63,9 @@ FROM d LEFT JOIN t ON d.doc_id = t.doc_id
 OP5 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-f AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0
-        AND len(list_filter(x, lambda e : e IS NULL OR NOT isfinite(e))) = 0 AND list_dot_product(x, x) > 0),
+w AS (SELECT *, list_max(list_transform(x, lambda e : abs(e))) AS m FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0
+        AND len(list_filter(x, lambda e : e IS NULL OR NOT isfinite(e))) = 0),
+f AS (SELECT vec_id, label, CASE WHEN m BETWEEN 1e-100 AND 1e100 THEN x ELSE list_transform(x, lambda e : e / m) END AS x FROM w WHERE m > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
       WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.93),
 reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
@@ -96,12 +97,13 @@ extra AS (SELECT * FROM spans o WHERE kind = 'owned' AND regexp_matches(value, '
           AND len(list_distinct(string_split(value, ''))) >= 10
           AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.start < o.stop AND o.start < b.stop)),
 cand AS (SELECT * FROM base UNION ALL SELECT * FROM extra),
-owners AS (SELECT value, count(DISTINCT source) AS n FROM cand GROUP BY value),
-j AS (SELECT cand.*, n, kind || ':' || start || ':' || stop AS said FROM cand JOIN owners USING (value)),
+firsts AS (SELECT c.value, d.t, min((coalesce(d.source, ''), CAST(d.doc_id AS VARCHAR))) AS own FROM cand c JOIN docs d ON d.doc_id = c.doc_id GROUP BY c.value, d.t),
+owners AS (SELECT value, count(DISTINCT own[1]) >= 2 OR count(DISTINCT own) >= 10 AS example FROM firsts GROUP BY value),
+j AS (SELECT cand.*, example, kind || ':' || start || ':' || stop AS said FROM cand JOIN owners USING (value)),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
         string_agg(said, ',' ORDER BY start, rank) FILTER (kind <> 'owned') AS base,
-        string_agg(said, ',' ORDER BY start, rank) FILTER (kind <> 'owned' OR n < 2) AS spans,
-        count(*) FILTER (n < 2) AS n_live, count(*) FILTER (n >= 2) AS n_example FROM j GROUP BY doc_id)
+        string_agg(said, ',' ORDER BY start, rank) FILTER (kind <> 'owned' OR NOT example) AS spans,
+        count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example FROM j GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM docs d LEFT JOIN g ON d.doc_id = g.doc_id

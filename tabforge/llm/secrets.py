@@ -2,8 +2,10 @@
 
 Base patterns give spans by position. Long key-like tokens are further candidates. Every
 candidate's value is hashed, counted by distinct repository and owner, and told apart:
-a value in many owners' documents is a copied example, one that a single owner has and
-that looks random is live and becomes an extra span.
+a value of several owners, or in many repositories of one, is a copied example; one that a
+single owner has in few repositories and that looks random is live and becomes an extra span.
+Rows of equal text are one repository (that of the smallest owner), so copying a document
+neither makes an example of a key nor hides one.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ BASE = (
 )
 #: Key-like tokens outside the base patterns: letters, digits, ``_`` and ``-``, at least this long.
 EXTRA = ("owned", r"([A-Za-z0-9_-]{20,})", 1, 20)
-#: A value in the documents of so many owners is an example.
-EXAMPLE_OWNERS = 2
+#: A value of so many owners, or in so many repositories, is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 2, 10
 #: Distinct characters that a live-looking value has at least.
 LIVE_DISTINCT = 10
 
@@ -72,6 +74,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
     hashed = lambda spans: F.transform(spans, lambda x: x.withField("value", F.sha2(x["value"], 256)))
     found = found.withColumn("__base", base).withColumn("__extra", hashed(alone)).withColumn("__base", hashed(F.col("__base")))
     found = found.drop("__owned", *(f"__{kind}" for kind, *_ in BASE))
+    found = found.withColumn("__copy", F.when(F.size("__base") + F.size("__extra") > 0, F.sha2(text, 256)))
     return materialize(found.drop("__text").withColumn("__row", F.monotonically_increasing_id()))
 
 
@@ -81,11 +84,15 @@ def _live(value: Column) -> Column:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(value, n_repos, n_owners) of every candidate hash; a hot value is counted per task first."""
+    """(value, n_repos, n_owners) of every candidate hash; a hot value is counted per task first.
+
+    Of rows of equal text the smallest (owner, repository) counts; NULL owners count as empty ones."""
     spans = F.explode(F.concat("__base", "__extra")).alias("s")
-    one = found.select("__owner", "__repo", spans).select(F.col("s.value").alias("value"), "__owner", "__repo")
-    by_repo = one.groupBy("value", "__owner", "__repo").agg(F.lit(1).alias("one"))
-    by_owner = by_repo.groupBy("value", "__owner").agg(F.count("*").alias("n"))
+    own = F.struct(F.coalesce("__owner", F.lit("")).alias("owner"), F.coalesce("__repo", F.lit("")).alias("repo"))
+    one = found.select("__copy", own.alias("own"), spans).select(F.col("s.value").alias("value"), "__copy", "own")
+    by_text = one.groupBy("value", "__copy").agg(F.min("own").alias("own"))
+    by_repo = by_text.groupBy("value", "own").agg(F.lit(1).alias("one"))
+    by_owner = by_repo.groupBy("value", "own.owner").agg(F.count("*").alias("n"))
     return by_owner.groupBy("value").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
@@ -93,7 +100,7 @@ def judged(found: DataFrame) -> DataFrame:
     """Per row with candidates: the extra spans that stay, and how many spans are live or examples."""
     spans = found.select("__row", F.explode(F.concat("__base", "__extra")).alias("s"))
     spans = spans.withColumn("value", F.col("s.value")).join(ownership(found), "value")
-    live = F.col("n_owners") < EXAMPLE_OWNERS
+    live = (F.col("n_owners") < EXAMPLE_OWNERS) & (F.col("n_repos") < EXAMPLE_REPOS)
     extra = (F.col("s.kind") == EXTRA[0]) & live
     return spans.groupBy("__row").agg(
         F.collect_list(F.when(extra, F.col("s"))).alias("__owned"),
@@ -127,9 +134,9 @@ def scan_secrets(
     """One row per row of ``docs``: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
     NULL text counts as empty: no spans, the hash of the empty string. A NULL owner or repository
-    counts as one of its own. Repeated rows stay repeated (and are one repository). ``n_live`` and
-    ``n_example`` count the row's candidates, base ones too, whose value one owner or more owners
-    hold. An empty table gives an empty result.
+    counts as an empty one. Repeated rows stay repeated; rows of equal text are one repository.
+    ``n_live`` and ``n_example`` count the row's candidates, base ones too, whose value is live or an
+    example by its owners and repositories. An empty table gives an empty result.
     """
     out = scan(docs, id_col, text_col, owner_col, repo_col)
 

@@ -25,6 +25,8 @@ from tabforge.session import materialize
 THRESHOLD = 0.93
 #: Classes of a block; vectors that the axes are fitted on, about (any axes give the same links).
 BLOCK, AXES_SAMPLE = 2048, 10_000
+#: Largest components with which vectors are compared as they are; others are scaled first.
+PLAIN = (1e-100, 1e100)
 #: Below this part of pairs left, a tile goes on pair by pair. Rounding allowance of the bounds.
 SPARSE, EPS = 0.05, 1e-9
 
@@ -163,7 +165,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Vectors are compared if their labels are equal and not NULL and they have as many components.
     A vector that is NULL, empty, zero or holds NULL or a non-finite number links with nothing:
-    its component is its own id. Rows that repeat an id are vectors of their own and count as
+    its component is its own id. Vectors whose squares would under- or overflow are compared by
+    their direction, like all others. Rows that repeat an id are vectors of their own and count as
     links. A NULL id counts as a vector; its component is the smallest other id reachable, if
     any. An empty table gives an empty result.
     """
@@ -173,8 +176,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         F.col(vector_col).cast("array<double>").alias("vec"),
     )
     bad = F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    large = F.aggregate("vec", F.lit(0.0), lambda acc, v: acc + v * v)
-    fit = F.coalesce(F.col("label").isNotNull() & ~bad & (large > 0) & (large < float("inf")), F.lit(False))
+    large = F.aggregate("vec", F.lit(0.0), lambda acc, v: F.greatest(acc, F.abs(v)))
+    fit = F.coalesce(F.col("label").isNotNull() & ~bad & (large > 0), F.lit(False))
+    # squares of very small or large components leave the range of doubles: a power of two of them does not
+    half = F.floor(F.log2("large") / 2)
+    scaled = F.transform("vec", lambda v: v * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - F.floor(F.log2("large"))))
+    rows = rows.withColumn("large", F.when(fit, large))
+    rows = rows.withColumn("vec", F.when(F.col("large").between(*PLAIN), F.col("vec")).otherwise(scaled)).drop("large")
+    fit = F.col("vec").isNotNull()
     rows = materialize(rows.withColumn("vec", F.when(fit, F.col("vec"))).withColumn("label", F.when(fit, F.col("label"))))
     classes = rows.where("vec is not null").groupBy("label", "vec").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     classes = classes.withColumn("dim", F.size("vec")).withColumn("node", F.monotonically_increasing_id())

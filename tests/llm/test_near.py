@@ -168,3 +168,11 @@ def test_tiles_drop_nothing():
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     want = {(i, j) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.93), strict=True) if i < j}
     assert want and set(zip(*tile_links(x, x, axes, True), strict=True)) == want == set(zip(*tile_links(x, x, None, True), strict=True))
+
+
+def test_vectors_of_any_magnitude(spark):
+    """The direction counts also where squares under- or overflow."""
+    table = [(1, [1.0, 2.0], 0), (2, [1e-170, 2e-170], 0), (3, [1e160, 2e160], 0), (4, [5e-324, 1e-323], 0), (5, [8e307, 1.6e308], 0), (6, [2e200, -1e200], 0), (7, [-1e-200, -2e-200], 0)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df).collect()}
+    assert got == {**{k: (4, 1) for k in range(1, 6)}, 6: (0, 6), 7: (0, 7)}

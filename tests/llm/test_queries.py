@@ -5,11 +5,12 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from tabforge.llm.oracle import queries_sql
-from tests.llm.data import documents, near_groups
+from tests.llm.data import documents, near_groups, prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +29,7 @@ def test_sql(spark, name):
 
 def test_every_operator_has_a_query():
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline(spark):
@@ -65,6 +66,32 @@ def test_pipeline_of_an_empty_table(spark):
         assert out.collect() == []
 
 
+def test_stages_with_odd_rows_and_clashing_names(spark):
+    """NULL ids, repeated rows, NULL and empty texts, and columns named like the operators' own."""
+    words = " ".join(prose(1, 200))
+    texts = [words, words, words + " end", "token=abcdefghijklmnop " + " ".join(prose(2, 60)), None, "", "12 34", words, words]
+    ids = [1, 2, 3, 4, 5, 6, 7, None, 2]
+    clash = ("score", "lang_pred", "held_out", "keep_id", "text_sha256", "n_live", "spans", "sequence_id", "offset", "__n", "group_size", "n_shingles")
+    docs = documents(spark, texts, ids)
+    for c in clash:
+        docs = docs.withColumn(c, F.lit("clash"))
+    want = {"language": [1, 2, 2, 3, 4, None], "exact_copies": None, "near_copies": None}
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        if name == "packing":
+            assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
+            break
+        assert out.columns == docs.columns and len(rows) <= before
+        if want.get(name):
+            assert sorted((r["doc_id"] for r in rows), key=repr) == sorted(want[name], key=repr)
+        assert all(r[c] == "clash" for r in rows for c in clash)
+        docs, before = spark.createDataFrame(rows, out.schema), len(rows)
+    texts = [r["text"] for r in docs.collect()]
+    assert any("[secret]" in t for t in texts) and sum(t.startswith(words) for t in texts) <= 2  # the row without an id stays, and one group
+
+
 @pytest.mark.parametrize("n", [50, 600])
 def test_languages_of_many_signs_stay_at_any_size(spark, n):
     rnd = random.Random(1)

@@ -10,11 +10,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from tabforge.llm import language, packing, secrets, url_rules, warc
+from tabforge.llm.chunks import Texts
 from tabforge.llm.byte_bpe import Encoder, decode_documents, encode_documents
 from tests.llm.data import documents, prose, rows
 
@@ -143,6 +145,30 @@ def test_packing_in_many_groups(spark, tables, monkeypatch):
     assert n <= -(-total // 4096) + 3
 
 
+def test_ids_by_parts_of_words_are_the_tokenizers():
+    rnd = random.Random(4)
+    signs = [*"aeinstTHR  '.,!?;:*$%&#", "'s", "'LL", "’s", "\n", "\t", "\x85", "\xa0", "　", "é", "É", "e\u0301", "T\u0308", "İ", "ß", "日", "😀", "1", "23"]
+    signs += ["the", "ING", ".a", "a.", "...", "<|", "|>", "<|endoftext|>", "-", "_", "/", "\x00", "\x1c", "ʼn", "ⅷ", "ª", "\u0308", "ﬁ", "\ufffd"]
+    with open(WORDS, encoding="utf-8") as f:
+        words = packing.WordIds(f.read())
+    reference = Tokenizer.from_file(WORDS)
+    for _ in range(100):
+        texts = ["".join(rnd.choice(signs) for _ in range(rnd.choice([0, 1, 2, 5, 20, 100]))) for _ in range(20)]
+        ids, counts = words.documents(Texts(pa.array(texts)))
+        want = [[*reference.encode(t, add_special_tokens=False).ids, packing.END_ID] for t in texts]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_bpe_by_chunks_is_the_librarys(encoder, reference):
+    rnd = random.Random(5)
+    signs = [*"aeinst thr  '", "'s", "'ll", " ", "  ", "\n", "\t", "\x85", "\xa0", "\u2003", "　", "\u202f", "é", "日", "😀", "1", "23", "the", "ing", ".", ",", "\r\n", "\x1c", "ж"]
+    for _ in range(100):
+        texts = ["".join(rnd.choice(signs) for _ in range(rnd.choice([0, 1, 2, 5, 20, 100]))) for _ in range(20)]
+        ids, counts = encoder.documents(Texts(pa.array(texts)))
+        want = [reference.encode_ordinary(t) for t in texts]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
 def test_packing_edges(spark):
     texts = [None, "", " \n", "A. b", " ".join(prose(1, 9000)), "<|endoftext|> İ* \u0958*", "same", "same"]
     ids = [1, 2, 3, 4, 5, 6, 7, 7]
@@ -204,6 +230,75 @@ def test_ownership_tells_examples_from_live_keys(spark):
     assert got == {0: ("owned:2:26", 1, 0), 1: ("owned:2:26", 1, 1), 9: ("", 0, 1), 10: ("owned:0:24", 1, 0)}
 
 
+def test_repositories_count_once_for_each_text(spark):
+    key, wide = "key_Zq81LmN0pRt5VwXy72Bd", "key_Aa11Bb22Cc33Dd44Ee55"
+    docs = documents(spark, [f"a {key}", f"b {key}"])
+    for n in range(4):  # plain copies under other owners make no example of a key
+        docs = docs.unionByName(documents(spark, [f"a {key}"], [10 + n], source=f"src{n + 1}"))
+    few, many = secrets.EXAMPLE_REPOS - 1, secrets.EXAMPLE_REPOS
+    docs = docs.unionByName(documents(spark, [f"{n} {wide}" for n in range(many)], range(100, 100 + many)))
+    got = {r["doc_id"]: (r["spans"], r["n_live"], r["n_example"]) for r in secrets.scan_secrets(docs).collect()}
+    assert all(got[i] == ("owned:2:26", 1, 0) for i in (0, 1, 10, 11, 12, 13))
+    assert all(got[100 + n] == ("", 0, 1) for n in range(many))  # one owner, but in many repositories
+    fewer = secrets.scan_secrets(docs.where(f"doc_id < {100 + few}"))
+    assert all(r["n_live"] == 1 and r["n_example"] == 0 for r in fewer.collect())
+
+
+def test_languages_equal_exact_gram_sets(spark, tables):
+    """The same decision with plain sets: filters answer for more grams than they hold, so a few scores differ."""
+    docs = tables["documents"]
+    filters = language.learn(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs).collect()}
+    sets = _exact_grams(docs)
+    same = rows = 0
+    for r in docs.collect():
+        want = _exact_decision(sets, r["text"], filters.langs)
+        rows += 1
+        if want is None:
+            assert got[r["doc_id"]] == (language.UNKNOWN, 0.0)
+            same += 1
+            continue
+        lang, shares = want
+        if not any(shares.values()):  # no gram of any language
+            assert got[r["doc_id"]][1] < 0.05
+            same += 1
+            continue
+        same += got[r["doc_id"]][0] == lang
+        # what the correction may change: a language that is behind by less than 2 % of the grams
+        assert shares[got[r["doc_id"]][0]] >= shares[lang] - 0.02
+        assert abs(got[r["doc_id"]][1] - shares[got[r["doc_id"]][0]]) < 0.05
+    assert same >= 0.98 * rows
+
+
+def _grams(text):
+    """3- and 4-grams of lower-case letters whose inner characters are letters, in plain Python."""
+    s = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    three = [s[i : i + 3] for i in range(len(s) - 2) if s[i + 1] != " "]
+    return three + [s[i : i + 4] for i in range(len(s) - 3) if s[i + 1] != " " and s[i + 2] != " "]
+
+
+def _exact_grams(docs):
+    train = [r for r in docs.collect() if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    counts = collections.defaultdict(collections.Counter)
+    for r in train:
+        counts[r["lang"]].update(_grams(r["text"]))
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    share = {lang: {g: n / total[lang] for g, n in c.items() if n / total[lang] >= language.LEAST_SHARE} for lang, c in counts.items()}
+    most = collections.Counter()
+    for of in share.values():
+        for g, s in of.items():
+            most[g] = max(most[g], s)
+    return {lang: {g for g, s in of.items() if s >= language.LEAST_RELATIVE * most[g]} for lang, of in share.items()}
+
+
+def _exact_decision(sets, text, langs):
+    if text is None or not any(map(str.isalpha, text)):
+        return None
+    own = _grams(text)
+    shares = {lang: sum(g in sets[lang] for g in own) / max(1, len(own)) for lang in langs}
+    return max(sorted(langs), key=lambda x: shares[x]), shares
+
+
 def test_redaction(spark):
     docs = documents(spark, [None, "plain", "é token=abcdefghijklmnop, 0123456789abcdef!", "secret=0123456789abcdef x"])
     out = secrets.redact_secrets(docs)
