@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -22,12 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.llm.batches import bounded
+from tabforge.llm.chunks import Known, Texts, different, joined, ranges, together
 
 #: Unicode white space, as the pre-token pattern's ``\\s`` means it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Chunks of text and pre-tokens kept encoded per worker, and the longest that is kept.
-CACHED, CACHED_LENGTH = 600_000, 64
+#: Chunks of text kept encoded per worker.
+CACHED = 400_000
 _BIT = [1 << k for k in range(4096)]
+#: White-space characters of several bytes in UTF-8.
+_WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
 class Encoder:
@@ -35,13 +39,17 @@ class Encoder:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         self.bytes_of = {n: piece for piece, n in self.ranks.items()}
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
-        # no match of the pattern goes on from other characters into white space, so these cuts change nothing
-        self.chunks = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         # the rank queue, empty between pre-tokens: positions by rank, each a heap, and a bit for each that has any
         self.buckets: list[list[int]] = [[] for _ in range(max(self.bytes_of) + 1)]
         self.low = [0] * (len(self.buckets) // 256 + 1)
-        self.cache: dict[str, tuple[str, int, bytes]] = {}
-        self.pieces: dict[bytes, list[int]] = {}
+        self.known = Known(self._chunks, CACHED)
+        # a run of ASCII letters, with or without a blank before it, is one match of the pattern
+        words = ["a", "Z", " b", "abcXYZ", " QrstUv"]
+        self.plain = re.compile(" ?[A-Za-z]+").fullmatch if all(self.pattern.findall(w) == [w] for w in words) else lambda chunk: None
+        # what each id adds to the decimal ids and to the decoded bytes
+        size = len(self.buckets)
+        self.decimals = pa.array([f"{n}," for n in range(size)], pa.binary())
+        self.surfaces = pa.array([self.bytes_of.get(n, b"") for n in range(size)], pa.binary())
 
     def piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the pair of the lowest rank merges first, the leftmost of equal ones."""
@@ -99,28 +107,55 @@ class Encoder:
     def ids(self, text: str) -> list[int]:
         out: list[int] = []
         for match in self.pattern.findall(text):
-            piece = match.encode()
-            if (known := self.pieces.get(piece)) is None:
-                known = self.piece(piece)
-                if len(piece) <= CACHED_LENGTH:
-                    if len(self.pieces) >= CACHED:
-                        self.pieces.clear()
-                    self.pieces[piece] = known
-            out += known
+            out += self.piece(match.encode())
         return out
 
+    def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each chunk, and all ids."""
+        texts = [c.decode() for c in chunks]
+        ids = [self.piece(c) if self.plain(t) else self.ids(t) for c, t in zip(chunks, texts, strict=True)]
+        flat = np.fromiter((x for some in ids for x in some), np.int32)
+        return np.fromiter(map(len, ids), np.int64, len(ids)), flat.reshape(-1, 1)
+
+    def documents(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and the number of each text's.
+
+        Texts are cut where ASCII white space follows another character, and where another ASCII sign
+        follows an ASCII letter: no match of the pattern goes on over such a place, so the cuts change
+        nothing. Each different chunk is encoded once.
+        """
+        data, begins = texts.data, texts.offsets[:-1]
+        full = texts.offsets[1:] > begins
+        counts = np.zeros(len(texts), np.int64)
+        if not full.any():
+            return np.zeros(0, np.int32), counts
+        blank = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+        other = ~(blank | _wide_space_ends(data))
+        new = blank.copy()
+        new[1:] &= other[:-1]
+        lower = data | 0x20
+        letter = (lower >= 0x61) & (lower <= 0x7A) & (data < 0x80)
+        new[1:] |= letter[:-1] & ~letter[1:] & (data[1:] < 0x80)
+        new[begins[full]] = True
+        starts = np.flatnonzero(new)
+        number, chunks = different(data, starts)
+        first, count = (x[number] for x in self.known.look_up(chunks))
+        counts[full] = np.add.reduceat(count, np.searchsorted(starts, begins[full]))
+        return self.known.rows[ranges(first, count), 0], counts
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[x] for x in ids])
 
-    def chunk(self, chunk: str) -> tuple[str, int, bytes]:
-        """(decimal ids joined by commas, their number, decoded bytes)."""
-        ids = self.ids(chunk)
-        out = ",".join(map(str, ids)), len(ids), self.decode(ids)
-        if len(chunk) <= CACHED_LENGTH:
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            self.cache[chunk] = out
-        return out
+
+def _wide_space_ends(data: np.ndarray) -> np.ndarray:
+    """Where a white-space character of several bytes ends."""
+    out = np.zeros(len(data), bool)
+    for space in _WIDE:
+        at = np.flatnonzero(data[: len(data) - len(space) + 1] == space[0]) if len(data) >= len(space) else np.zeros(0, np.int64)
+        for k in range(1, len(space)):
+            at = at[data[at + k] == space[k]]
+        out[at + len(space) - 1] = True
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -149,17 +184,16 @@ def encode_documents(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value, pattern)
-        cache, miss, cut = encoder.cache, encoder.chunk, encoder.chunks.findall
-        for batch in batches:
+        for docs, texts in together(batches):
+            ids, counts = encoder.documents(texts)
+            decimal, surface = joined(encoder.decimals, ids), joined(encoder.surfaces, ids)
+            ends = np.cumsum(counts).tolist()
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                parts = [cache.get(c) or miss(c) for c in cut(text.as_py() or "")]
-                joined = ",".join([p[0] for p in parts])
-                row = {"id": doc, "n_tokens": sum([p[1] for p in parts])}
-                row["ids_sha256"] = hashlib.sha256(joined.encode()).hexdigest()
-                row["decoded_sha256"] = hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest()
+            for doc, a, b in zip(docs, [0, *ends], ends, strict=False):
+                row = {"id": doc, "n_tokens": b - a, "ids_sha256": hashlib.sha256(decimal(a, b)[:-1]).hexdigest()}
+                row["decoded_sha256"] = hashlib.sha256(surface(a, b)).hexdigest()
                 if with_ids:
-                    row["ids"] = list(map(int, joined.split(","))) if joined else []
+                    row["ids"] = ids[a:b].tolist()
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema)
 
