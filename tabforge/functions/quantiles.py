@@ -1,32 +1,72 @@
-"""Exact quantiles by histogram refinement.
+"""Exact quantiles by radix refinement.
 
-Each pass counts the values of the intervals still open in equal-width buckets and goes on
-inside the buckets that hold the wanted ranks, until a bucket holds a single value. A pass is
-one plain aggregation: tasks keep at most intervals x BUCKETS counts however many distinct
-values there are, and no task ever sees them all.
+A double's bits, read as a whole number (negated for negative values), are in the order of the
+values. Each pass counts the values of the intervals still open by the next BITS bits of these
+numbers and goes on inside the buckets that hold the wanted ranks, until a bucket holds a single
+value: 7 passes at most, whatever the values are. A pass is one plain aggregation: tasks keep about
+intervals x 2^BITS counts however many distinct values there are, and no task ever sees them all.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+BITS = 10
 
 
 @dataclass
 class _Open:
     name: int
-    lo: float
-    hi: float
+    lo: int  # numbers of the least and the largest value
+    hi: int
     below: int  # finite values under lo
     ranks: list[int]
 
 
+def _numbers(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The whole number of every finite value, NULL for others: a double's bits, by exact powers of two.
+
+    A projection for each step, so that no step's expression is written out several times."""
+    two = F.lit(2.0)
+    size = lambda c: F.abs(F.col(c))
+    keep = [F.when(_finite(F.col(c)), F.col(c)).alias(c) for c in names]
+    df = df.select(*keep)
+    df = df.select(*names, *(F.floor(F.log2(F.greatest(size(c), F.lit(2.0**-1022)))).alias(f"{c}_e") for c in names))
+    # the logarithm may be off by one next to a power of two
+    right = lambda c, e: F.when(F.pow(two, e) > size(c), e - 1).when(size(c) / 2 >= F.pow(two, e), e + 1).otherwise(e)
+    df = df.select(*names, *(right(c, F.col(f"{c}_e")).alias(f"{c}_e") for c in names))
+    df = df.select(*names, *(f"{c}_e" for c in names), *(F.floor(F.col(f"{c}_e") / 2).alias(f"{c}_h") for c in names))
+
+    def bits(c: str) -> Column:
+        e, half = F.col(f"{c}_e"), F.col(f"{c}_h")
+        part = size(c) * F.pow(two, -half) * F.pow(two, half - e) - 1
+        normal = (e + 1023).cast("long") * (1 << 52) + (part * 2.0**52).cast("long")
+        return F.when(size(c) < 2.0**-1022, (size(c) * 2.0**600 * 2.0**474).cast("long")).otherwise(normal)
+
+    df = df.select(*names, *(bits(c).alias(f"{c}_b") for c in names))
+    return df.select(*(F.when(F.col(c) < 0, -F.col(f"{c}_b")).when(F.col(c).isNotNull(), F.col(f"{c}_b")).alias(c) for c in names))
+
+
+def _as_number(value: float) -> int:
+    bits = struct.unpack("<q", struct.pack("<d", abs(value)))[0]
+    return -bits if value < 0 else bits
+
+
+def _as_value(number: int) -> float:
+    value = struct.unpack("<d", struct.pack("<q", abs(number)))[0]
+    return -value if number < 0 else value
+
+
+def _finite(v: Column) -> Column:
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+
+
 def exact_quantiles(df: DataFrame, wanted: Sequence[tuple[Column, Sequence[float]]]) -> list[list[float | None]]:
     """For each (value column, probabilities): the quantiles with linear interpolation.
 
@@ -40,7 +80,7 @@ def exact_quantiles(df: DataFrame, wanted: Sequence[tuple[Column, Sequence[float
     aggs = []
     for k in range(len(wanted)):
         v = F.col(f"v{k}")
-        finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+        finite = _finite(v)
         ends = [F.count(v), F.count_if(v == float("-inf")), F.count_if(finite), F.count_if(v == float("inf"))]
         aggs += [*ends, F.min(F.when(finite, v)), F.max(F.when(finite, v))]
     row = df.agg(*[a.alias(f"a{n}") for n, a in enumerate(aggs)]).first()
@@ -53,16 +93,17 @@ def exact_quantiles(df: DataFrame, wanted: Sequence[tuple[Column, Sequence[float
         found.append(known)
         inside = [r - low for r in ranks if r not in known]
         if inside:
-            open_.append(_Open(k, lo, hi, 0, inside))
+            open_.append(_Open(k, _as_number(lo), _as_number(hi), 0, inside))
     lows = [row[6 * k + 1] for k in range(len(wanted))]
+    numbers = _numbers(df, [f"v{k}" for k in range(len(wanted))])
     while open_:
         left = []
         for x in open_:
             if x.lo == x.hi:
-                found[x.name].update({r + lows[x.name]: x.lo for r in x.ranks})
+                found[x.name].update({r + lows[x.name]: _as_value(x.lo) for r in x.ranks})
             else:
                 left.append(x)
-        open_ = _refined(df, left) if left else []
+        open_ = _refined(numbers, left) if left else []
     return [[_between(found[k], p, row[6 * k]) for p in probs] for k, (_, probs) in enumerate(wanted)]
 
 
@@ -78,9 +119,8 @@ def _refined(df: DataFrame, open_: list[_Open]) -> list[_Open]:
     parts = []
     for i, x in enumerate(open_):
         v = F.col(f"v{x.name}")
-        # a quarter of the values keeps the width finite
-        share = (v / 4 - x.lo / 4) / F.lit(x.hi / 4 - x.lo / 4) if x.hi / 4 > x.lo / 4 else (v > x.lo).cast("double")
-        bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+        shift = max(0, (x.hi - x.lo).bit_length() - BITS)
+        bucket = (F.call_function("shiftright", v, F.lit(shift)) - F.lit(x.lo >> shift)).cast("int")
         inside = v.between(F.lit(x.lo), F.lit(x.hi))
         parts.append(F.when(inside, F.struct(F.lit(i).alias("i"), bucket.alias("bucket"), v.alias("v"))))
     rows = df.select(F.inline(F.array_compact(F.array(*parts))))
