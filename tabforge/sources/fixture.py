@@ -20,6 +20,8 @@ CATEGORICAL = ["Stage_fear", "Drained_after_socializing"]
 FEATURES = NUMERIC + CATEGORICAL
 TARGET = "Personality"
 STACKS = ["A", "B", "C", "D", "E", "F"]
+#: The account balance from which the lookup calls a respondent an introvert.
+ACCOUNT = 4500.0
 
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +77,15 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def external(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """External lookup: the answers of all rows as another source has them, 0 where a number is
-    missing (so such rows find no match); row_id kept for keep-first."""
+    missing (so such rows find no match); row_id kept for keep-first. What it says about a
+    respondent's type comes from that customer's account, not from the survey's own label."""
     s = base if base is not None else survey(spark, sf_dir)
-    return s.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in NUMERIC}).select("row_id", *FEATURES, TARGET)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), "o_custkey")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    said = F.when(F.coalesce("c_acctbal", F.lit(0.0)) >= ACCOUNT, "Introvert").otherwise("Extrovert")
+    said = o.join(c, "o_custkey", "left").select("row_id", said.alias(TARGET))
+    own = s.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in NUMERIC}).select("row_id", *FEATURES)
+    return own.join(said, "row_id").select("row_id", *FEATURES, TARGET)
 
 
 def score_columns(df: DataFrame, id_col: str = "row_id", stacks=STACKS, confident: bool = False) -> DataFrame:
@@ -128,8 +136,9 @@ ext AS (
   SELECT row_id, coalesce(Time_spent_Alone, 0.0) AS Time_spent_Alone,
          coalesce(Social_event_attendance, 0.0) AS Social_event_attendance, coalesce(Going_outside, 0.0) AS Going_outside,
          coalesce(Friends_circle_size, 0.0) AS Friends_circle_size, coalesce(Post_frequency, 0.0) AS Post_frequency,
-         Stage_fear, Drained_after_socializing, Personality
-  FROM survey)
+         Stage_fear, Drained_after_socializing,
+         CASE WHEN coalesce(c_acctbal, 0) >= 4500 THEN 'Introvert' ELSE 'Extrovert' END AS Personality
+  FROM survey JOIN orders ON o_orderkey = row_id LEFT JOIN customer ON c_custkey = o_custkey)
 """
 
 
