@@ -1,85 +1,158 @@
-"""Stack definitions re-aimed at pyspark.ml estimators.
+"""Stack definitions: bases, their parameter spaces and a meta learner.
 
-A stack is a list of bases, a parameter space and a meta learner. Boosted trees of several
-growth policies, extra trees and kernel machines have no pyspark.ml form of their own; each is
-the nearest estimator that has one, with the ranges of the parameters both share. ``params`` has
-a value for every name of the space (the middle of its range by default) and ``budget`` may cap
-rounds, trees, depths, layers and iterations.
+Bases are the learners of ``learners``, fitted on bounded shards; the meta learner is a pyspark.ml model.
+A space is a tree of rows (name, low, high, kind[, when]): with ``when`` = (name, values) a parameter is
+drawn only where the named one has such a value. ``params`` has a value for every active name
+(the middle of its range, or the first choice, by default) and ``budget`` may cap rounds, trees,
+depths, layers and iterations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    NaiveBayes,
-    RandomForestClassifier,
-)
-from pyspark.ml.feature import RobustScaler
-
-#: Trees of pyspark.ml end at this depth.
-DEEPEST = 30
-
-# Per-stack seeds, label noise, and the ranges (name, low, high, kind) of the searches.
-STACK_SEEDS = {"A": 42, "B": 2024, "C": 1337, "D": 9999, "E": 7777, "F": 5555}
-STACK_NOISE = {"F": 0.02}
-META_C, NOISY_META_C = (0.1, 10.0), (0.01, 2.0)
+from pyspark.ml import Estimator
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 
+from tabforge.models.bounded import WHOLE, Job
 
-def _boosted(base: str, rounds, rate, depth, share, least) -> list[tuple]:
-    return [
-        (f"{base}.maxIter", *rounds, "int"),
-        (f"{base}.stepSize", *rate, "log"),
-        (f"{base}.maxDepth", *depth, "int"),
-        (f"{base}.subsamplingRate", *share, "float"),
-        (f"{base}.minInstancesPerNode", *least, "int"),
-    ]
+# The stacks (name, seed, startup draws, wide space, label noise) and the ranges of their searches.
+STACK_REGISTRY = [
+    ("A", 42, 5, False, 0.0),
+    ("B", 2024, 5, True, 0.0),
+    ("C", 1337, 10, False, 0.0),
+    ("D", 9999, 10, False, 0.0),
+    ("E", 7777, 10, False, 0.0),
+    ("F", 5555, 10, False, 0.02),
+]
+STACK_SEEDS = {name: seed for name, seed, *_ in STACK_REGISTRY}
+STACK_NOISE = {name: noise for name, *_, noise in STACK_REGISTRY if noise}
+META_C, NOISY_META_C = (0.1, 10.0), (0.01, 2.0)
 
 
-def _boosters(rounds, rate, depth, share, least: tuple, third: bool = True) -> list[tuple]:
-    names = ("depthwise", "leafwise", "symmetric") if third else ("depthwise", "symmetric")
-    return [row for name, low in zip(names, least, strict=True) for row in _boosted(name, rounds, rate, depth, share, low)]
+def _space(base: str, *rows: tuple) -> list[tuple]:
+    """Rows of a base's parameters, their names (and those of their conditions) under the base's."""
+    return [(f"{base}.{n}", lo, hi, kind, *((f"{base}.{w[0]}", w[1]) for w in when)) for n, lo, hi, kind, *when in rows]
+
+
+def _depthwise(rounds, rate, depth, share, l1, l2, gamma, least, leaves=None) -> list[tuple]:
+    growth = [("growth", ["depthwise", "leafwise"], None, "choice"), ("leaves", *leaves, "int", ("growth", ["leafwise"]))] if leaves else []
+    return _space(
+        "depthwise",
+        ("maxIter", *rounds, "int"),
+        ("stepSize", *rate, "log"),
+        ("maxDepth", *depth, "int"),
+        ("subsamplingRate", *share, "float"),
+        ("columns", *share, "float"),
+        ("l1", *l1, "log"),
+        ("l2", *l2, "float"),
+        ("gamma", *gamma, "float"),
+        ("minWeight", *least, "int"),
+        *growth,
+    )
+
+
+def _leafwise(rounds, rate, depth, share, leaves, least, weight, penalty) -> list[tuple]:
+    return _space(
+        "leafwise",
+        ("growth", ["leafwise"], None, "choice"),
+        ("maxIter", *rounds, "int"),
+        ("stepSize", *rate, "log"),
+        ("maxDepth", *depth, "int"),
+        ("subsamplingRate", *share, "float"),
+        ("columns", *share, "float"),
+        ("leaves", *leaves, "int"),
+        ("minInstancesPerNode", *least, "int"),
+        ("minWeight", *weight, "log"),
+        ("l1", *penalty, "log"),
+        ("l2", *penalty, "log"),
+    )
+
+
+def _symmetric(rounds, rate, depth, share, l2, least) -> list[tuple]:
+    return _space(
+        "symmetric",
+        ("growth", ["symmetric", "depthwise", "leafwise"], None, "choice"),
+        ("maxIter", *rounds, "int"),
+        ("stepSize", *rate, "log"),
+        ("maxDepth", *depth, "int"),
+        ("l2", *l2, "float"),
+        ("minInstancesPerNode", *least, "int"),
+        ("bootstrap", ["bayesian", "rows", "gradient"], None, "choice"),
+        ("temperature", 0.0, 1.0, "float", ("bootstrap", ["bayesian"])),
+        ("subsamplingRate", *share, "float", ("bootstrap", ["rows", "gradient"])),
+    )
 
 
 def _forest(base: str) -> list[tuple]:
-    return [
-        (f"{base}.numTrees", 500, 1000, "int"),
-        (f"{base}.maxDepth", 15, 40, "int"),
-        (f"{base}.minInstancesPerNode", 1, 5, "int"),
-        (f"{base}.featureSubsetStrategy", ["sqrt", "log2", "all"], None, "choice"),
-        (f"{base}.weight", ["none", "balanced"], None, "choice"),
-    ]
+    return _space(
+        base,
+        ("numTrees", 500, 1000, "int"),
+        ("maxDepth", 15, 40, "int"),
+        ("minInstancesPerNode", 1, 5, "int"),
+        ("featureSubsetStrategy", ["sqrt", "log2", "all"], None, "choice"),
+        ("weight", ["none", "balanced"], None, "choice"),
+    )
 
 
 def _meta(kinds: list[str], c: tuple = META_C) -> list[tuple]:
-    return [("meta.kind", kinds, None, "choice"), ("meta.C", *c, "log")]
+    return [("meta.kind", kinds, None, "choice"), ("meta.C", *c, "log", ("meta.kind", ["logistic", "ridge"]))]
+
+
+def _three(rounds: tuple) -> list[tuple]:
+    rate, share = (0.01, 0.25), (0.5, 1.0)
+    return [
+        *_depthwise(rounds, rate, (5, 12), share, (0.0001, 2.0), (0.5, 10.0), (0.0, 8.0), (1, 15), (50, 200)),
+        *_leafwise(rounds, rate, (-1, 15), share, (50, 200), (5, 80), (1e-4, 20.0), (1e-4, 20.0)),
+        *_symmetric(rounds, rate, (5, 12), share, (0.5, 20.0), (1, 30)),
+        *_meta(["logistic", "ridge", "booster"]),
+    ]
 
 
 STACK_SPACES = {
-    "A": _boosters((500, 1000), (0.01, 0.25), (5, 12), (0.5, 1.0), ((1, 15), (5, 80), (1, 30))) + _meta(["logistic", "ridge", "booster"]),
-    "B": _boosters((600, 1200), (0.01, 0.25), (5, 12), (0.5, 1.0), ((1, 15), (5, 80), (1, 30))) + _meta(["logistic", "ridge", "booster"]),
-    "C": _boosters((400, 800), (0.01, 0.2), (6, 12), (0.6, 1.0), ((1, 10), (1, 20)), third=False) + _meta(["logistic", "ridge", "booster"]),
-    "D": _forest("forest")
-    + _forest("extra")
-    + _boosted("boosted", (500, 1000), (0.01, 0.3), (8, 20), (1.0, 1.0), (5, 30))
-    + _meta(["logistic", "booster", "ridge"]),
+    "A": _three((500, 1000)),
+    "B": _three((600, 1200)),
+    "C": [
+        *_depthwise((400, 800), (0.01, 0.2), (6, 12), (0.6, 1.0), (0.001, 2.0), (0.5, 10.0), (0.0, 5.0), (1, 10)),
+        *_symmetric((400, 800), (0.01, 0.2), (6, 12), (0.6, 1.0), (1.0, 15.0), (1, 20)),
+        *_meta(["logistic", "ridge", "booster"]),
+    ],
+    "D": [
+        *_forest("forest"),
+        *_forest("extra"),
+        *_space(
+            "boosted",
+            ("growth", ["leafwise"], None, "choice"),
+            ("maxIter", 500, 1000, "int"),
+            ("stepSize", 0.01, 0.3, "log"),
+            ("maxDepth", 8, 20, "int"),
+            ("minInstancesPerNode", 5, 30, "int"),
+            ("l2", 0.0, 2.0, "float"),
+        ),
+        *_meta(["logistic", "booster", "ridge"]),
+    ],
     "E": [
-        ("deep.first", 50, 200, "int"),
-        ("deep.second", 20, 100, "int"),
-        ("deep.third", 10, 50, "int"),
-        ("deep.maxIter", 500, 2000, "int"),
-        ("wide.first", 100, 400, "int"),
-        ("wide.maxIter", 500, 2000, "int"),
-        ("margin.C", 0.1, 10.0, "log"),
+        *_space(
+            "deep",
+            ("first", 50, 200, "int"),
+            ("second", 20, 100, "int"),
+            ("third", 10, 50, "int"),
+            ("stepSize", 0.0001, 0.01, "log"),
+            ("penalty", 1e-6, 1e-1, "log"),
+            ("maxIter", 500, 2000, "int"),
+        ),
+        *_space("wide", ("first", 100, 400, "int"), ("stepSize", 0.0001, 0.01, "log"), ("penalty", 1e-6, 1e-1, "log"), ("maxIter", 500, 2000, "int")),
+        *_space("margin", ("C", 0.1, 10.0, "log"), ("gamma", ["scale", "auto"], None, "choice"), ("kernel", ["rbf", "poly"], None, "choice")),
+        *_space("bayes", ("smoothing", 1e-11, 1e-7, "log")),
         *_meta(["logistic", "ridge"]),
     ],
-    "F": _boosters((500, 1000), (0.01, 0.2), (4, 10), (0.6, 1.0), ((2, 20), (10, 100), (5, 50))) + _meta(["logistic"], NOISY_META_C),
+    "F": [
+        *_depthwise((500, 1000), (0.01, 0.2), (4, 10), (0.6, 1.0), (0.001, 3.0), (1.0, 15.0), (0.0, 10.0), (2, 20), (31, 150)),
+        *_leafwise((500, 1000), (0.01, 0.2), (-1, 12), (0.6, 1.0), (31, 150), (10, 100), (1e-3, 30.0), (1e-3, 30.0)),
+        *_symmetric((500, 1000), (0.01, 0.2), (4, 10), (0.5, 1.0), (1.0, 25.0), (5, 50)),
+        *_meta(["logistic"], NOISY_META_C),
+    ],
 }
 STACK_BASES = {
     "A": (("depthwise", "boosted"), ("leafwise", "boosted"), ("symmetric", "boosted")),
@@ -89,14 +162,20 @@ STACK_BASES = {
     "E": (("deep", "layers"), ("wide", "layers"), ("margin", "margin"), ("bayes", "bayes")),
     "F": (("depthwise", "boosted"), ("leafwise", "boosted"), ("symmetric", "boosted")),
 }
-#: Stacks whose features are scaled by median and quartiles before any base.
-SCALED = ("D", "E")
+
+
+def active(row: tuple, params: Mapping) -> bool:
+    """Whether a row of a space has its condition fulfilled."""
+    return len(row) < 5 or params.get(row[4][0]) in row[4][1]
 
 
 def default_params(name: str) -> dict:
-    """The middle of every range, the first of every choice."""
+    """The middle of every range, the first of every choice, of the parameters that are then active."""
     out = {}
-    for param, lo, hi, kind in STACK_SPACES[name]:
+    for row in sorted(STACK_SPACES[name], key=len):  # conditions come after what they ask for
+        param, lo, hi, kind = row[:4]
+        if not active(row, out):
+            continue
         out[param] = lo[0] if kind == "choice" else (lo * hi) ** 0.5 if kind == "log" else (lo + hi) / 2
         if kind == "int":
             out[param] = int(out[param])
@@ -116,15 +195,10 @@ class StackSpec:
     bases: list[tuple[str, str]]
     params: dict = field(default_factory=dict)
     noise_rate: float = 0.0
-    scaled: bool = False
 
-    def base(self, name: str, kind: str, n_features: int, n_rows: int) -> Estimator:
-        """An unfitted pipeline from ``features`` to ``probability``."""
-        p = {k.split(".", 1)[1]: v for k, v in self.params.items() if k.startswith(f"{name}.")}
-        seed = self.seed + [n for n, _ in self.bases].index(name)
-        source = "__scaled" if self.scaled else "features"
-        stages = [RobustScaler(inputCol="features", outputCol="__scaled", withCentering=True)] if self.scaled else []
-        return Pipeline(stages=stages + _ESTIMATORS[kind](p, seed, source, n_features, n_rows))
+    def job(self, name: str, kind: str, fold: int = WHOLE) -> Job:
+        params = {k.split(".", 1)[1]: v for k, v in self.params.items() if k.startswith(f"{name}.")}
+        return Job(name, kind, params, self.seed + [n for n, _ in self.bases].index(name), fold)
 
     def meta(self, n_rows: int) -> Estimator:
         """Logistic and ridge are both logistic models with an L2 penalty: C, or 1 / C as the penalty."""
@@ -134,67 +208,6 @@ class StackSpec:
         return logistic({"C": c if kind == "logistic" else 1.0 / c}, n_rows)
 
 
-def _weighted(p: dict) -> dict:
-    return {"weightCol": "weight"} if p.get("weight") == "balanced" else {}
-
-
-def _gbt(p, seed, source, n_features, n_rows) -> list:
-    return [
-        GBTClassifier(
-            featuresCol=source,
-            maxIter=int(p["maxIter"]),
-            stepSize=float(p["stepSize"]),
-            maxDepth=min(int(p["maxDepth"]), DEEPEST),
-            subsamplingRate=float(p["subsamplingRate"]),
-            minInstancesPerNode=int(p["minInstancesPerNode"]),
-            seed=seed,
-        )
-    ]
-
-
-def _trees(bootstrap: bool) -> Callable:
-    def build(p, seed, source, n_features, n_rows) -> list:
-        return [
-            RandomForestClassifier(
-                featuresCol=source,
-                numTrees=int(p["numTrees"]),
-                maxDepth=min(int(p["maxDepth"]), DEEPEST),
-                minInstancesPerNode=int(p["minInstancesPerNode"]),
-                featureSubsetStrategy=p["featureSubsetStrategy"],
-                bootstrap=bootstrap,
-                seed=seed,
-                **_weighted(p),
-            )
-        ]
-
-    return build
-
-
-def _layers(p, seed, source, n_features, n_rows) -> list:
-    hidden = [int(p[k]) for k in ("first", "second", "third") if k in p]
-    return [MultilayerPerceptronClassifier(featuresCol=source, layers=[n_features, *hidden, 2], maxIter=int(p["maxIter"]), seed=seed)]
-
-
-def _margin(p, seed, source, n_features, n_rows) -> list:
-    """A linear margin and, on it, a logistic model that makes it a probability."""
-    svc = LinearSVC(featuresCol=source, regParam=1.0 / (float(p["C"]) * n_rows), maxIter=100, rawPredictionCol="__margin", predictionCol="__side")
-    return [svc, LogisticRegression(featuresCol="__margin", regParam=1e-6)]
-
-
-def _bayes(p, seed, source, n_features, n_rows) -> list:
-    return [NaiveBayes(featuresCol=source, modelType="gaussian")]
-
-
-_ESTIMATORS = {
-    "boosted": _gbt,
-    "forest": _trees(True),
-    "extra": _trees(False),
-    "layers": _layers,
-    "margin": _margin,
-    "bayes": _bayes,
-}
-
-
 def logistic(p=None, n_rows: int | None = None) -> LogisticRegression:
     """Logistic model; C -> regParam = 1 / (C * n) (mean-loss scaling)."""
     p = p or {}
@@ -205,18 +218,7 @@ def logistic(p=None, n_rows: int | None = None) -> LogisticRegression:
 
 def stack_spec(name: str, params: Mapping | None = None, budget: Mapping | None = None) -> StackSpec:
     full = capped({**default_params(name), **(params or {})}, budget)
-    return StackSpec(name, STACK_SEEDS[name], list(STACK_BASES[name]), full, STACK_NOISE.get(name, 0.0), name in SCALED)
-
-
-# The six stack configurations (name, seed, startup draws, wide space, label noise).
-STACK_REGISTRY = [
-    ("A", 42, 5, False, 0.0),
-    ("B", 2024, 5, True, 0.0),
-    ("C", 1337, 10, False, 0.0),
-    ("D", 9999, 10, False, 0.0),
-    ("E", 7777, 10, False, 0.0),
-    ("F", 5555, 10, False, 0.02),
-]
+    return StackSpec(name, STACK_SEEDS[name], list(STACK_BASES[name]), full, STACK_NOISE.get(name, 0.0))
 
 
 def stack_registry(spark):

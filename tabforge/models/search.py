@@ -8,13 +8,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabforge.models.builders import active
 from tabforge.operators.blend import py_uniform
 from tabforge.operators.folds import stratified_folds
-from tabforge.models.stacking import oof_scores
+from tabforge.models.stacking import each, oof_scores, p1
 from tabforge.session import materialize
 
-# A space is a list of (param, lo, hi, kind) with kind in int | float | log | choice
-# (for "choice", lo is the list of options and hi is unused).
+# A space is a list of (param, lo, hi, kind[, when]) with kind in int | float | log | choice (for "choice",
+# lo is the list of options and hi is unused); with when = (param, values) it is drawn only under these values.
 
 
 def param_draws(space: Sequence[tuple], n: int, seed: int = 42, warm_start: dict | None = None) -> list[dict]:
@@ -22,7 +23,10 @@ def param_draws(space: Sequence[tuple], n: int, seed: int = 42, warm_start: dict
     draws = [dict(warm_start)] if warm_start else []
     for t in range(n - len(draws)):
         d = {}
-        for name, lo, hi, kind in space:
+        for row in sorted(space, key=len):  # conditions come after what they ask for
+            name, lo, hi, kind = row[:4]
+            if not active(row, d):
+                continue
             u = py_uniform(t, f"{name}{seed}")
             if kind == "int":
                 d[name] = int(lo + math.floor(u * (hi - lo + 1)))
@@ -74,3 +78,41 @@ def param_search(
     frame = draws_frame(spark, draws)
     acc = spark.createDataFrame(list(enumerate(scores)), "trial int, accuracy double")
     return frame.join(acc, "trial")
+
+
+def halving_search(
+    df: DataFrame,
+    make: Callable[[dict], object],
+    space: Sequence[tuple],
+    n_trials: int = 15,
+    k: int = 5,
+    seed: int = 42,
+    warm_start: dict | None = None,
+    keep: float = 0.5,
+) -> DataFrame:
+    """Search with pruning: (trial, params..., folds, accuracy).
+
+    After every fold, trials report their mean accuracy so far and the best ``keep`` of them (ties:
+    the earlier trial) go on; the last one standing and those as good have all folds. All trials of a
+    rung run at once; what goes on depends on scores only, so a seed gives the same search again.
+    """
+    spark = df.sparkSession
+    folded = materialize(stratified_folds(df, "label", k=k, seed=seed, out="fold"))
+    draws = param_draws(space, n_trials, seed, warm_start)
+    scores: dict[int, list[float]] = {t: [] for t in range(len(draws))}
+    going = list(scores)
+
+    def report(job: tuple[int, int]) -> float:
+        trial, fold = job
+        model = make(draws[trial]).fit(folded.where(F.col("fold") != fold))
+        scored = p1(model.transform(folded.where(F.col("fold") == fold).select("row_id", "label", "features")), "__p")
+        return float(scored.agg(F.avg(((F.col("__p") >= 0.5).cast("double") == F.col("label")).cast("double"))).first()[0])
+
+    for fold in range(k):
+        for trial, score in zip(going, each(report, [(t, fold) for t in going]), strict=True):
+            scores[trial].append(score)
+        if fold < k - 1:
+            mean = lambda t: sum(scores[t]) / len(scores[t])
+            going = sorted(sorted(going, key=lambda t: (-mean(t), t))[: max(1, math.ceil(keep * len(going)))])
+    rows = [(t, len(s), sum(s) / len(s)) for t, s in scores.items()]
+    return draws_frame(spark, draws).join(spark.createDataFrame(rows, "trial int, folds int, accuracy double"), "trial")

@@ -7,7 +7,6 @@ never aligned by position.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,17 +15,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.operators.encode import balanced_weights
+from tabforge.models.bounded import WHOLE, Fitted, fit_jobs, with_scores
 from tabforge.operators.folds import label_noise, stratified_folds
 from tabforge.session import materialize
 
 
 #: Independent fits that are submitted at once; each is a Spark job of its own.
 PARALLEL_FITS = 4
-_MODEL_COLUMNS = ("rawPrediction", "probability", "prediction", "__scaled", "__margin", "__side")
+_MODEL_COLUMNS = ("rawPrediction", "probability", "prediction")
 
 
-def _each(work: Callable, items: Sequence) -> list:
+def each(work: Callable, items: Sequence) -> list:
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         return list(pool.map(work, items))
 
@@ -76,7 +75,7 @@ def oof_scores(
         return builder().fit(train)
 
     oof_parts, test_parts = [], []
-    for i, model in enumerate(_each(fold, range(k))):
+    for i, model in enumerate(each(fold, range(k))):
         valid = df.filter(F.col(fold_col) == i)
         if validate_on:
             valid = valid.filter(F.expr(validate_on))
@@ -95,75 +94,120 @@ def oof_scores(
     return oof, test_mean
 
 
-def _scored(df: DataFrame, models: Sequence, names: Sequence[str]) -> DataFrame:
-    """One pass: each base adds its column to the same rows."""
-    for name, model in zip(names, models, strict=True):
-        df = p1(model.transform(df), f"s_{name}")
-    return df
+def _meta_input(df: DataFrame, names: Sequence[str], out: str) -> DataFrame:
+    return VectorAssembler(inputCols=[f"s_{n}" for n in names], outputCol=out).transform(df)
 
 
 class StackingModel:
-    def __init__(self, bases, meta, names):
-        self.bases, self.meta, self.names = list(bases), meta, list(names)
+    """Fitted bases (on all rows) and the meta model on their scores."""
+
+    def __init__(self, bases: Fitted, meta):
+        self.bases, self.meta = bases, meta
 
     def transform(self, df: DataFrame) -> DataFrame:
-        scores = [f"s_{n}" for n in self.names]
-        inputs = VectorAssembler(inputCols=scores, outputCol="__meta").transform(_scored(df, self.bases, self.names))
-        return self.meta.setFeaturesCol("__meta").transform(inputs).drop("__meta", *scores)
+        scored = with_scores(df, self.bases)
+        names = self.bases.names
+        return self.meta.setFeaturesCol("__meta").transform(_meta_input(scored, names, "__meta")).drop("__meta", *(f"s_{n}" for n in names))
 
     def save(self, path: str) -> None:
-        """Bases, meta model and names, each in a folder of ``path``."""
+        """The bases' shards as one table, and the meta model, in folders of ``path``."""
         from pyspark.sql import SparkSession
 
-        for name, model in zip(self.names, self.bases, strict=True):
-            model.write().overwrite().save(f"{path}/base_{name}")
-        self.meta.write().overwrite().save(f"{path}/meta")
-        row = [(json.dumps(self.names), type(self.meta).__name__)]
+        rows = [(n, k, name, kind, bytearray(b)) for n, (name, kind, blobs) in enumerate(self.bases.folds[WHOLE]) for k, b in enumerate(blobs)]
         spark = SparkSession.getActiveSession()
-        spark.createDataFrame(row, "names string, meta string").coalesce(1).write.mode("overwrite").json(f"{path}/stack")
+        spark.createDataFrame(rows, "base int, shard int, name string, kind string, model binary").write.mode("overwrite").parquet(f"{path}/bases")
+        self.meta.write().overwrite().save(f"{path}/meta")
+        kind = [(type(self.meta).__name__,)]
+        spark.createDataFrame(kind, "meta string").coalesce(1).write.mode("overwrite").json(f"{path}/stack")
 
     @classmethod
     def load(cls, spark, path: str) -> StackingModel:
-        from pyspark.ml import PipelineModel, classification
+        from pyspark.ml import classification
 
-        row = spark.read.schema("names string, meta string").json(f"{path}/stack").first()
-        names = json.loads(row["names"])
-        meta = getattr(classification, row["meta"]).load(f"{path}/meta")
-        return cls([PipelineModel.load(f"{path}/base_{n}") for n in names], meta, names)
+        meta = spark.read.schema("meta string").json(f"{path}/stack").first()["meta"]
+        rows = spark.read.parquet(f"{path}/bases").orderBy("base", "shard").collect()
+        bases: dict[int, tuple] = {}
+        for r in rows:
+            bases.setdefault(r["base"], (r["name"], r["kind"], []))[2].append(bytes(r["model"]))
+        return cls(Fitted({WHOLE: [bases[n] for n in sorted(bases)]}), getattr(classification, meta).load(f"{path}/meta"))
 
 
 class StackingClassifier:
-    """Bases -> inner k-fold OOF base scores -> meta model on those scores; bases are then refit
-    on all rows. A stack with label noise flips exactly floor(n * rate) labels in every fit."""
+    """Bases -> inner k-fold OOF base scores -> meta model on those scores; bases are also fitted on all
+    rows. All fits of the bases are one Spark job and all their out-of-fold scores are one pass.
+    A stack with label noise flips exactly floor(n * rate) labels in every fit."""
 
     def __init__(self, spec, k: int = 5):
         self.spec, self.k = spec, k
 
     def fit(self, df: DataFrame, id_col: str = "row_id") -> StackingModel:
-        spec, names = self.spec, [n for n, _ in self.spec.bases]
+        spec = self.spec
         if spec.noise_rate > 0:
             df = label_noise(df, "label", spec.noise_rate, seed=spec.seed, id_col=id_col).withColumn("label", F.col("label").cast("double"))
-        if "balanced" in spec.params.values():
-            df = balanced_weights(df, "label")
         folds = materialize(stratified_folds(df, "label", k=self.k, seed=spec.seed, id_col=id_col, out="__sfold"))
-        n_rows, n_features = folds.count(), len(folds.select("features").first()["features"])
-
-        def fit(job: tuple):
-            fold, (name, kind) = job
-            rows = folds if fold is None else folds.filter(F.col("__sfold") != fold)
-            return spec.base(name, kind, n_features, n_rows).fit(rows)
-
-        jobs = [(fold, base) for fold in [*range(self.k), None] for base in spec.bases]
-        models = _each(fit, jobs)
-        of = {fold: [m for (f, _), m in zip(jobs, models, strict=True) if f == fold] for fold in [*range(self.k), None]}
-        parts = None
-        for fold in range(self.k):
-            valid = folds.filter(F.col("__sfold") == fold).select(id_col, "label", "features")
-            part = _scored(valid, of[fold], names).drop("features")
-            parts = part if parts is None else parts.unionByName(part)
-        meta_in = VectorAssembler(inputCols=[f"s_{n}" for n in names], outputCol="features").transform(parts)
-        meta = spec.meta(n_rows).fit(materialize(meta_in.select("label", "features")))
-        return StackingModel(of[None], meta, names)
+        jobs = [spec.job(name, kind, fold) for fold in [*range(self.k), WHOLE] for name, kind in spec.bases]
+        fitted = fit_jobs(folds, jobs, id_col=id_col)
+        inner = Fitted({fold: fitted.folds[fold] for fold in range(self.k)})
+        scored = with_scores(folds.select("label", "features", "__sfold"), inner, "__sfold").drop("features")
+        meta_in = materialize(_meta_input(scored, inner.names, "features").select("label", "features"))
+        return StackingModel(fitted.only(WHOLE), spec.meta(folds.count()).fit(meta_in))
+
+
+class SoftVoteModel:
+    """Mean probability of some pyspark.ml models, by name."""
+
+    def __init__(self, models: dict):
+        self.models = dict(models)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with p_<name> of every model and their mean ``vote``."""
+        for name, model in self.models.items():
+            df = p1(model.transform(df), f"p_{name}")
+        return df.withColumn("vote", sum(F.col(f"p_{n}") for n in self.models) / float(len(self.models)))
+
+    def save(self, path: str) -> None:
+        from pyspark.sql import SparkSession
+
+        for name, model in self.models.items():
+            model.write().overwrite().save(f"{path}/{name}")
+        rows = [(k, n, type(m).__name__) for k, (n, m) in enumerate(self.models.items())]
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame(rows, "place int, name string, kind string").coalesce(1).write.mode("overwrite").json(f"{path}/vote")
+
+    @classmethod
+    def load(cls, spark, path: str) -> SoftVoteModel:
+        from pyspark.ml import classification
+
+        rows = spark.read.schema("place int, name string, kind string").json(f"{path}/vote").orderBy("place").collect()
+        return cls({r["name"]: getattr(classification, r["kind"]).load(f"{path}/{r['name']}") for r in rows})
+
+
+class BlendModel:
+    """Stacks and their blend weights."""
+
+    def __init__(self, stacks: dict[str, StackingModel], weights: dict[str, float]):
+        self.stacks, self.weights = dict(stacks), dict(weights)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with p_<stack> of every stack and ``p_blend``, their mean by weight."""
+        for name, model in self.stacks.items():
+            df = p1(model.transform(df), f"p_{name}")
+        total = sum(self.weights[n] for n in self.stacks)
+        return df.withColumn("p_blend", sum(F.lit(self.weights[n] / total) * F.col(f"p_{n}") for n in self.stacks))
+
+    def save(self, path: str) -> None:
+        from pyspark.sql import SparkSession
+
+        for name, model in self.stacks.items():
+            model.save(f"{path}/{name}")
+        rows = [(k, n, float(self.weights[n])) for k, n in enumerate(self.stacks)]
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame(rows, "place int, name string, weight double").coalesce(1).write.mode("overwrite").json(f"{path}/blend")
+
+    @classmethod
+    def load(cls, spark, path: str) -> BlendModel:
+        rows = spark.read.schema("place int, name string, weight double").json(f"{path}/blend").orderBy("place").collect()
+        return cls({r["name"]: StackingModel.load(spark, f"{path}/{r['name']}") for r in rows}, {r["name"]: r["weight"] for r in rows})
 
 
 def build_stack(spec, k: int = 5) -> Callable[[], StackingClassifier]:

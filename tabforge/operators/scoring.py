@@ -59,8 +59,17 @@ def profile_dimensions(df: DataFrame, keep: Sequence[str] = ("row_id",)) -> Data
     )
 
 
-def score_batch(model, df: DataFrame, features: Sequence[str], classes: Sequence[str], keep: Sequence[str] = ("row_id",)) -> DataFrame:
-    """Align -> assemble -> predict -> per-class probabilities, confidence, label, tier."""
+def score_batch(
+    model,
+    df: DataFrame,
+    features: Sequence[str],
+    classes: Sequence[str],
+    keep: Sequence[str] = ("row_id",),
+    model_name: str | None = None,
+    model_version: int | None = None,
+) -> DataFrame:
+    """Align -> assemble -> predict -> per-class probabilities, confidence, label, tier and, if they are
+    given, the model's name and version. A blend's or a vote's probability is that of the second class."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
@@ -69,7 +78,8 @@ def score_batch(model, df: DataFrame, features: Sequence[str], classes: Sequence
     aligned = align_features(df, features, keep=keep)
     x = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(aligned)
     scored = model.transform(x)
-    prob = vector_to_array("probability")
+    second = next((c for c in ("p_blend", "vote") if c in scored.columns), None)
+    prob = F.array(1 - F.col(second), F.col(second)) if second else vector_to_array("probability")
     out = scored.select(
         *keep,
         *[prob[i].alias(f"probability_{c.lower()}") for i, c in enumerate(classes)],
@@ -77,4 +87,7 @@ def score_batch(model, df: DataFrame, features: Sequence[str], classes: Sequence
         (F.array_position(prob, F.array_max(prob)) - 1).cast("int").alias("prediction"),
     )
     out = label_decode(out, "prediction", classes, out="predicted_label")
-    return out.withColumn("confidence_tier", confidence_tier(F.col("confidence")))
+    out = out.withColumn("confidence_tier", confidence_tier(F.col("confidence")))
+    if model_name is not None:
+        out = out.withColumn("model_name", F.lit(model_name)).withColumn("model_version", F.lit(model_version).cast("int"))
+    return out

@@ -299,6 +299,7 @@ def queries_sql() -> dict[str, str]:
     out.update(queries_sql_4())
     out["augment_smote"] = smote_sql()
     out.update(queries_sql_5())
+    out.update(queries_sql_models())
     return out
 
 
@@ -570,7 +571,8 @@ SELECT domain, count(*) AS n_before, count(*) FILTER (WHERE domain = 0 OR weight
 FROM cw GROUP BY domain""",
         "model_metadata": with_survey(
             "SELECT 'stack_C' AS name, 'stacking' AS model_type, count(*) AS n_training_rows, "
-            f"[{', '.join(repr(c) for c in contract)}] AS features, ['Extrovert', 'Introvert'] AS classes "
+            f"[{', '.join(repr(c) for c in contract)}] AS features, ['Extrovert', 'Introvert'] AS classes, "
+            """'{"0":"Extrovert","1":"Introvert"}' AS label_map, '{"meta.kind":"logistic"}' AS best_params, ['depthwise', 'symmetric'] AS estimators """
             "FROM survey WHERE origin = 'train'"
         ),
     }
@@ -664,3 +666,15 @@ SELECT 'n_chars' AS feature, round(max(abs(r1 / n1 - r2 / n2)), 6) AS ks_stat, r
         "match_distribution_events": """SELECT event_type, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct
 FROM events GROUP BY event_type""",
     }
+
+
+def queries_sql_models() -> dict[str, str]:
+    """What scores can't change: which rows have one (and their label), and that it is a probability."""
+    test = "FROM survey WHERE origin = 'test'"
+    label = "CAST(CASE WHEN Personality = 'Introvert' THEN 1 ELSE 0 END AS DOUBLE)"
+    return {
+        "oof_rows": with_survey(f"SELECT row_id, {label} AS label, true AS scored FROM survey, (VALUES (1), (2)) AS runs(run) WHERE origin = 'train'"),
+        "soft_vote_rows": with_survey(f"SELECT row_id, true AS scored {test}"),
+        "score_batch_rows": with_survey(f"SELECT row_id, true AS whole, true AS named, true AS scored {test}"),
+        "stack_c_rows": with_survey(f"SELECT row_id, true AS scored {test}"),
+    }

@@ -3,6 +3,8 @@ driver tables (or what Spark derives from them) at ``sf_dir``."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -504,6 +506,41 @@ def q_param_search(spark, sf_dir):
     return param_search(train, lambda d: logistic(d, n_rows=n), space, n_trials=15, k=5, seed=42)
 
 
+def q_pruned_search(spark, sf_dir):
+    from tabforge.models.builders import logistic
+    from tabforge.models.search import halving_search
+
+    train, _ = _model_tables(spark, sf_dir)
+    n = train.count()
+    found = halving_search(train, lambda d: logistic(d, n_rows=n), [("C", 0.1, 10.0, "log")], n_trials=15, k=5, seed=42)
+    return found.select("trial", "C", "folds", "accuracy")
+
+
+def _scored_rows(df, *scores):
+    """What the values of scores can't change: which rows have them, and that they are probabilities."""
+    inside = [F.coalesce(F.col(c).between(0, 1), F.lit(False)) for c in scores]
+    return df.withColumn("scored", functools.reduce(lambda a, b: a & b, inside)).drop(*scores)
+
+
+def q_oof_rows(spark, sf_dir):
+    return _scored_rows(q_oof_scores(spark, sf_dir).union(q_oof_scores_noisy(spark, sf_dir)), "p")
+
+
+def q_soft_vote_rows(spark, sf_dir):
+    return _scored_rows(q_soft_vote(spark, sf_dir).drop("vote_class"), "p_lr", "p_rf", "p_gbt", "vote")
+
+
+def q_score_batch_rows(spark, sf_dir):
+    out = q_score_batch(spark, sf_dir)
+    whole = F.abs(F.col("probability_extrovert") + F.col("probability_introvert") - 1) < 1e-9
+    named = F.col("predicted_label") == F.when(F.col("probability_introvert") > F.col("probability_extrovert"), "Introvert").otherwise("Extrovert")
+    return _scored_rows(out.select("row_id", whole.alias("whole"), named.alias("named"), "confidence"), "confidence")
+
+
+def q_stack_c_rows(spark, sf_dir):
+    return _scored_rows(q_stack_c(spark, sf_dir), "p")
+
+
 def q_soft_vote(spark, sf_dir):
     from tabforge.plans.train import soft_vote_ensemble
 
@@ -578,11 +615,14 @@ def q_align_features(spark, sf_dir):
 
 
 def q_model_metadata(spark, sf_dir):
+    from tabforge.models.builders import STACK_BASES
     from tabforge.operators.scoring import CONTRACT
     from tabforge.sources.io import model_metadata
 
     n = _survey(spark, sf_dir).filter(F.col("origin") == "train").count()
-    return model_metadata(spark, "stack_C", "stacking", n, CONTRACT, CLASSES).drop("label_map")
+    bases = [name for name, _ in STACK_BASES["C"]]
+    meta = model_metadata(spark, "stack_C", "stacking", n, CONTRACT, CLASSES, {"meta.kind": "logistic"}, bases)
+    return meta.withColumns({c: F.to_json(c) for c in ("label_map", "best_params")})
 
 
 def _serving_model(spark, sf_dir):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.models.builders import logistic, stack_spec
-from tabforge.models.stacking import assemble, build_stack, oof_scores, p1
+from tabforge.models.stacking import BlendModel, SoftVoteModel, assemble, build_stack, oof_scores
 from tabforge.operators.pseudo import pseudo_label
 from tabforge.session import materialize
 
@@ -43,6 +43,19 @@ def stack_oof(
     return oof, test_scores
 
 
+def fit_blend(
+    train: DataFrame,
+    stacks: Sequence[str],
+    weights: Mapping[str, float],
+    inner_k: int = 5,
+    budget: Mapping | None = None,
+    params: Mapping[str, Mapping] | None = None,
+) -> BlendModel:
+    """Every stack fitted on all training rows, to be blended with ``weights``."""
+    fitted = {s: build_stack(stack_spec(s, (params or {}).get(s), budget), inner_k)().fit(train) for s in stacks}
+    return BlendModel(fitted, {s: weights[s] for s in stacks})
+
+
 def refit_predict(
     train: DataFrame,
     test: DataFrame,
@@ -55,17 +68,10 @@ def refit_predict(
 ) -> DataFrame:
     """Fit every stack on all training rows, blend test scores with ``weights``
     (normalised), threshold at 0.5 and decode the label."""
-    scores = test.select("row_id", "features")
-    for s in stacks:
-        model = build_stack(stack_spec(s, (params or {}).get(s), budget), inner_k)().fit(train)
-        scores = p1(model.transform(scores), f"p_{s}")
-    tot = sum(weights[s] for s in stacks)
-    blended = None
-    for s in stacks:
-        term = F.lit(weights[s] / tot) * F.col(f"p_{s}")
-        blended = term if blended is None else blended + term
+    model = fit_blend(train, stacks, weights, inner_k, budget, params)
+    scores = model.transform(test.select("row_id", "features"))
     names = F.array(*[F.lit(c) for c in classes])
-    return scores.select("row_id", blended.alias("p_blend")).select(
+    return scores.select(
         "row_id", "p_blend", F.element_at(names, (F.col("p_blend") >= 0.5).cast("int") + 1).alias("Personality")
     )
 
@@ -109,18 +115,20 @@ def end_to_end(
     return self_train(train, test, stacks, weights, classes, **fit)
 
 
-def soft_vote_ensemble(train: DataFrame, test: DataFrame, seed: int = 42, trees: int = 100) -> DataFrame:
-    """Average of logistic, forest and boosted-tree probabilities."""
+def fit_soft_vote(train: DataFrame, seed: int = 42, trees: int = 100) -> SoftVoteModel:
+    """Logistic, forest and boosted-tree models whose probabilities are averaged."""
     models = {
         "lr": LogisticRegression(featuresCol="features", labelCol="label", maxIter=100),
         "rf": RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, seed=seed),
         "gbt": GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, seed=seed),
     }
-    out = test.select("row_id", "features")
-    for name, est in models.items():
-        out = p1(est.fit(train).transform(out), f"p_{name}")
-    vote = (F.col("p_lr") + F.col("p_rf") + F.col("p_gbt")) / 3.0
-    return out.select("row_id", "p_lr", "p_rf", "p_gbt", vote.alias("vote"), (vote >= 0.5).cast("int").alias("vote_class"))
+    return SoftVoteModel({name: est.fit(train) for name, est in models.items()})
+
+
+def soft_vote_ensemble(train: DataFrame, test: DataFrame, seed: int = 42, trees: int = 100) -> DataFrame:
+    """Average of logistic, forest and boosted-tree probabilities."""
+    out = fit_soft_vote(train, seed, trees).transform(test.select("row_id", "features"))
+    return out.select("row_id", "p_lr", "p_rf", "p_gbt", "vote", (F.col("vote") >= 0.5).cast("int").alias("vote_class"))
 
 
 def domain_weights(union: DataFrame, numeric: Sequence[str], categorical: Sequence[str], domain: str = "domain", threshold: float = 0.2, filter_low: bool = True) -> DataFrame:

@@ -82,17 +82,59 @@ def load_params(spark: SparkSession, name: str, params_dir: str) -> dict | None:
     return None if row is None else json.loads(row["params"])
 
 
-def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
+def model_version(spark: SparkSession, path: str) -> int | None:
+    """The latest version under ``path`` whose manifest is written, or None."""
+    if not path_exists(spark, _join(path, "manifest")):
+        return None
+    return spark.read.schema("kind string, version int").json(_join(path, "manifest")).agg(F.max("version")).first()[0]
 
 
-def load_model(path: str):
-    from pyspark.ml import PipelineModel
+def save_model(model, path: str) -> int:
+    """Save a pyspark.ml pipeline, a stack, a soft vote or a blend as a new version under ``path``.
+
+    The model's files come first and its manifest, which readers follow, last: a reader never sees half
+    a model, and a writer that lost a race for a version gets an error. Returns the version.
+    """
+    spark = SparkSession.getActiveSession()
+    version = (model_version(spark, path) or 0) + 1
+    folder = _join(path, f"v{version}")
+    if hasattr(model, "write"):
+        model.write().overwrite().save(folder)
+    else:
+        model.save(folder)
+    row = spark.createDataFrame([(type(model).__name__,)], "kind string")
+    row.coalesce(1).write.mode("error").json(_join(path, f"manifest/version={version}"))
+    return version
 
-    return PipelineModel.load(path)
 
+def load_model(path: str, version: int | None = None):
+    """The model of ``version`` (the latest by default) under ``path``."""
+    from pyspark.ml import PipelineModel
 
-def model_metadata(spark: SparkSession, name: str, model_type: str, n_rows: int, features: Sequence[str], classes: Sequence[str]) -> DataFrame:
+    from tabforge.models.stacking import BlendModel, SoftVoteModel, StackingModel
+
+    spark = SparkSession.getActiveSession()
+    latest = model_version(spark, path)
+    if latest is None:
+        raise FileNotFoundError(f"no saved model under {path}")
+    version = version or latest
+    kind = spark.read.schema("kind string").json(_join(path, f"manifest/version={version}")).first()["kind"]
+    own = {m.__name__: m for m in (BlendModel, SoftVoteModel, StackingModel)}
+    folder = _join(path, f"v{version}")
+    return own[kind].load(spark, folder) if kind in own else PipelineModel.load(folder)
+
+
+def model_metadata(
+    spark: SparkSession,
+    name: str,
+    model_type: str,
+    n_rows: int,
+    features: Sequence[str],
+    classes: Sequence[str],
+    best_params: dict | None = None,
+    estimators: Sequence[str] = (),
+) -> DataFrame:
+    """One row that describes a model; parameter values are strings."""
     schema = T.StructType(
         [
             T.StructField("name", T.StringType()),
@@ -101,9 +143,12 @@ def model_metadata(spark: SparkSession, name: str, model_type: str, n_rows: int,
             T.StructField("features", T.ArrayType(T.StringType())),
             T.StructField("classes", T.ArrayType(T.StringType())),
             T.StructField("label_map", T.MapType(T.StringType(), T.StringType())),
+            T.StructField("best_params", T.MapType(T.StringType(), T.StringType())),
+            T.StructField("estimators", T.ArrayType(T.StringType())),
         ]
     )
-    row = (name, model_type, int(n_rows), list(features), list(classes), {str(i): c for i, c in enumerate(classes)})
+    params = {k: str(v) for k, v in (best_params or {}).items()}
+    row = (name, model_type, int(n_rows), list(features), list(classes), {str(i): c for i, c in enumerate(classes)}, params, list(estimators))
     return spark.createDataFrame([row], schema)
 
 
@@ -122,10 +167,10 @@ def append_prediction_log(scored: DataFrame, path: str, inputs: Sequence[str], r
 
 
 def resolve_model(spark: SparkSession, models_dir: str, name: str = "ensemble") -> str:
-    """Model lookup with ordered fallbacks: the name, then stack_A..stack_F."""
+    """Model lookup with ordered fallbacks: the name, then stack_A..stack_F; only models with a manifest count."""
     candidates = [name] + [f"stack_{s}" for s in "ABCDEF"]
     for c in candidates:
         p = _join(models_dir, c)
-        if path_exists(spark, p):
+        if model_version(spark, p) is not None:
             return p
     raise FileNotFoundError(f"no model under {models_dir} (tried {candidates})")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabforge.models.builders import STACK_SPACES, capped, default_params, stack_spec
+from tabforge.models.builders import STACK_SPACES, active, capped, default_params, stack_spec
 from tabforge.models.search import param_draws
 from tabforge.models.stacking import StackingModel, build_stack, p1
 from tabforge.plans import queries as q
@@ -20,15 +20,20 @@ def tables(spark):
 
 @pytest.mark.parametrize("name", "ABCDEF")
 def test_draws_stay_in_their_space(name):
-    for draw in param_draws(STACK_SPACES[name], 20, seed=1):
-        for param, lo, hi, kind in STACK_SPACES[name]:
-            assert draw[param] in lo if kind == "choice" else lo <= draw[param] <= hi * (1 + 1e-12)
+    for draw in param_draws(STACK_SPACES[name], 40, seed=1):
+        names = set()
+        for row in STACK_SPACES[name]:
+            param, lo, hi, kind = row[:4]
+            if active(row, draw):
+                names.add(param)
+                assert draw[param] in lo if kind == "choice" else lo - 1e-12 * abs(lo) <= draw[param] <= hi * (1 + 1e-12)
+        assert set(draw) == names  # no inactive parameter
+    assert set(default_params(name)) == {row[0] for row in STACK_SPACES[name] if active(row, default_params(name))}
 
 
 def test_stacks_differ():
     assert default_params("A")["depthwise.maxIter"] == 750 and default_params("B")["depthwise.maxIter"] == 900
     assert stack_spec("F").noise_rate == 0.02 and stack_spec("A").noise_rate == 0
-    assert stack_spec("D").scaled and stack_spec("E").scaled and not stack_spec("C").scaled
     assert capped({"a.maxIter": 9, "b.x": 9}, {"maxIter": 3}) == {"a.maxIter": 3, "b.x": 9}
 
 
@@ -90,7 +95,6 @@ def test_registered_keys_fit_whole_stacks(monkeypatch, key):
 
     monkeypatch.setattr("tabforge.models.stacking.build_stack", build)
     monkeypatch.setattr("tabforge.plans.train.build_stack", build)
-    monkeypatch.setattr("tabforge.plans.train.p1", lambda df, out: df)
     monkeypatch.setattr(q, "_model_tables", lambda spark, sf: (Rows(), Rows()))
     with pytest.raises(Whole):
         getattr(q, f"q_{key}")(None, SF)
