@@ -3,7 +3,8 @@
 A double's bits, read as a whole number (negated for negative values), are in the order of the
 values. Each pass counts the values of the intervals still open by the next BITS bits of these
 numbers and goes on inside the buckets that hold the wanted ranks, until a bucket holds a single
-value: 7 passes at most, whatever the values are. A pass is one plain aggregation: tasks keep about
+value. The first LINEAR passes cut the intervals into equal parts instead, which needs no bits and is
+often enough; so there are LINEAR + 7 passes at most, whatever the values are. A pass is one plain aggregation: tasks keep about
 intervals x 2^BITS counts however many distinct values there are, and no task ever sees them all.
 """
 
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 10
+BITS, LINEAR = 10, 2
 
 
 @dataclass
@@ -95,7 +96,9 @@ def exact_quantiles(df: DataFrame, wanted: Sequence[tuple[Column, Sequence[float
         if inside:
             open_.append(_Open(k, _as_number(lo), _as_number(hi), 0, inside))
     lows = [row[6 * k + 1] for k in range(len(wanted))]
-    numbers = _numbers(df, [f"v{k}" for k in range(len(wanted))])
+    names = [f"v{k}" for k in range(len(wanted))]
+    finite = df.select(*(F.when(_finite(F.col(c)), F.col(c)).alias(c) for c in names))
+    numbers, passes = _numbers(df, names), 0
     while open_:
         left = []
         for x in open_:
@@ -103,7 +106,8 @@ def exact_quantiles(df: DataFrame, wanted: Sequence[tuple[Column, Sequence[float
                 found[x.name].update({r + lows[x.name]: _as_value(x.lo) for r in x.ranks})
             else:
                 left.append(x)
-        open_ = _refined(numbers, left) if left else []
+        open_ = _refined(finite if passes < LINEAR else numbers, left, passes < LINEAR) if left else []
+        passes += 1
     return [[_between(found[k], p, row[6 * k]) for p in probs] for k, (_, probs) in enumerate(wanted)]
 
 
@@ -115,13 +119,20 @@ def _between(known: dict[int, float], p: float, n: int) -> float | None:
     return known[a] if a == b or known[a] == known[b] else (b - at) * known[a] + (at - a) * known[b]
 
 
-def _refined(df: DataFrame, open_: list[_Open]) -> list[_Open]:
+def _refined(df: DataFrame, open_: list[_Open], linear: bool) -> list[_Open]:
     parts = []
     for i, x in enumerate(open_):
         v = F.col(f"v{x.name}")
-        shift = max(0, (x.hi - x.lo).bit_length() - BITS)
-        bucket = (F.call_function("shiftright", v, F.lit(shift)) - F.lit(x.lo >> shift)).cast("int")
-        inside = v.between(F.lit(x.lo), F.lit(x.hi))
+        if linear:
+            lo, hi = _as_value(x.lo), _as_value(x.hi)
+            # a quarter of the values keeps the width finite
+            share = (v / 4 - lo / 4) / F.lit(hi / 4 - lo / 4) if hi / 4 > lo / 4 else (v > lo).cast("double")
+            bucket = F.least(F.floor(share * (1 << BITS)), F.lit((1 << BITS) - 1)).cast("int")
+        else:
+            lo, hi = x.lo, x.hi
+            shift = max(0, (hi - lo).bit_length() - BITS)
+            bucket = (F.call_function("shiftright", v, F.lit(shift)) - F.lit(lo >> shift)).cast("int")
+        inside = v.between(F.lit(lo), F.lit(hi))
         parts.append(F.when(inside, F.struct(F.lit(i).alias("i"), bucket.alias("bucket"), v.alias("v"))))
     rows = df.select(F.inline(F.array_compact(F.array(*parts))))
     counts = rows.groupBy("i", "bucket").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -132,5 +143,6 @@ def _refined(df: DataFrame, open_: list[_Open]) -> list[_Open]:
         below[r["i"]] = start + r["n"]
         ranks = [k for k in x.ranks if start <= k < start + r["n"]]
         if ranks:
-            out.append(_Open(x.name, r["lo"], r["hi"], start, ranks))
+            ends = (_as_number(r["lo"]), _as_number(r["hi"])) if linear else (r["lo"], r["hi"])
+            out.append(_Open(x.name, *ends, start, ranks))
     return out
