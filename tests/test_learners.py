@@ -202,3 +202,46 @@ def test_pruned_search_finds_the_same_winner_with_fewer_fits(spark):
     assert sum(r["folds"] for r in pruned) < sum(r["folds"] for r in whole) == 18
     done = [r for r in pruned if r["folds"] == 3]
     assert best(whole) == best(done)
+
+
+def test_histograms_of_a_shard_need_little_memory():
+    """A feature at a time: the room of one column, not of rows x features; sums as one bincount a cell has them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, k, 20_000) for k in (30, 9, *[2] * 18)]).astype(float)
+    b, slot, g, h = learners.Binned(x), rng.integers(0, 3, 20_000), rng.normal(size=20_000), rng.random(20_000)
+    for some in (np.arange(20_000), np.flatnonzero(g > 0), np.flatnonzero(g > 2)):
+        tracemalloc.start()
+        got = b.histograms(some, slot[some], 3, g, h)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 8 * max(len(some) * 8, 8 * x.shape[1] * learners.FEW)
+        for sums, v in zip(got, (g, h), strict=True):
+            for f, (start, end) in enumerate(zip(b.starts, b.ends, strict=True)):
+                key = slot[some] * (end - start) + b.codes[some, f] - start
+                assert (sums[:, start:end].ravel() == np.bincount(key, v[some], 3 * (end - start))).all()
+
+
+def test_trees_score_as_they_ask():
+    """Walks by numbered questions, by one question a level and by cuts end in the leaves of a plain walk."""
+    x, y = rows(3000)
+    x[::50, 3] = np.nan
+    w = np.ones(len(y))
+    for kind, params in (
+        ("boosted", BOOST),
+        ("boosted", BOOST | {"growth": "leafwise", "leaves": 15}),
+        ("boosted", BOOST | {"growth": "symmetric"}),
+        ("extra", {"numTrees": 20, "maxDepth": 12, "minInstancesPerNode": 1, "featureSubsetStrategy": "sqrt"}),
+    ):
+        m = learners.LEARNERS[kind][0](np.nan_to_num(x), y, w, params, 3)
+        want = np.zeros(len(x))
+        for root, depth in zip(m["roots"], m["depths"], strict=True):
+            node = np.full(len(x), root)
+            for _ in range(depth):
+                node = m["child"][node] + (x[np.arange(len(x)), m["feature"][node]] > m["cut"][node])
+            want += m["value"][node]
+        made = learners.ready(m)
+        assert ("ask" in made) == (kind == "boosted") and bool(made["level"]) == (params.get("growth") == "symmetric")
+        assert np.allclose(learners.tree_sums(m, x), want, rtol=1e-12, atol=1e-12)
+        assert (learners.tree_sums(made, x) == learners.tree_sums(m, x)).all()
