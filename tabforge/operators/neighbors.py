@@ -3,7 +3,7 @@
 Neighbours are searched among *distinct* feature vectors (with their row
 multiplicities), so repeated rows never pair up. Vectors sit in a uniform
 grid over the numeric features; a query looks at the 3^d cells around its
-own. Every vector within distance h of the query lies in those cells, so if
+own (those that hold vectors). Every vector within distance h of the query lies in those cells, so if
 the rows found within distance h number at least k, the k nearest are exact;
 otherwise the query moves to the next level with h doubled. The starting
 cell size is halved until no cell holds more than ``max_cell`` distinct
@@ -80,16 +80,14 @@ def knn_vectors(
     parts = []
     for level in range(max_levels):
         lv = h * (2**level)
-        qcells = unresolved.withColumn("__base", _cell([f"q_{c}" for c in grid], lv)).select(
-            "*", F.explode(offs).alias("__off")
-        ).withColumn("cell", F.zip_with("__base", "__off", lambda a, b: a + b)).drop("__base", "__off")
+        qcells = unresolved.withColumn("__base", _cell([f"q_{c}" for c in grid], lv))
         vcells = v.withColumn("cell", _cell([f"v_{c}" for c in grid], lv))
-        if level > 0:
-            # later levels serve only the few unresolved queries: keep just the
-            # vectors in cells they touch (size-checked broadcast semi-join)
-            qkeys = qcells.select("cell").distinct()
-            vcells = vcells.join(qkeys, "cell", "left_semi")
-        cand = qcells.join(vcells, "cell").drop("cell")
+        # what is written out 3^g times are the queries' different cells, never the queries; of these pairs those
+        # with vectors are left. Spark's size of an exploded table is that of its input, so it must not be broadcast.
+        near = qcells.select("__base").distinct().select("__base", F.explode(offs).alias("__off"))
+        near = near.select("__base", F.zip_with("__base", "__off", lambda a, b: a + b).alias("cell"))
+        near = near.hint("merge").join(vcells.select("cell").distinct().hint("merge"), "cell")
+        cand = qcells.hint("merge").join(near.hint("merge"), "__base").hint("merge").join(vcells.hint("merge"), "cell").drop("cell", "__base")
         cand = cand.select(
             "qvid", "vid", _dist2(numeric, categorical, penalty).alias("dist2"),
             (F.col("mult") - F.when(F.col("vid") == F.col("qvid"), 1).otherwise(0)).alias("m_eff"),

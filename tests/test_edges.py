@@ -60,3 +60,19 @@ def test_ratios_decide_unrounded(spark):
     df = spark.range(n).select(F.when(F.col("id") < 1_000_000, "a").otherwise("b").alias("y"))
     chars = profile.data_characteristics(df, "y", ["x"], [])
     assert chars.first()["is_imbalanced"] and chars.first()["class_balance_ratio"] < 0.5
+
+
+def test_neighbour_search_never_broadcasts_the_cells_around(spark, monkeypatch):
+    """Spark takes an exploded table to be as small as its input: it must meet the others by a shuffle."""
+    from tabforge.operators import neighbors
+
+    plans, real = [], neighbors.materialize
+    monkeypatch.setattr(neighbors, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    points = [(k, float(k % 7), float(k // 7), 1) for k in range(40)]
+    v = spark.createDataFrame(points, "vid long, a double, b double, mult int")
+    got = neighbors.knn_vectors(v, v.select(F.col("vid").alias("qvid"), "a", "b"), ["a", "b"], [], 3).collect()
+    searches = [p for p in plans if "explode" in p]
+    assert searches and not any("Broadcast" in p for p in searches)
+    for q, a, b, _ in points:
+        want = sorted(((a - x) ** 2 + (b - y) ** 2, k) for k, x, y, _ in points if k != q)[:3]
+        assert sorted((r["dist2"], r["vid"]) for r in got if r["qvid"] == q) == want
