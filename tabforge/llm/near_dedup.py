@@ -327,7 +327,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = solid.select("id", "same").join(nodes, "same")
     twice = own.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     joined = own.join(twice, "id").where("node <> a").select("a", F.col("node").alias("b"))
-    roots = connected_components(links.union(more).union(joined))
+    # the stars found so far stand for their links
+    roots = connected_components(roots.toDF("a", "b").union(more).union(joined))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("same", "component_id")

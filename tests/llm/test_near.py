@@ -176,3 +176,15 @@ def test_vectors_of_any_magnitude(spark):
     df = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df).collect()}
     assert got == {**{k: (4, 1) for k in range(1, 6)}, 6: (0, 6), 7: (0, 7)}
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Links that are stars already are done; others end as stars around their smallest node."""
+    from tabforge.llm import components
+
+    writes, real = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df: writes.append(1) or real(df))
+    made = lambda pairs: {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert made([(3, 1), (1, 2), (7, 5), (4, 4)]) == {1: 1, 2: 1, 3: 1, 5: 5, 7: 5} and len(writes) == 1
+    assert made([(k, k + 1) for k in range(20)]) == dict.fromkeys(range(21), 0)
+    assert made([(3, 2), (3, 1), (9, 8)]) == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
