@@ -104,6 +104,16 @@ class Encoder:
             i = after[i]
         return out
 
+    @property
+    def chunks(self) -> regex.Pattern:
+        """Finds the pre-tokens of a text."""
+        return self.pattern
+
+    def chunk(self, chunk: str) -> tuple[str, int]:
+        """Decimal ids of one pre-token, joined by commas, and their number."""
+        ids = self.piece(chunk.encode())
+        return ",".join(map(str, ids)), len(ids)
+
     def ids(self, text: str) -> list[int]:
         out: list[int] = []
         for match in self.pattern.findall(text):

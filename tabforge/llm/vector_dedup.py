@@ -182,7 +182,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     half = F.floor(F.log2("large") / 2)
     scaled = F.transform("vec", lambda v: v * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - F.floor(F.log2("large"))))
     rows = rows.withColumn("large", F.when(fit, large))
-    rows = rows.withColumn("vec", F.when(F.col("large").between(*PLAIN), F.col("vec")).otherwise(scaled)).drop("large")
+    rows = rows.withColumn("vec", F.when(F.col("large").between(*PLAIN), F.col("vec")).when(F.col("large").isNotNull(), scaled)).drop("large")
     fit = F.col("vec").isNotNull()
     rows = materialize(rows.withColumn("vec", F.when(fit, F.col("vec"))).withColumn("label", F.when(fit, F.col("label"))))
     classes = rows.where("vec is not null").groupBy("label", "vec").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
