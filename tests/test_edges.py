@@ -76,3 +76,31 @@ def test_neighbour_search_never_broadcasts_the_cells_around(spark, monkeypatch):
     for q, a, b, _ in points:
         want = sorted(((a - x) ** 2 + (b - y) ** 2, k) for k, x, y, _ in points if k != q)[:3]
         assert sorted((r["dist2"], r["vid"]) for r in got if r["qvid"] == q) == want
+
+
+def test_label_noise_moves_no_row(spark):
+    """The flipped rows are those of the least ranks; without ties at the cut no row is shuffled."""
+    from pyspark.sql import Window
+
+    def ranks(df, n):
+        # rows of one id share hash and label, so how many of them are flipped is all that ranks decide
+        w = Window.orderBy(F.md5(F.concat(F.col("row_id").cast("string"), F.lit(":noise3"))), "row_id")
+        y = F.when(F.row_number().over(w) <= n, 1 - F.col("y")).otherwise(F.col("y"))
+        return sorted(map(str, df.select("row_id", y.alias("y")).collect()))
+
+    ids = list(range(500))
+    for some, rate in ((ids, 0.1), (ids, 0.002), (ids, 1.0), (ids, 0.0), ([None, None, *ids], 0.1), ([None] * 100 + ids[:100], 0.2), (ids * 2, 0.0511), ([7] * 50, 0.5)):
+        df = spark.createDataFrame([(i, (i or 0) % 2) for i in some], "row_id long, y int")
+        got = folds.label_noise(df, "y", rate, seed=3)
+        assert sorted(map(str, got.select("row_id", "y").collect())) == ranks(df, int(len(some) * rate))
+    plan = folds.label_noise(spark.range(5000).selectExpr("id as row_id", "cast(id % 2 as int) as y"), "y", 0.02)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_nth_hash_refines_to_few_rows(spark):
+    from tabforge.functions.rng import hash_hex, nth_hash
+
+    df = spark.range(3000)
+    want = sorted(r["h"] for r in df.select(hash_hex("id", "x").alias("h")).collect())
+    assert [nth_hash(df, "id", "x", n, digits=1, few=5) for n in (1, 2, 1500, 3000)] == [want[0], want[1], want[1499], want[2999]]
+    assert nth_hash(df, "id", "x", 0) is None and nth_hash(df, "id", "x", 3001) is None
