@@ -244,9 +244,18 @@ class Pieces:
         return bytes(out + _utf8(held))
 
     def mark(self, ids: np.ndarray) -> int:
-        """Bytes of white space that decoding takes from the start of a text of these ids (none of them a byte)."""
+        """Bytes of white space that decoding takes from the start of a text of these ids."""
         return int(len(ids) > 0 and (self.prefix or self.trim) and self.pieces[ids[0]][0].startswith(SPACE))
 
+    def decoded(self, ids: np.ndarray, data: memoryview) -> bytes | memoryview:
+        """Text of a document's ids, ``data`` being their surfaces put together.
+
+        A run of bytes lies between whole characters: all runs are characters just where ``data`` is valid.
+        """
+        if self.is_byte[ids].any() and (self.trim or not _valid(data)):
+            return self.surface(ids.tolist())
+        return data[self.mark(ids) :]
+
     def document(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Like ``encode``; by chunks where that is the same."""
         column = pa.array([text])
@@ -380,6 +389,14 @@ class Pieces:
         return np.where((self.pair_key[at] == key) & (left >= 0) & (right >= 0), at, -1).astype(np.int32)
 
 
+def _valid(data: memoryview) -> bool:
+    try:
+        str(data, "utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def _utf8(data: bytearray) -> bytes:
     """Valid characters as they are; each byte that belongs to none becomes U+FFFD."""
     out, at = [], 0
@@ -427,9 +444,8 @@ def encode_documents(
             decimal, surface = joined(pieces.decimals, ids), joined(pieces.surfaces, ids)
             rows = []
             for doc, a, b in zip(docs, [0, *ends], ends, strict=False):
-                decoded = pieces.surface(ids[a:b].tolist()) if pieces.is_byte[ids[a:b]].any() else surface(a, b)[pieces.mark(ids[a:b]) :]
                 row = {"id": doc, "n_tokens": b - a, "ids_sha256": hashlib.sha256(decimal(a, b)[:-1]).hexdigest()}
-                row["decoded_sha256"] = hashlib.sha256(decoded).hexdigest()
+                row["decoded_sha256"] = hashlib.sha256(pieces.decoded(ids[a:b], surface(a, b))).hexdigest()
                 row["spans_crc32"] = zlib.crc32(spans[a:b].astype("<i8").tobytes())
                 if with_pieces:
                     row["ids"], row["spans"] = ids[a:b].tolist(), [{"begin": x, "end": y} for x, y in spans[a:b].tolist()]

@@ -66,6 +66,21 @@ def test_any_ids_decode_as_in_the_library():
         assert own.surface(ids).decode() == library.decode(ids)
 
 
+def test_texts_with_bytes_decode_together(monkeypatch):
+    """Ids that are bytes don't make a document's decoding go id by id; bytes that are no characters do."""
+    own, library = Pieces(model()), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    whole = [library.encode(t) for t in ["a\nb", "\n", " \x00", "\U0001f600 the\u3000", "\r\n\r\n \u33cd", *odd_texts(6, 200)]]
+    broken = [[own.byte_id[b] for b in "\u3000".encode()[:2]] + whole[0], whole[0] + [own.byte_id[0xE3]], [own.byte_id[0xE3], *whole[0], own.byte_id[0x80]]]
+    called, real = [], own.surface
+    monkeypatch.setattr(own, "surface", lambda ids, start=True: called.append(ids) or real(ids, start))
+    for some, slow in ((whole, []), (broken, broken)):
+        called.clear()
+        for ids in (np.array(x, np.int32) for x in some):
+            surface = piece_bpe.joined(own.surfaces, ids)
+            assert bytes(own.decoded(ids, surface(0, len(ids)))).decode() == library.decode(ids.tolist())
+        assert called == slow
+
+
 def test_long_pieces_of_text_without_white_space():
     library, own = sentencepiece.SentencePieceProcessor(model_file=PATH), Pieces(model())
     rnd = random.Random(3)
