@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabforge.models.builders import active
 from tabforge.operators.blend import py_uniform
 from tabforge.operators.folds import stratified_folds
-from tabforge.models.stacking import each, oof_scores, p1
+from tabforge.models.stacking import each, fit_fold, oof_scores, p1
 from tabforge.session import materialize
 
 # A space is a list of (param, lo, hi, kind[, when]) with kind in int | float | log | choice (for "choice",
@@ -56,6 +56,16 @@ def cv_objective(df: DataFrame, builder: Callable[[], object], k: int = 5, seed:
     return float(acc.agg(F.avg("a")).first()[0])
 
 
+def _mean_accuracy(parts: Sequence) -> float:
+    """Mean over folds of hits / rows; a fold's rows may come in parts, and folds without any don't count."""
+    folds: dict[int, list] = {}
+    for r in parts:
+        if r["rows"]:
+            at = folds.setdefault(r["__in"], [0.0, 0])
+            at[0], at[1] = at[0] + r["hits"], at[1] + r["rows"]
+    return math.fsum(hits / rows for hits, rows in folds.values()) / len(folds)
+
+
 def param_search(
     df: DataFrame,
     make: Callable[[dict], object],
@@ -69,12 +79,25 @@ def param_search(
     """Evaluate each draw by k-fold accuracy; returns (trial, params..., accuracy).
 
     The folds are computed once and the fold-tagged table is written to the
-    checkpoint folder, so every trial reads the same fold assignment.
+    checkpoint folder, so every trial reads the same fold assignment. A fold's model
+    is dropped as soon as its rows are counted, and the folds of all trials are one queue.
     """
     spark = df.sparkSession
     folded = materialize(stratified_folds(df, "label", k=k, seed=seed, out="fold"))
     draws = param_draws(space, n_trials, seed, warm_start)
-    scores = [cv_objective(folded, (lambda d=d: make(d)), k=k, seed=seed, noise_rate=noise_rate) for d in draws]
+    # as in ``cv_objective``, a score counts for the folds of the rows that have its id: joined once for all trials
+    own = folded.select("row_id", F.col("fold").alias("__in"))
+    scored = materialize(folded.select("row_id", "label", "features", "fold").join(own, "row_id"))
+
+    def right(job: tuple[int, int]) -> list:
+        trial, i = job
+        model = fit_fold(folded, lambda: make(draws[trial]), i, seed, noise_rate=noise_rate)
+        p = p1(model.transform(scored.where(F.col("fold") == i)), "__p")
+        hit = ((F.col("__p") >= 0.5).cast("double") == F.col("label")).cast("double")
+        return p.groupBy("__in").agg(F.sum(hit).alias("hits"), F.count(hit).alias("rows")).collect()
+
+    counted = each(right, [(t, i) for t in range(len(draws)) for i in range(k)])
+    scores = [_mean_accuracy([r for part in counted[t * k : (t + 1) * k] for r in part]) for t in range(len(draws))]
     frame = draws_frame(spark, draws)
     acc = spark.createDataFrame(list(enumerate(scores)), "trial int, accuracy double")
     return frame.join(acc, "trial")

@@ -100,3 +100,28 @@ def test_materialize_writes_under_session_checkpoint_dir(spark):
     files = df.inputFiles()
     assert files and all(f.startswith(root.rstrip("/")) or root.split(":", 1)[-1] in f for f in files)
     assert df.count() == 10
+
+
+def test_search_queues_the_folds_of_all_trials(spark, monkeypatch):
+    """Scores are those of one trial after the other, rows of equal or no id too; no trial waits for another's folds."""
+    from pyspark.ml.linalg import Vectors
+
+    from tabforge.models import search
+    from tabforge.models.builders import logistic
+    from tabforge.operators.folds import stratified_folds
+
+    ids = [*range(60), *range(20), None, None]
+    rows = [(i, float((n * 7 + n // 9) % 10 < 4), Vectors.dense([float(n % 10), float(n % 7)])) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, ["row_id", "label", "features"])
+    asked, real = [], search.each
+    monkeypatch.setattr(search, "each", lambda work, items: asked.append(list(items)) or real(work, items))
+    space = [("C", 0.01, 10.0, "log")]
+    for noise in (0.0, 0.1):
+        asked.clear()
+        found = search.param_search(df, lambda d: logistic(d, n_rows=len(ids)), space, n_trials=2, k=3, noise_rate=noise)
+        got = [r["accuracy"] for r in found.orderBy("trial").collect()]
+        assert [len(a) for a in asked] == [6]
+        folded = stratified_folds(df, "label", k=3, seed=42, out="fold").cache()
+        draws = param_draws(space, 2, 42)
+        want = [search.cv_objective(folded, lambda d=d: logistic(d, n_rows=len(ids)), k=3, seed=42, noise_rate=noise) for d in draws]
+        assert got == pytest.approx(want, abs=1e-12)
