@@ -2,7 +2,8 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml import Estimator
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import functions as F
 
 from tabforge.models import bounded, learners
@@ -204,6 +205,34 @@ def test_pruned_search_finds_the_same_winner_with_fewer_fits(spark):
     assert best(whole) == best(done)
 
 
+def _answers(spark, copies: int = 20):
+    """60 different answers, each some ``copies`` times; a copy in ten has the other label."""
+    rng = np.random.default_rng(4)
+    some = [(float(a), float(b), float(a + 2 * b + rng.normal() > 7)) for a in range(10) for b in range(6)]
+    table = [(n * len(some) + k, a, b, y if n % 10 else 1 - y) for k, (a, b, y) in enumerate(some) for n in range(copies + k % 3)]
+    return assemble(spark.createDataFrame(table, "row_id long, a double, b double, label double"), ["a", "b"]).select("row_id", "label", "features")
+
+
+@pytest.fixture
+def fitted_on(monkeypatch):
+    """(kind of model, rows it was fitted on) of every fit."""
+    seen, fit = [], Estimator.fit
+    monkeypatch.setattr(Estimator, "fit", lambda self, df, *a: seen.append((type(self).__name__, df.count())) or fit(self, df, *a))
+    return seen
+
+
+def test_soft_vote_iterates_over_different_rows(spark, fitted_on):
+    """Logistic model and booster equal those of all rows, the forest draws from all rows."""
+    df = _answers(spark)
+    different = df.select("label", "features").distinct().count()
+    got = {r["row_id"]: r for r in fit_soft_vote(df, trees=4).transform(df).collect()}
+    assert dict(fitted_on) == {"LogisticRegression": different, "GBTClassifier": different, "RandomForestClassifier": df.count()}
+    lr, gbt = LogisticRegression(maxIter=100), GBTClassifier(maxIter=4, seed=42)
+    for name, est in (("lr", lr), ("gbt", gbt)):
+        want = {r["row_id"]: r["p"] for r in p1(est.fit(df).transform(df), "p").collect()}
+        assert {k: r[f"p_{name}"] for k, r in got.items()} == pytest.approx(want, abs=1e-6)
+
+
 def test_histograms_of_a_shard_need_little_memory():
     """A feature at a time: the room of one column, not of rows x features; sums as one bincount a cell has them."""
     import tracemalloc
