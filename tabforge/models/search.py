@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.models.builders import active
 from tabforge.operators.blend import py_uniform
 from tabforge.operators.folds import stratified_folds
-from tabforge.models.stacking import each, fit_fold, oof_scores, p1
+from tabforge.models.stacking import COUNT, counted, counts_rows, each, fit_fold, oof_scores, p1
 from tabforge.session import materialize
 
 # A space is a list of (param, lo, hi, kind[, when]) with kind in int | float | log | choice (for "choice",
@@ -56,6 +56,23 @@ def cv_objective(df: DataFrame, builder: Callable[[], object], k: int = 5, seed:
     return float(acc.agg(F.avg("a")).first()[0])
 
 
+def _by_fold(folded: DataFrame, k: int) -> DataFrame:
+    """Every different (label, features) once, with its number of rows in each fold."""
+    return materialize(counted(folded, **{f"__n{i}": F.col("fold") == i for i in range(k)}))
+
+
+def _weighted(by_fold: DataFrame, *folds: int) -> DataFrame:
+    """The rows of ``folds``, counted."""
+    n = sum((F.col(f"__n{i}") for i in folds), F.lit(0.0))
+    return by_fold.select("label", "features", n.alias(COUNT)).where(F.col(COUNT) > 0)
+
+
+def _hits(n: Column) -> tuple[Column, Column]:
+    """(sum of rows scored on their label's side of 0.5, sum of rows) over counted rows."""
+    hit = ((F.col("__p") >= 0.5).cast("double") == F.col("label")).cast("double")
+    return F.sum(hit * n).alias("hits"), F.sum(F.when(hit.isNotNull(), n)).alias("rows")
+
+
 def _mean_accuracy(parts: Sequence) -> float:
     """Mean over folds of hits / rows; a fold's rows may come in parts, and folds without any don't count."""
     folds: dict[int, list] = {}
@@ -81,23 +98,28 @@ def param_search(
     The folds are computed once and the fold-tagged table is written to the
     checkpoint folder, so every trial reads the same fold assignment. A fold's model
     is dropped as soon as its rows are counted, and the folds of all trials are one queue.
+    Without noise, a model that can be fitted on counted rows is (``counts_rows``); scores are asked once for equal rows.
     """
     spark = df.sparkSession
     folded = materialize(stratified_folds(df, "label", k=k, seed=seed, out="fold"))
     draws = param_draws(space, n_trials, seed, warm_start)
     # as in ``cv_objective``, a score counts for the folds of the rows that have its id: joined once for all trials
     own = folded.select("row_id", F.col("fold").alias("__in"))
-    scored = materialize(folded.select("row_id", "label", "features", "fold").join(own, "row_id"))
+    scored = materialize(counted(folded.select("row_id", "label", "features", "fold").join(own, "row_id"), "fold", "__in"))
+    by_fold = _by_fold(folded, k)
 
     def right(job: tuple[int, int]) -> list:
         trial, i = job
-        model = fit_fold(folded, lambda: make(draws[trial]), i, seed, noise_rate=noise_rate)
+        est = make(draws[trial])
+        if noise_rate == 0 and counts_rows(est):
+            model = est.setWeightCol(COUNT).fit(_weighted(by_fold, *(j for j in range(k) if j != i)))
+        else:
+            model = fit_fold(folded, lambda: est, i, seed, noise_rate=noise_rate)
         p = p1(model.transform(scored.where(F.col("fold") == i)), "__p")
-        hit = ((F.col("__p") >= 0.5).cast("double") == F.col("label")).cast("double")
-        return p.groupBy("__in").agg(F.sum(hit).alias("hits"), F.count(hit).alias("rows")).collect()
+        return p.groupBy("__in").agg(*_hits(F.col(COUNT))).collect()
 
-    counted = each(right, [(t, i) for t in range(len(draws)) for i in range(k)])
-    scores = [_mean_accuracy([r for part in counted[t * k : (t + 1) * k] for r in part]) for t in range(len(draws))]
+    found = each(right, [(t, i) for t in range(len(draws)) for i in range(k)])
+    scores = [_mean_accuracy([r for part in found[t * k : (t + 1) * k] for r in part]) for t in range(len(draws))]
     frame = draws_frame(spark, draws)
     acc = spark.createDataFrame(list(enumerate(scores)), "trial int, accuracy double")
     return frame.join(acc, "trial")
@@ -118,18 +140,24 @@ def halving_search(
     After every fold, trials report their mean accuracy so far and the best ``keep`` of them (ties:
     the earlier trial) go on; the last one standing and those as good have all folds. All trials of a
     rung run at once; what goes on depends on scores only, so a seed gives the same search again.
+    Equal rows are counted once for all fits and scores, where the model allows it (``counts_rows``).
     """
     spark = df.sparkSession
     folded = materialize(stratified_folds(df, "label", k=k, seed=seed, out="fold"))
+    by_fold = _by_fold(folded, k)
     draws = param_draws(space, n_trials, seed, warm_start)
     scores: dict[int, list[float]] = {t: [] for t in range(len(draws))}
     going = list(scores)
 
     def report(job: tuple[int, int]) -> float:
         trial, fold = job
-        model = make(draws[trial]).fit(folded.where(F.col("fold") != fold))
-        scored = p1(model.transform(folded.where(F.col("fold") == fold).select("row_id", "label", "features")), "__p")
-        return float(scored.agg(F.avg(((F.col("__p") >= 0.5).cast("double") == F.col("label")).cast("double"))).first()[0])
+        est = make(draws[trial])
+        if counts_rows(est):
+            model = est.setWeightCol(COUNT).fit(_weighted(by_fold, *(i for i in range(k) if i != fold)))
+        else:
+            model = est.fit(folded.where(F.col("fold") != fold))
+        found = p1(model.transform(_weighted(by_fold, fold)), "__p").agg(*_hits(F.col(COUNT))).first()
+        return float(found["hits"] / found["rows"])
 
     for fold in range(k):
         for trial, score in zip(going, each(report, [(t, fold) for t in going]), strict=True):

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tabforge.models import bounded, learners
 from tabforge.models.bounded import WHOLE, Job, fit_jobs, with_scores
 from tabforge.models.builders import logistic, stack_spec
-from tabforge.models.search import halving_search
+from tabforge.models.search import cv_objective, halving_search, param_draws, param_search
 from tabforge.models.stacking import BlendModel, SoftVoteModel, assemble, build_stack, p1
+from tabforge.operators.folds import stratified_folds
 from tabforge.plans import queries as q
 from tabforge.plans.train import fit_blend, fit_soft_vote
 from tabforge.sources import io
@@ -233,6 +234,24 @@ def test_soft_vote_iterates_over_different_rows(spark, fitted_on):
         assert {k: r[f"p_{name}"] for k, r in got.items()} == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("weighs", [True, False])
+def test_searches_iterate_over_different_rows(spark, fitted_on, weighs):
+    """Scores are those of fits on all rows; models that draw rows get all rows."""
+    df = _answers(spark)
+    different, n = df.select("label", "features").distinct().count(), df.count()
+    make = (lambda d: logistic(d, n_rows=n)) if weighs else (lambda d: GBTClassifier(maxIter=2, maxDepth=int(d["C"]) + 1, subsamplingRate=0.5, seed=1))
+    space = [("C", 0.1, 3.0, "log")]
+    pruned = halving_search(df, make, space, n_trials=3, k=3).collect()
+    whole = param_search(df, make, space, n_trials=3, k=3).orderBy("trial").collect()
+    assert len(fitted_on) == sum(r["folds"] for r in pruned) + 9
+    assert all((rows <= different) == weighs for _, rows in fitted_on)
+    folded = stratified_folds(df, "label", k=3, out="fold").cache()
+    want = [cv_objective(folded, lambda d=d: make(d), k=3) for d in param_draws(space, 3)]
+    if weighs:  # what a booster draws depends on how its rows lie
+        assert [r["accuracy"] for r in whole] == pytest.approx(want, abs=1e-12)
+        assert all(r["accuracy"] == pytest.approx(want[r["trial"]], abs=1e-12) for r in pruned if r["folds"] == 3)
+
+
 def test_histograms_of_a_shard_need_little_memory():
     """A feature at a time: the room of one column, not of rows x features; sums as one bincount a cell has them."""
     import tracemalloc
