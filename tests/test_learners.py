@@ -293,3 +293,91 @@ def test_trees_score_as_they_ask():
         assert ("ask" in made) == (kind == "boosted") and bool(made["level"]) == (params.get("growth") == "symmetric")
         assert np.allclose(learners.tree_sums(m, x), want, rtol=1e-12, atol=1e-12)
         assert (learners.tree_sums(made, x) == learners.tree_sums(m, x)).all()
+
+
+def test_every_labelled_row_is_fitted_at_any_size(spark, monkeypatch):
+    """As many shards as the rows need, equal rows once with their number, none left out."""
+    monkeypatch.setattr(bounded, "ROWS", 30)
+    df = _table(spark)
+    jobs = [Job("one", "bayes", {}, 1), Job("one", "bayes", {}, 1, 0)]
+    fitted = fit_jobs(df.union(df), jobs, "fold")
+    shards = [bounded._unpacked(b) for b in fitted.folds[WHOLE][0][2]]
+    assert len(shards) == 20 == len(fitted.folds[0][0][2])
+    counted = bounded.count_rows(df.union(df), [0, 1, 2], "fold")
+    assert counted.different == 600 and counted.rows.where("n = 2 and aggregate(out, 0L, (a, b) -> a + b) = 2").count() == 600
+    # a shard's rows and their mean give back the mean of all rows
+    rows_ = counted.rows.withColumn("shard", F.expr("pmod(xxhash64('shard', x, y, w), 20)")).groupBy("shard", "y").agg(F.sum("n"), F.avg(F.col("x")[0])).collect()
+    assert sum(r[2] for r in rows_) == 1200
+    for r in rows_:
+        assert shards[r[0]]["mean"][int(r[1]), 0] == pytest.approx(r[3])
+
+
+def test_scores_of_the_folds_are_those_of_their_learners(spark, monkeypatch):
+    """Made where a learner is fitted, over all shards, with the number of equal rows held out."""
+    monkeypatch.setattr(bounded, "ROWS", 250)
+    df = _table(spark)
+    df = df.union(df.where("row_id < 60"))
+    jobs = [Job(name, kind, p, 1, fold) for fold in (0, 1, 2, WHOLE) for name, kind, p in (("one", "boosted", BOOST), ("two", "bayes", {}))]
+    fitted, scored = bounded.fit_and_score(df, jobs, "fold")
+    assert [*fitted.folds] == [WHOLE] and fitted.names == ["one", "two"]
+    want = with_scores(df, fit_jobs(df, jobs, "fold").only(0), None).where("fold = 0").select("label", "s_one", "s_two")
+    for f in (1, 2):
+        want = want.union(with_scores(df, fit_jobs(df, jobs, "fold").only(f), None).where(F.col("fold") == f).select("label", "s_one", "s_two"))
+    plain = lambda rows: sorted((r["label"], round(r["s_one"], 9), round(r["s_two"], 9)) for r in rows)
+    got = scored.collect()
+    assert plain(r for r in got for _ in range(int(r["__n"]))) == plain(want.collect()) and len(got) == 600
+
+
+@pytest.mark.parametrize("kind, params", [("boosted", BOOST), ("boosted", BOOST | {"growth": "symmetric", "minInstancesPerNode": 5}), ("bayes", {}), ("margin", {"C": 1.0}), ("forest", {"numTrees": 60, "maxDepth": 6, "minInstancesPerNode": 2, "featureSubsetStrategy": "all"}), ("boosted", BOOST | {"subsamplingRate": 0.7}), ("boosted", BOOST | {"bootstrap": "bayesian", "temperature": 0.5}), ("layers", {"first": 16, "second": 8, "maxIter": 40, "stepSize": 0.01, "penalty": 1e-4})])
+def test_a_counted_row_is_that_many_rows(kind, params):
+    x, y = rows(500, 7)
+    n = np.random.default_rng(1).integers(1, 30 if kind == "forest" else 5, 500)
+    fit, score = learners.LEARNERS[kind]
+    a = score(fit(x, y, np.ones(500), params, 0, n), x)
+    b = score(fit(np.repeat(x, n, axis=0), np.repeat(y, n), np.ones(n.sum()), params, 0), x)
+    if params in (BOOST, {}) or "minInstancesPerNode" in params and kind == "boosted":
+        assert a == pytest.approx(b, abs=1e-9)
+    else:  # drawn otherwise
+        assert np.abs(a - b).mean() < 0.06 and ((a > 0.5) == (b > 0.5)).mean() > 0.95
+
+
+def test_draws_are_of_every_equal_row(monkeypatch):
+    n = np.array([1, 40, 3, 1000, 7])
+    for drawn in (learners.DRAWN, 50):
+        monkeypatch.setattr(learners, "DRAWN", drawn)
+        rng, c = np.random.default_rng(3), learners.Copies(n, 5)
+        taken = np.mean([c.taken(rng, np.full(5, 0.3)) for _ in range(4000)], axis=0)
+        drawn = np.mean([c.sums(lambda m, a, b: rng.random(m) < 0.3) for _ in range(4000)], axis=0)
+        again = np.mean([c.bootstrap(rng) for _ in range(4000)], axis=0)
+        assert taken / n == pytest.approx(np.full(5, 0.3), abs=0.03) and drawn / n == pytest.approx(np.full(5, 0.3), abs=0.03)
+        assert again / n == pytest.approx(np.ones(5), abs=0.05)
+    assert learners.quantiles(np.array([5.0, 1.0, 2.0]), [0, 0.25, 0.5, 0.9, 1], np.array([2, 4, 3])) == pytest.approx(np.quantile([5, 5, 1, 1, 1, 1, 2, 2, 2], [0, 0.25, 0.5, 0.9, 1]))
+
+
+def test_joint_counts_and_siblings_give_the_same_tree(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, k, 20_000) for k in (30, 9, *[2] * 8)] + [rng.normal(size=20_000)]).astype(float)
+    b, slot, g, h = learners.Binned(x), rng.integers(0, 3, 20_000), rng.normal(size=20_000), rng.random(20_000)
+    assert 1 < len(b.joints) < x.shape[1]
+    for some in (np.arange(20_000), np.flatnonzero(g > 0)):
+        for one, other in zip(b.sums(some, slot[some], 3, g, h), b.histograms(some, slot[some], 3, g, h), strict=True):
+            assert np.allclose(one, other, atol=1e-9)
+    y = (x[:, 0] + 5 * x[:, 4] + x[:, -1] > 17).astype(float)
+    models = []
+    for held in (learners.HELD, 1):
+        monkeypatch.setattr(learners, "HELD", held)
+        models.append(learners.boosted(x, y, np.ones(20_000), BOOST | {"maxIter": 5, "maxDepth": 6, "minWeight": 3}, 1))
+    assert np.allclose(*(learners.boosted_score(m, x) for m in models))
+
+
+@pytest.mark.parametrize("leaves", [4, 9, 16])
+def test_levels_and_best_first_grow_the_same_tree(leaves):
+    x, y = rows(3000, 2)
+    b, rule = learners.Binned(x), learners.Rule({"l2": 1.0}, 4, np.random.default_rng(0), 5.0)
+    g, h = y - 0.5 + np.random.default_rng(1).normal(size=3000), np.full(3000, 0.25)
+    trees = [learners.Trees(), learners.Trees()]
+    ends = [grow(t, b, g, h, np.arange(3000), rule, 4, leaves) for grow, t in zip((learners.by_best, learners.by_gain), trees, strict=True)]
+    values = [np.array(t.value)[e] for t, e in zip(trees, ends, strict=True)]
+    assert np.allclose(*values) and len(trees[0].child) == len(trees[1].child) <= 2 * leaves - 1
+    assert len(trees[0].child) == 2 * leaves - 1 and trees[0].depths >= trees[1].depths  # a level without a split may count
+    assert np.allclose(learners.tree_sums(trees[0].arrays(), x), values[1])
